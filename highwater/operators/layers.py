@@ -1,7 +1,7 @@
 """Road feature layers and the segment risk score."""
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from highwater.functions.geometry import col
 from highwater.functions.scoring import apply_bridge_cap, per_100m, scale01, weighted_mean_of, zone_risk_level
@@ -105,28 +105,35 @@ def drain_layer(counts: DataFrame, edges: DataFrame) -> DataFrame:
         "edge_id", n.alias("drain_count"), per_100m(n, "length").alias("drains_per_100m"))
 
 
-def pct_within(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
+def pct_within(df: DataFrame, value: str, group: str, out: str, source: DataFrame | None = None,
+               day_counts: bool = False) -> DataFrame:
     """Average-rank percentile among values > 0 of the group; 0 or less gives 0, null stays null.
 
-    Ranks come from running counts of distinct values, so a group may be most of the table.
+    Ranks come from running counts of distinct values, so a group may be most of the table. ``source`` is a cheaper
+    table with the same (group, value) rows. ``day_counts`` says the value counts days: then there are at most as many
+    distinct values per group as days observed, which is small enough for one window and a broadcast.
     """
-    counts = df.where((F.col(value) > 0) & F.col(group).isNotNull()).groupBy(group, value).agg(
+    counts = (source if source is not None else df).where((F.col(value) > 0) & F.col(group).isNotNull()).groupBy(group, value).agg(
         F.count(F.lit(1)).alias("_n"))
-    cum = prefix_sums(counts, [group], value, ["_n"])
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
-    ranks = cum.join(totals, group).select(
-        group, value, ((F.col("cum__n") - (F.col("_n") - 1) / 2.0) / F.col("_total")).alias("_pct"))
-    return df.join(ranks, [group, value], "left").withColumn(
-        out, F.when(F.col(value).isNotNull(), F.coalesce("_pct", F.lit(0.0)))).drop("_pct")
-
-
-def scaled_parts(segments: DataFrame, weights: dict = RISK_WEIGHTS) -> tuple[DataFrame, dict[str, str]]:
+    if day_counts:
+        w = Window.partitionBy(group)
+        cum = counts.withColumns({"cum__n": F.sum("_n").over(w.orderBy(value)), "_total": F.sum("_n").over(w)})
+    else:
+        cum = prefix_sums(counts, [group], value, ["_n"]).join(counts.groupBy(group).agg(F.sum("_n").alias("_total")), group)
+    ranks = cum.select(group, F.col(value).alias("_value"),
+                       ((F.col("cum__n") - (F.col("_n") - 1) / 2.0) / F.col("_total")).alias("_pct"))
+    keyed = df.withColumn("_value", F.when(F.col(value) > 0, F.col(value)))
+    return keyed.join(F.broadcast(ranks) if day_counts else ranks, [group, "_value"], "left").withColumn(
+        out, F.when(F.col(value).isNotNull(), F.coalesce("_pct", F.lit(0.0)))).drop("_pct", "_value")
+
+
+def scaled_parts(segments: DataFrame, weights: dict = RISK_WEIGHTS, sources: dict | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Adds a 0..1 column per weighted feature that is present; returns their names."""
     df, parts = segments, {}
     for name in [c for c in weights if c in segments.columns]:
         out = f"part_{name}"
         if name in RISK_PERCENTILE_WITHIN and RISK_PERCENTILE_WITHIN[name] in segments.columns:
-            df = pct_within(df, name, RISK_PERCENTILE_WITHIN[name], out)
+            df = pct_within(df, name, RISK_PERCENTILE_WITHIN[name], out, (sources or {}).get(name), day_counts=True)
         elif name in RISK_RANGE:
             df = df.withColumn(out, scale01(name, *RISK_RANGE[name], invert=name in RISK_INVERT))
         else:
@@ -142,17 +149,27 @@ def scale_by_data(df: DataFrame, name: str, out: str, invert: bool = False) -> D
         out, scale01(name, F.col("_b.lo"), F.col("_b.hi"), invert)).drop("_b")
 
 
-def risk_score(segments: DataFrame, weights: dict = RISK_WEIGHTS, keep_parts: bool = False) -> DataFrame:
-    df, parts = scaled_parts(segments, weights)
+def risk_score(segments: DataFrame, weights: dict = RISK_WEIGHTS, keep_parts: bool = False, sources: dict | None = None) -> DataFrame:
+    df, parts = scaled_parts(segments, weights, sources)
     score = weighted_mean_of({k: F.col(v) for k, v in parts.items()}, weights)
     df = df.withColumn("risk_score", score)
     return df if keep_parts else df.drop(*parts.values())
 
 
 def build_segments(roads: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
-    """The scored segment table: layers joined, gaps filled, weighted score, bridge cap and note."""
+    """The scored segment table: layers joined, gaps filled, weighted score, bridge cap and note.
+
+    Percentile ranks are counted from the layer that holds the value, not from the joined table.
+    """
     joined, _ = join_layers(roads, layers)
-    return apply_bridge_cap(risk_score(fill_zero(clean_floats(joined))))
+    sources = {}
+    for value, group in RISK_PERCENTILE_WITHIN.items():
+        owner = next((x for x in layers.values() if value in x.columns), None)
+        holder = next((x for x in [roads, *layers.values()] if group in x.columns), None)
+        if owner is not None and holder is not None:
+            some = owner.where(F.col(value) > 0).select("edge_id", value, *([group] if holder is owner else []))
+            sources[value] = some if holder is owner else some.join(holder.select("edge_id", group), "edge_id")
+    return apply_bridge_cap(risk_score(fill_zero(clean_floats(joined)), sources=sources))
 
 
 def street_table(segments: DataFrame) -> DataFrame:

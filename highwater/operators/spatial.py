@@ -11,11 +11,13 @@ from highwater.functions.geometry import (bearing, covers, drop_repeated_vertice
                                           hausdorff, heads_toward, in_rings, line_length, point_segment_distance,
                                           point_at, sample_line, segment_hits_box, segments)
 from highwater.operators.checks import first_by, near_minimum
+from highwater.session import cut_lineage
 from highwater.settings import (ACCESS_FAR_M, ACCESS_NEAR_M, CLOSURE_BUFFER_M, CLOSURE_MIN_OVERLAP, CLOSURE_SNAP_M,
                                 CLOSURE_TOLERANCE_DEG, COVERAGE_M, M_PER_DEG_LAT, M_PER_DEG_LON, REPORT_SNAP_M,
                                 TWIN_TOLERANCE_M)
 
 SEG = ["ax", "ay", "bx", "by"]
+CELL_PER_REACH = 4.0  # wider cells copy a segment less often and test more pairs; the test is cheap, the copy is not
 
 
 def _cell(x, size) -> Column:
@@ -31,27 +33,23 @@ def line_segments(lines: DataFrame, ids: list[str], geom: str = "geom") -> DataF
     return s.select(*ids, "seg", lo["x"].alias("ax"), lo["y"].alias("ay"), hi["x"].alias("bx"), hi["y"].alias("by"))
 
 
-def segment_cells(segs: DataFrame, cell: float, pad: float) -> DataFrame:
-    """Repeat each segment for every cell within ``pad`` of one of its pieces (pieces are at most a cell long)."""
+def segment_cells(segs: DataFrame, cell, pad: float) -> DataFrame:
+    """Repeat each segment for the cells within ``pad`` of each of its pieces (pieces are at most a cell long).
+
+    Plain explodes, which stay in generated code; a cell two pieces share appears twice, callers aggregate pairs anyway.
+    """
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
     n = F.greatest(F.lit(1), F.ceil(length / cell).cast("int"))
-
-    def cells(i):
-        t0, t1 = i / n, (i + 1) / n
-        x0, x1 = F.col("ax") + (F.col("bx") - F.col("ax")) * t0, F.col("ax") + (F.col("bx") - F.col("ax")) * t1
-        y0, y1 = F.col("ay") + (F.col("by") - F.col("ay")) * t0, F.col("ay") + (F.col("by") - F.col("ay")) * t1
-        xs = F.sequence(_cell(F.least(x0, x1) - pad, cell), _cell(F.greatest(x0, x1) + pad, cell))
-        ys = F.sequence(_cell(F.least(y0, y1) - pad, cell), _cell(F.greatest(y0, y1) + pad, cell))
-        return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-
-    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), cells)))
-    return segs.select("*", F.explode(every).alias("_c")).select("*", "_c.cx", "_c.cy").drop("_c")
+    pieces = segs.select("*", n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    at = lambda c, k: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * (F.col("_i") + k) / F.col("_n")
+    span = lambda c: F.sequence(_cell(F.least(at(c, 0), at(c, 1)) - pad, cell), _cell(F.greatest(at(c, 0), at(c, 1)) + pad, cell))
+    return (pieces.select("*", F.explode(span("x")).alias("cx")).select("*", F.explode(span("y")).alias("cy")).drop("_n", "_i"))
 
 
 def pairs_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, max_m: float,
                  digits: int = 6) -> DataFrame:
     """(point_id, line_id, dist) for every pair at most max_m apart, dist rounded to a micrometre."""
-    cell = max(max_m, 1.0)
+    cell = max(CELL_PER_REACH * max_m, 1.0)
     p = points.select(point_id, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")) \
         .withColumns({"cx": _cell(F.col("px"), cell), "cy": _cell(F.col("py"), cell)})
     s = segment_cells(line_segments(lines, [line_id]), cell, max_m)
@@ -157,7 +155,7 @@ def segment_segment_distance(a: list[Column], b: list[Column]) -> Column:
 
 def lot_line_pairs(lots: DataFrame, lines: DataFrame, max_m: float, lot_id: str = "lot_id") -> DataFrame:
     """(lot, line, dist) at most max_m apart; 0 when the line enters the lot."""
-    cell = max(max_m, 1.0)
+    cell = max(CELL_PER_REACH * max_m, 1.0)
     ring = lots.select(lot_id, F.explode("rings").alias("geom"))
     left = segment_cells(line_segments(ring, [lot_id]), cell, 0.0)
     left = left.select(lot_id, "cx", "cy", *[F.col(c).alias(f"l{c}") for c in SEG])
@@ -174,8 +172,10 @@ def lot_line_pairs(lots: DataFrame, lines: DataFrame, max_m: float, lot_id: str
 def nearest_or_fallback(lots: DataFrame, lines: DataFrame, near_m: float = ACCESS_NEAR_M, far_m: float = ACCESS_FAR_M,
                         lot_id: str = "lot_id") -> DataFrame:
     """Roads within near_m of a lot; a lot with none takes its nearest road(s) within far_m."""
-    near = lot_line_pairs(lots, lines, near_m, lot_id).withColumn("access_method", F.lit("adjacent"))
+    near = cut_lineage(lot_line_pairs(lots, lines, near_m, lot_id).withColumn("access_method", F.lit("adjacent")))
     misses = lots.join(near.select(lot_id).distinct(), lot_id, "left_anti")
+    if misses.isEmpty():
+        return near
     far = near_minimum(lot_line_pairs(misses, lines, far_m, lot_id), [lot_id], "dist") \
         .withColumn("access_method", F.lit("nearest"))
     return near.unionByName(far)
@@ -326,8 +326,8 @@ def nearest_node(points: DataFrame, nodes: DataFrame, limit_m: float = COVERAGE_
         r = float(limit_m) * 2 ** level
         side = r * slack
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        p = (left.select("point_id", "x", "y").withColumn("cx", _cell(F.col("x") * sx, side) + F.explode(around))
-             .withColumn("cy", _cell(F.col("y") * sy, side) + F.explode(around)))
+        p = (left.select("point_id", "x", "y", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
+             .withColumns({"cx": _cell(F.col("x") * sx, side) + F.col("_i"), "cy": _cell(F.col("y") * sy, side) + F.col("_j")}))
         q = n.withColumns({"cx": _cell(F.col("nx") * sx, side), "cy": _cell(F.col("ny") * sy, side)})
         if lat0 is None:
             d = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
@@ -406,7 +406,7 @@ def touching_names(cells: DataFrame, polys: DataFrame | None, lines: DataFrame |
         named = lines.where(F.col("name").isNotNull())
         shifted = line_segments(named, ["edge_id", "name"]).withColumns({
             "ax": (F.col("ax") - x0) / w, "bx": (F.col("bx") - x0) / w, "ay": (F.col("ay") - y0) / h, "by": (F.col("by") - y0) / h})
-        on = segment_cells(shifted, 1.0, 0.0).join(cells.select("component", "cx", "cy"), ["cx", "cy"])
+        on = segment_cells(shifted, 1.0, 1e-6).join(cells.select("component", "cx", "cy"), ["cx", "cy"])
         cxy = [F.col("cx").cast("double"), F.col("cy").cast("double")]
         hits = on.where(segment_hits_box(*[F.col(c) for c in SEG], cxy[0], cxy[1], cxy[0] + 1, cxy[1] + 1)) \
             .select("component", "name")

@@ -148,8 +148,8 @@ def nearest_k(points: DataFrame, targets: DataFrame, k: int, radius: float, max_
         r = radius * 2 ** level
         cell = lambda c: F.floor(F.col(c) / r).cast("bigint")  # noqa: E731,B023
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        p = left.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), (cell("x") + F.explode(around)).alias("cx"), cell("y").alias("cy")) \
-            .withColumn("cy", F.col("cy") + F.explode(around))
+        p = left.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(around).alias("_i")).select(
+            "*", F.explode(around).alias("_j")).select("point_id", "px", "py", (cell("px") + F.col("_i")).alias("cx"), (cell("py") + F.col("_j")).alias("cy"))
         t = targets.withColumns({"cx": cell("x"), "cy": cell("y")})
         d = F.round(F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)), 6)
         near = p.join(t, ["cx", "cy"]).select("point_id", "target_id", d.alias("dist")).where(F.col("dist") <= r)
@@ -190,7 +190,8 @@ def pick_lot(requests: DataFrame, lots: DataFrame, max_walk_m: float = MAX_LOT_W
     cell = lambda c: F.floor(F.col(c) / max_walk_m).cast("bigint")
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     places = requests.select("x", "y").distinct()
-    p = places.withColumn("cx", cell("x") + F.explode(around)).withColumn("cy", cell("y") + F.explode(around))
+    p = places.select("x", "y", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j")).select(
+        "x", "y", (cell("x") + F.col("_i")).alias("cx"), (cell("y") + F.col("_j")).alias("cy"))
     t = suggestable(lots).select("lot_id", F.col("x").alias("lx"), F.col("y").alias("ly")).withColumns({"cx": cell("lx"), "cy": cell("ly")})
     d = lambda: F.round(F.sqrt(F.pow(F.col("lx") - F.col("x"), 2) + F.pow(F.col("ly") - F.col("y"), 2)), 6)
     near = p.join(t, ["cx", "cy"]).withColumn("d", d()).where(F.col("d") <= max_walk_m).groupBy("x", "y").agg(
