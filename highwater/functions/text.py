@@ -82,9 +82,19 @@ def clock(ts, zone=TIME_ZONE) -> Column:
 
 
 def distance_text(m) -> Column:
-    m = col(m)
-    return F.when(m >= 1000, F.format_string("%.1f km", m / 1000.0)) \
-            .otherwise(F.concat(F.bround(m, 0).cast("bigint").cast("string"), F.lit(" m")))
+    """Whole metres, or kilometres to one decimal rounded on the exact value of the double m / 1000.
+
+    Java's formatter rounds the printed digits instead, which differs when they end in 5; so that case compares the
+    double's exact bits (times 2^52, an integer) with the true quotient.
+    """
+    m = F.bround(col(m), 0).cast("bigint")
+    tenth, rest = F.floor(m / 100).cast("bigint"), m % 100
+    exact = (m / 1000.0 * F.lit(2.0**52)).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(5,0)")
+    true = m.cast("decimal(12,0)") * F.lit(2**52).cast("decimal(17,0)")
+    up = (rest > 50) | ((rest == 50) & ((exact > true) | ((exact == true) & (tenth % 2 == 1))))
+    k = tenth + up.cast("int")
+    km = F.concat(F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"), F.lit(" km"))
+    return F.when(m >= 1000, km).otherwise(F.concat(m.cast("string"), F.lit(" m")))
 
 
 def number_text(x) -> Column:

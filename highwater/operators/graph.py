@@ -3,7 +3,7 @@
 Each round is a few joins and partial aggregates. Rounds end in a reliable checkpoint, so the plan stays short and
 a lost executor costs at most one round. What the driver sees is one number per round.
 """
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from highwater.session import cut_lineage
 
@@ -70,16 +70,24 @@ def cell_id(cx: Column, cy: Column) -> Column:
     return cy.cast("bigint") * F.lit(1_000_000_000) + cx.cast("bigint")
 
 
-def reachable(edges: DataFrame, start: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 100_000) -> DataFrame:
-    """Nodes that a breadth-first search from ``start`` (id) gets to, start included."""
-    seen = cut_lineage(start.select("id").distinct())
-    frontier = seen
+def reachable(edges: DataFrame, start: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 100_000,
+              rounds_per_job: int = 6) -> DataFrame:
+    """Nodes that a breadth-first search from ``start`` (id) gets to, start included.
+
+    Only nodes reached in the last round are extended. Each node also has an arc to itself, which carries it over to the
+    next round, so a round reads the table of seen nodes once and plans grow by one join, not by doubling.
+    """
+    arcs = edges.select(F.col(src).alias("id"), F.col(dst).alias("next"))
+    nodes = arcs.select("id").unionByName(arcs.select(F.col("next").alias("id"))).unionByName(start.select("id")).distinct()
+    arcs = cut_lineage(arcs.withColumn("self", F.lit(False)).unionByName(nodes.select("id", F.col("id").alias("next"), F.lit(True).alias("self"))))
+    seen = cut_lineage(start.select("id", F.lit(True).alias("fresh")).distinct())
     for _ in range(max_rounds):
-        step = edges.join(frontier.withColumnRenamed("id", src), src).select(F.col(dst).alias("id")).distinct()
-        frontier = cut_lineage(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+        for _ in range(rounds_per_job):
+            step = seen.join(arcs, "id").where(F.col("self") | F.col("fresh"))
+            seen = step.groupBy(F.col("next").alias("id")).agg(F.min(~F.col("self")).alias("fresh"))
+        seen = cut_lineage(seen)
+        if seen.where("fresh").isEmpty():
+            return seen.select("id")
     raise RuntimeError("search did not end")
 
 
@@ -124,7 +132,7 @@ def _trim(e: DataFrame) -> tuple[DataFrame, int]:
         e = e.join(heads, "u", "left_semi").join(tails, "v", "left_semi")
 
 
-def batch_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, rounds_per_job: int = 4) -> tuple[DataFrame, DataFrame]:
+def batch_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, rounds_per_job: int = 6) -> tuple[DataFrame, DataFrame]:
     """Least-cost paths for many (source, target) pairs under several costs at once.
 
     ``edges``: u, v, edge_id, kind, cost (one row per cost kind; closed edges left out). ``pairs``: source, target.
@@ -134,78 +142,73 @@ def batch_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, r
     The search runs from whichever side has fewer distinct ends. Labels are kept per (kind, root, node); a label that
     already costs more than the root's dearest wanted end is not extended, so a search stops near its targets.
     """
-    ends = pairs.select("source", "target").distinct().where(F.col("source") != F.col("target"))
+    edges = cut_lineage(edges)
+    ends = cut_lineage(pairs.select("source", "target").distinct().where(F.col("source") != F.col("target")))
     n_src, n_dst = ends.agg(F.count_distinct("source"), F.count_distinct("target")).first()
     backward = n_dst < n_src
     root, far = ("target", "source") if backward else ("source", "target")
     arcs = edges.groupBy("kind", "u", "v").agg(F.min(F.struct("cost", "edge_id")).alias("b")).select(
         "kind", F.col("v" if backward else "u").alias("node"), F.col("u" if backward else "v").alias("next"),
-        F.col("b.cost").alias("w"), F.col("b.edge_id").alias("via"))
-    arcs = cut_lineage(arcs)
+        F.col("b.cost").alias("w"), F.col("b.edge_id").alias("arc"))
+    kind_list = edges.agg(F.sort_array(F.collect_set("kind"))).scalar()  # the handful of cost columns
     roots = ends.select(F.col(root).alias("root")).distinct()
     wanted = cut_lineage(ends.select(F.col(root).alias("root"), F.col(far).alias("node")))
-    null_via = F.lit(None).cast("string")
-    # every (kind, root) pair: the kinds are the handful of cost columns, attached as an array
-    kind_list = arcs.agg(F.sort_array(F.collect_set("kind"))).scalar()
-    dist = cut_lineage(roots.select("root", kind_list.alias("_k")).select(
-        F.explode("_k").alias("kind"), "root", F.col("root").alias("node"), F.lit(0.0).alias("d"),
-        null_via.alias("via"), F.lit(None).cast(arcs.schema["node"].dataType).alias("prev"), F.lit(True).alias("fresh")))
+    # an arc from every node to itself carries labels over to the next round, so a round reads the labels once
+    nodes = arcs.select("kind", "node").unionByName(arcs.select("kind", F.col("next").alias("node"))).unionByName(
+        roots.select(F.explode(kind_list).alias("kind"), F.col("root").alias("node"))).distinct()
+    arcs = cut_lineage(arcs.unionByName(nodes.select("kind", "node", F.col("node").alias("next"), F.lit(0.0).alias("w"),
+                                                     F.lit(None).cast("string").alias("arc"))))
+    node_type = arcs.schema["node"].dataType
+    dist = cut_lineage(roots.select(
+        F.explode(kind_list).alias("kind"), "root", F.col("root").alias("node"), F.lit(0.0).alias("d"),
+        F.lit(None).cast("string").alias("via"), F.lit(None).cast(node_type).alias("prev"), F.lit(True).alias("fresh")))
     keys = ["kind", "root", "node"]
+    own = F.col("arc").isNull()
     for _ in range(max_rounds):
+        dist = dist.join(_dearest_end(dist, wanted), ["kind", "root"], "left")
         for _ in range(rounds_per_job):
-            limit = _dearest_end(dist, wanted)
-            frontier = dist.where("fresh").join(limit, ["kind", "root"], "left").where(
-                F.col("_max").isNull() | (F.col("d") < F.col("_max"))).select("kind", "root", "node", "d")
-            cand = frontier.join(arcs, ["kind", "node"]).select(
-                "kind", "root", F.col("next").alias("node"), (F.col("d") + F.col("w")).alias("d"), "via",
-                F.col("node").alias("prev"), F.lit(True).alias("fresh"))
-            both = dist.withColumn("fresh", F.lit(False)).unionByName(cand)
+            grow = F.col("fresh") & (F.col("dearest").isNull() | (F.col("d") < F.col("dearest")))
+            step = dist.join(arcs, ["kind", "node"]).where(own | grow)
             # a settled label sorts before an equal newcomer, so only real improvements are extended again
-            label = F.struct("d", "fresh", "via", "prev")
-            dist = both.groupBy(*keys).agg(F.min(label).alias("b")).select(*keys, "b.d", "b.via", "b.prev", "b.fresh")
-        dist = cut_lineage(dist)
+            label = F.struct((F.col("d") + F.col("w")).alias("d"), (~own).alias("fresh"), F.when(own, F.col("via")).otherwise(F.col("arc")).alias("via"),
+                             F.when(own, F.col("prev")).otherwise(F.col("node")).alias("prev"), "dearest")
+            dist = step.groupBy("kind", "root", F.col("next").alias("node")).agg(F.min(label).alias("b")).select(*keys, "b.*")
+        dist = cut_lineage(dist.drop("dearest"))
         if dist.where("fresh").isEmpty():
             break
+    else:
+        raise RuntimeError("paths did not settle")
     settled = dist.select(*keys, "d")
-    tree = dist.where(F.col("via").isNotNull()).select(*keys, "prev", "via")
-    total = ends.select(F.col(root).alias("root"), F.col(far).alias("node"), kind_list.alias("_k")).select(
-        F.explode("_k").alias("kind"), "root", "node").join(settled, keys, "left")
+    tree = cut_lineage(dist.where(F.col("via").isNotNull()).select(*keys, "prev", "via"))
+    total = ends.select(F.explode(kind_list).alias("kind"), F.col(root).alias("root"), F.col(far).alias("node")).join(settled, keys, "left")
     summary = total.select("kind", F.col("root").alias(root), F.col("node").alias(far), F.col("d").alias("total")).select(
         "kind", "source", "target", "total")
     paths = _walk_back(tree, total.where(F.col("d").isNotNull()), rounds_per_job, max_rounds)
-    costs = edges.select("kind", F.col("edge_id").alias("via"), "cost")
-    steps = F.col("hops") - F.col("hop")
-    seq = F.col("hop") if backward else steps + 1
-    n = Window.partitionBy("kind", "root", "end")
-    out = paths.withColumn("hops", F.max("hop").over(n)).select(
-        "kind", F.col("root").alias(root), F.col("end").alias(far), seq.cast("int").alias("seq"), "via")
-    return out.join(costs, ["kind", "via"]).select(
-        "kind", "source", "target", "seq", F.col("via").alias("edge_id"), "cost"), summary
+    # a backward search walks from the source on, a forward one from the target back
+    steps = F.col("path") if backward else F.reverse("path")
+    out = paths.select("kind", F.col("root").alias(root), F.col("end").alias(far), F.posexplode(steps).alias("pos", "edge_id"))
+    costs = edges.select("kind", "edge_id", "cost")
+    return out.join(costs, ["kind", "edge_id"]).select(
+        "kind", "source", "target", (F.col("pos") + 1).alias("seq"), "edge_id", "cost"), summary
 
 
 def _dearest_end(dist: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per (kind, root): the cost of its dearest wanted end, null while one is still unreached."""
-    got = dist.join(wanted, ["root", "node"]).groupBy("kind", "root").agg(
-        F.max("d").alias("_far"), F.count(F.lit(1)).alias("_got"))
+    got = dist.join(wanted, ["root", "node"]).groupBy("kind", "root").agg(F.max("d").alias("_far"), F.count(F.lit(1)).alias("_got"))
     need = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("_need"))
-    return got.join(need, "root").select("kind", "root", F.when(F.col("_got") == F.col("_need"), F.col("_far")).alias("_max"))
+    return cut_lineage(got.join(need, "root").select(
+        "kind", "root", F.when(F.col("_got") == F.col("_need"), F.col("_far")).alias("dearest")))
 
 
 def _walk_back(tree: DataFrame, ends: DataFrame, rounds_per_job: int, max_rounds: int) -> DataFrame:
-    """Follow predecessors from every end to its root, all ends in step. hop 1 is the edge next to the end."""
-    at = ends.select("kind", "root", F.col("node").alias("end"), "node")
-    out = None
-    hop = 0
+    """Follow predecessors from every end to its root, all ends in step; ``path`` lists the edges met on the way."""
+    at = ends.select("kind", "root", F.col("node").alias("end"), "node", F.array().cast("array<string>").alias("path"))
     for _ in range(max_rounds):
-        parts = []
-        for _ in range(rounds_per_job * 2):
-            hop += 1
-            step = at.join(tree, ["kind", "root", "node"])
-            parts.append(step.select("kind", "root", "end", F.lit(hop).alias("hop"), "via"))
-            at = step.where(F.col("prev") != F.col("root")).select("kind", "root", "end", F.col("prev").alias("node"))
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        out, at = cut_lineage(out), cut_lineage(at)
-        if at.isEmpty():
-            return out
+        for _ in range(rounds_per_job):
+            at = at.join(tree, ["kind", "root", "node"], "left").select(
+                "kind", "root", "end", F.coalesce("prev", "node").alias("node"),
+                F.when(F.col("via").isNull(), F.col("path")).otherwise(F.concat("path", F.array("via"))).alias("path"))
+        at = cut_lineage(at)
+        if at.where(F.col("node") != F.col("root")).isEmpty():
+            return at
     raise RuntimeError("paths did not end")

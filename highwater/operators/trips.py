@@ -9,6 +9,7 @@ from highwater.functions.text import (clock, iso_utc, leave_by, minus_minutes, r
                                       walk_minutes)
 from highwater.operators.checks import first_by, in_person, suggestable
 from highwater.operators.graph import batch_paths
+from highwater.session import cut_lineage
 from highwater.settings import (COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M, ONLINE_PATTERN, SEVERITY_RANK,
                                 TIME_ZONE, TRAFFIC_ALERT_MINUTES, WEATHER_SEVERITY, WEEKDAYS)
 
@@ -140,6 +141,7 @@ def detours(suggested: DataFrame, usual: DataFrame, budget: int = 3) -> DataFram
 # ------------------------------------------------------------------ parking choice
 def nearest_k(points: DataFrame, targets: DataFrame, k: int, radius: float, max_levels: int = 24) -> DataFrame:
     """Up to k nearest targets per point (ties by id), by growing rings. points: point_id, x, y. targets: target_id, x, y."""
+    points, targets = cut_lineage(points), cut_lineage(targets)
     ext = targets.unionByName(points.select(F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id"), "x", "y")).agg(
         F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     reach = ((ext[0] or 0.0) ** 2 + (ext[1] or 0.0) ** 2) ** 0.5 + 1.0
@@ -154,13 +156,13 @@ def nearest_k(points: DataFrame, targets: DataFrame, k: int, radius: float, max_
         d = F.round(F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)), 6)
         near = p.join(t, ["cx", "cy"]).select("point_id", "target_id", d.alias("dist")).where(F.col("dist") <= r)
         order = Window.partitionBy("point_id").orderBy("dist", "target_id")
-        top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        top = cut_lineage(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         done = top.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == k) | F.lit(r >= reach))
         hit = top.join(done.select("point_id"), "point_id", "left_semi")
         found = hit if found is None else found.unionByName(hit)
         if r >= reach:
             break
-        left = left.join(done.select("point_id"), "point_id", "left_anti")
+        left = cut_lineage(left.join(done.select("point_id"), "point_id", "left_anti"))
         if left.isEmpty():
             break
     return found

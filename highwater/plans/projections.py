@@ -221,7 +221,7 @@ def fx_event(d):
   {d.add_minutes("o_orderdate", "480 + (o_orderkey % 20) * 30")} as start_ts, o_orderstatus = 'P' as is_all_day,
   case when o_orderpriority = '5-LOW' then 'cancelled' else 'confirmed' end as status,
   case when o_orderkey % 6 = 0 then 'Zoom meeting' when o_orderkey % 7 = 0 then null
-    when o_orderkey % 5 = 0 then concat('room nation ', cast(o_custkey % 25 as string), ' annex') when o_orderkey % 11 = 0 then 'Unknown place'
+    when o_orderkey % 5 = 0 then concat('room nati ', cast(o_custkey % 25 as string), ' annex') when o_orderkey % 11 = 0 then 'Unknown place'
     else concat('b', cast(o_custkey % 25 as string), ' 100') end as location from orders"""
 
 

@@ -545,7 +545,7 @@ def _(T):
     return T.events.select("event_id", X.iso_utc("ts").alias("iso"), X.clock("ts").alias("clock"))
 
 
-@query("x34_distance_text", """select edge_id, case when length * 10 >= 1000 then printf('%.1f km', length / 100) else concat(cast(round_even(length * 10, 0) as bigint), ' m') end as t,
+@query("x34_distance_text", """select edge_id, case when round_even(length * 10, 0) >= 1000 then printf('%.1f km', round_even(length * 10, 0) / 1000) else concat(cast(round_even(length * 10, 0) as bigint), ' m') end as t,
   case when j > 0 then concat('+', case when j % 2 = 0 then cast(j as varchar) else cast(j + 0.5 as varchar) end, ' min') else 'no extra time' end as extra from fx_edge""")
 def _(T):
     minutes = F.when(F.col("j") % 2 == 0, F.col("j").cast("double")).otherwise(F.col("j") + 0.5)
