@@ -1,9 +1,20 @@
 """Text, identifiers and clock expressions."""
+import re
+
 from pyspark.sql import Column, functions as F
 
 from highwater.functions.geometry import col
 from highwater.settings import FLOOD_DETOUR_MINUTES, PEAK_EXTRA_MINUTES, PEAK_HOURS, SEARCH_DEFAULT_MINUTES, \
-    SEARCH_MINUTES, SEED, TIME_ZONE, WALK_DETOUR, WALK_M_PER_MIN
+    SEARCH_MINUTES, SEED, TEXT, TIME_ZONE, WALK_DETOUR, WALK_M_PER_MIN
+
+
+def fill(name: str, /, **parts) -> Column:
+    """One of the fixed texts with columns in place of its {fields}; null when a field is null."""
+    out = []
+    for i, piece in enumerate(re.split(r"[{}]", TEXT[name])):
+        if piece:
+            out.append(F.lit(piece) if i % 2 == 0 else col(parts[piece]))
+    return F.concat(*out)
 
 
 def is_tagged(tags) -> Column:
@@ -104,7 +115,7 @@ def number_text(x) -> Column:
 
 
 def extra_text(minutes) -> Column:
-    return F.when(col(minutes) > 0, F.concat(F.lit("+"), number_text(minutes), F.lit(" min"))).otherwise("no extra time")
+    return F.when(col(minutes) > 0, fill("extra", min=number_text(minutes))).otherwise(fill("no_extra"))
 
 
 def walk_minutes(dist_m) -> Column:
@@ -139,15 +150,10 @@ def recommend(compromised, same_route, usual_m, safe_m, extra_min, avoided_m, st
     reroute = col(safe_m) < compromised_m
     action = (F.when(~col(compromised), "safe").when(col(same_route), "no_alternative")
               .when(reroute, "reroute").otherwise("reroute_caution"))
-    where = F.when(col(street).isNotNull(), F.concat(F.lit("on "), col(street))).otherwise("on your usual route")
-    message = (
-        F.when(~col(compromised), F.lit("No high flood-risk roads on your usual route."))
-        .when(col(same_route), F.concat(F.lit("No safer route: your trip has to cross "), distance_text(usual_m),
-                                        F.lit(" of flood-prone road. Consider leaving later.")))
-        .when(reroute, F.concat(F.lit("High flood risk "), where, F.lit(". Take the safer route ("), extra, F.lit(").")))
-        .otherwise(F.concat(F.lit("The safer route avoids "), distance_text(avoided_m),
-                            F.lit(" of flood-prone road but still crosses "), distance_text(safe_m),
-                            F.lit(". Drive carefully ("), extra, F.lit(")."))))
+    where = F.coalesce(fill("on_street", street=street), fill("on_route"))
+    message = (F.when(action == "safe", fill("safe")).when(action == "no_alternative", fill("no_alternative", m=distance_text(usual_m)))
+               .when(action == "reroute", fill("reroute", where=where, extra=extra))
+               .otherwise(fill("reroute_caution", avoided=distance_text(avoided_m), m=distance_text(safe_m), extra=extra)))
     return action, message
 
 

@@ -5,6 +5,7 @@ Predictions are first collapsed to distinct scores (a partial aggregate), then s
 from pyspark.sql import DataFrame, functions as F
 
 from highwater.operators.ranges import exact_quantiles, prefix_sums
+from highwater.session import cut_lineage
 
 OVERALL = "overall"
 
@@ -125,6 +126,7 @@ def relative_score(pred: DataFrame, knots: DataFrame, p="p", out="relative") ->
 
     The knots (about a thousand) travel as one array; each row finds its place by bisection.
     """
+    knots = cut_lineage(knots)
     last = knots.agg(F.max("k")).scalar()
     ranks = knots.select("p", "k", last.alias("_last")).groupBy("p").agg(F.avg(F.col("k") / F.col("_last")).alias("r"))
     table = ranks.agg(F.sort_array(F.collect_list(F.struct("p", "r"))).alias("t")).scalar()

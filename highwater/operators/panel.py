@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from highwater.functions.text import hash_fraction_bits, held_out, split_name
 from highwater.operators.graph import ticket_groups
 from highwater.operators.layers import street_table
+from highwater.session import cut_lineage
 from highwater.settings import (HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, RAIN_FEATURES, SEED, TRAIN_END, VALIDATION_END,
                                 WINDOWS)
 
@@ -134,7 +135,8 @@ def prepare_panel(segments: DataFrame, reports: DataFrame, weather: DataFrame, f
         raise ValueError("fraction must be in (0, 1]")
     streets = street_table(segments)
     links, audit = label_days(segments, streets, reports, windows)
-    streets = ticket_groups(streets, links).withColumn("heldout_street", held_out("split_group"))
+    links = cut_lineage(links)  # a small table that labels, groups, sampling and history all read
+    streets = cut_lineage(ticket_groups(streets, links).withColumn("heldout_street", held_out("split_group")))
     positives = links.select("street_id", "date").distinct()
     panel = panel_from_streets(streets, positives, weather, fraction, windows, train_end, validation_end, gap, min_days)
     return streets, positives, panel, audit

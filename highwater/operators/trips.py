@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from highwater.functions.geometry import col, join_paths
 from highwater.functions.scoring import base_cost, label_rank, safe_cost
-from highwater.functions.text import (clock, iso_utc, leave_by, minus_minutes, recommend, search_minutes, stable_id, time_saved,
+from highwater.functions.text import (clock, fill, iso_utc, leave_by, minus_minutes, recommend, search_minutes, stable_id, time_saved,
                                       walk_minutes)
 from highwater.operators.checks import first_by, in_person, suggestable
 from highwater.operators.graph import batch_paths
@@ -341,28 +341,22 @@ def trip_alerts(trips: DataFrame, zone: str = TIME_ZONE) -> DataFrame:
     trips: user_id, event_id, event_name, leave_by, compromised, action, street, lot_name, lot_hazardous, other_lot,
     delay_minutes, closures array<struct<closure_id,name,full>>.
     """
-    name, leave = F.col("event_name"), clock("leave_by", zone)
-    key = lambda kind: F.concat(F.lit(f"{kind}|"), F.col("event_id"))
-    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    around = F.when(F.col("street").isNotNull(), text(" around ", F.col("street"))).otherwise("")
-    advice = (F.when(F.col("action") == "reroute", "Take the safer route.")
-              .when(F.col("action") == "reroute_caution", "Take the safer route and drive carefully: it avoids most of the flooding, not all of it.")
-              .otherwise("There is no safer way around. Drive carefully, or leave later if you can."))
+    event, leave = F.col("event_name"), clock("leave_by", zone)
+    key = lambda kind, *more: F.concat_ws("|", F.lit(kind), F.col("event_id"), *more)
+    advice = (F.when(F.col("action") == "reroute", fill("advice_reroute")).when(F.col("action") == "reroute_caution", fill("advice_caution"))
+              .otherwise(fill("advice_none")))
+    around = F.coalesce(fill("around", street="street"), F.lit(""))
     route = F.when(F.col("compromised"), _alert(
         key("route_flood"), "trip", "route_flood", F.when(F.col("action") == "no_alternative", "critical").otherwise("warning"),
-        text("Flooding expected on your route to ", name),
-        text("Estimated flood levels are high on your usual route", around, ". ", advice, " Leave by ", leave, ".")))
-    instead = F.when(F.col("other_lot").isNotNull(), text("Park at ", F.col("other_lot"), " instead.")).otherwise(
-        "No nearby lot is clearly safer, so allow extra time.")
+        fill("route_flood_title", event=event), fill("route_flood", around=around, advice=advice, time=leave)))
+    instead = F.coalesce(fill("park_instead", lot="other_lot"), fill("no_lot"))
     lot = F.when(F.coalesce("lot_hazardous", F.lit(False)), _alert(
-        key("parking_flood"), "trip", "parking_flood", "warning", text(F.col("lot_name"), " may flood"),
-        text("Estimated flood levels are high at ", F.col("lot_name"), ". ", instead)))
+        key("parking_flood"), "trip", "parking_flood", "warning", fill("parking_title", lot="lot_name"), fill("parking", lot="lot_name", instead=instead)))
     slow = F.when(F.col("delay_minutes") >= TRAFFIC_ALERT_MINUTES, _alert(
-        key("leave_earlier"), "trip", "leave_earlier", "info", text("Heavy traffic on the way to ", name),
-        text("Traffic is heavier than usual. Leave by ", leave, ".")))
+        key("leave_earlier"), "trip", "leave_earlier", "info", fill("traffic_title", event=event), fill("traffic", time=leave)))
     works = F.transform(F.coalesce("closures", F.array().cast("array<struct<closure_id:string,name:string,full:boolean>>")), lambda c: _alert(
-        text(key("closure"), "|", c["closure_id"]), "trip", "closure", "info", text("Road work on your route to ", name),
-        text(c["name"], " is ", F.when(c["full"], "closed").otherwise("under construction"), ". Your leave-by time already allows for it.")))
+        key("closure", c["closure_id"]), "trip", "closure", "info", fill("closure_title", event=event),
+        fill("closure", name=c["name"], what=F.when(c["full"], fill("closed")).otherwise(fill("works")))))
     rows = F.filter(F.concat(F.array(route, lot, slow), works), lambda a: a.isNotNull())
     return with_alert_id(trips.select("user_id", F.explode(rows).alias("a")).select("user_id", "a.*"))
 
@@ -373,9 +367,7 @@ def weather_alert_rows(weather: DataFrame) -> DataFrame:
     for name, level in WEATHER_SEVERITY.items():
         sev = F.when(F.col("severity") == name, level).otherwise(sev)
     said = F.col("severity").isNotNull() & (F.col("severity") != "Unknown")
-    tail = "Avoid low-lying and flooded roads."
-    msg = F.when(said, F.concat(F.lit("The National Weather Service has issued this for your area (severity: "), F.lower("severity"),
-                                F.lit(f"). {tail}"))).otherwise(f"The National Weather Service has issued this for your area. {tail}")
+    msg = fill("weather", severity=F.when(said, fill("weather_severity", level=F.lower("severity"))).otherwise(""))
     a = _alert(F.concat(F.lit("nws|"), F.col("id")), "nws", "weather_warning", sev, F.col("event"), msg)
     return with_alert_id(weather.select("user_id", a.alias("a")).select("user_id", "a.*"))
 
@@ -383,10 +375,9 @@ def weather_alert_rows(weather: DataFrame) -> DataFrame:
 def tide_alert_rows(tide: DataFrame, zone: str = TIME_ZONE) -> DataFrame:
     """user_id, at, above_minor, above_moderate -> alert rows, none below the minor level."""
     sev = F.when(F.col("above_moderate"), "critical").otherwise("warning")
-    msg = F.concat(F.lit("Estimated water levels in Biscayne Bay are at the "), F.when(F.col("above_moderate"), "moderate").otherwise("minor"),
-                   F.lit(" flood level. Low-lying bayfront streets (Brickell, near the Miami River) may flood even without rain."))
+    msg = fill("tide", level=F.when(F.col("above_moderate"), "moderate").otherwise("minor"))
     day = F.date_format(F.from_utc_timestamp("at", zone), "yyyy-MM-dd")
-    a = _alert(F.concat(F.lit("tide|"), day), "tide", "tide", sev, F.lit("High tide in Biscayne Bay"), msg)
+    a = _alert(F.concat(F.lit("tide|"), day), "tide", "tide", sev, fill("tide_title"), msg)
     return with_alert_id(tide.where("above_minor").select("user_id", a.alias("a")).select("user_id", "a.*"))
 
 
@@ -459,11 +450,9 @@ def upsert(existing: DataFrame, changes: DataFrame, key: list[str], ts: str) ->
 
 
 def coverage_note(d_from, d_to, limit_m: float) -> Column:
-    def part(d, what):
-        return F.when(col(d) > limit_m, F.concat(F.lit(what), F.format_string("%.1f", col(d) / 1000.0), F.lit(" km away).")))
-    parts = F.filter(F.array(part(d_from, "Start is outside the mapped area; the route begins at the nearest mapped road ("),
-                             part(d_to, "Destination is outside the mapped area; the route ends at the nearest mapped road (")),
-                     lambda p: p.isNotNull())
+    def part(d, name):
+        return F.when(col(d) > limit_m, fill(name, km=F.format_string("%.1f", col(d) / 1000.0)))
+    parts = F.filter(F.array(part(d_from, "start_outside"), part(d_to, "end_outside")), lambda p: p.isNotNull())
     return F.when(F.size(parts) > 0, F.array_join(parts, " "))
 
 

@@ -4,6 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from highwater.plans.projections import Tables, with_projections
+from highwater.session import TUNING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -13,7 +14,8 @@ def query(name: str, sql: str | None = None):
     """Register ``f(tables) -> DataFrame`` under a name."""
     def add(f):
         def run(spark: SparkSession, path: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in {"spark.sql.session.timeZone": "UTC", **TUNING}.items():
+                spark.conf.set(key, value)
             return f(Tables(spark, path))
         run.__name__ = name
         QUERIES[name] = run

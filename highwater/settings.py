@@ -107,3 +107,38 @@ MODEL_FEATURES = ["fema_risk_level", "elev_p10", "sink_p90", "log_length", "log_
                   "rain_x_history"]
 ALERT_BUDGET = 0.01
 STORM_RAIN = {"rain_mm": 80.0, "rain_lag1_mm": 30.0, "rain_prior3_mm": 60.0}
+
+# --- texts -----------------------------------------------------------------------------------
+TEXT = {
+    "safe": "No high flood-risk roads on your usual route.",
+    "no_alternative": "No safer route: your trip has to cross {m} of flood-prone road. Consider leaving later.",
+    "on_street": "on {street}",
+    "on_route": "on your usual route",
+    "reroute": "High flood risk {where}. Take the safer route ({extra}).",
+    "reroute_caution": "The safer route avoids {avoided} of flood-prone road but still crosses {m}. Drive carefully ({extra}).",
+    "extra": "+{min} min",
+    "no_extra": "no extra time",
+    "start_outside": "Start is outside the mapped area; the route begins at the nearest mapped road ({km} km away).",
+    "end_outside": "Destination is outside the mapped area; the route ends at the nearest mapped road ({km} km away).",
+    "route_flood_title": "Flooding expected on your route to {event}",
+    "route_flood": "Estimated flood levels are high on your usual route{around}. {advice} Leave by {time}.",
+    "around": " around {street}",
+    "advice_reroute": "Take the safer route.",
+    "advice_caution": "Take the safer route and drive carefully: it avoids most of the flooding, not all of it.",
+    "advice_none": "There is no safer way around. Drive carefully, or leave later if you can.",
+    "parking_title": "{lot} may flood",
+    "parking": "Estimated flood levels are high at {lot}. {instead}",
+    "park_instead": "Park at {lot} instead.",
+    "no_lot": "No nearby lot is clearly safer, so allow extra time.",
+    "traffic_title": "Heavy traffic on the way to {event}",
+    "traffic": "Traffic is heavier than usual. Leave by {time}.",
+    "closure_title": "Road work on your route to {event}",
+    "closure": "{name} is {what}. Your leave-by time already allows for it.",
+    "closed": "closed",
+    "works": "under construction",
+    "weather": "The National Weather Service has issued this for your area{severity}. Avoid low-lying and flooded roads.",
+    "weather_severity": " (severity: {level})",
+    "tide_title": "High tide in Biscayne Bay",
+    "tide": "Estimated water levels in Biscayne Bay are at the {level} flood level. Low-lying bayfront streets "
+            "(Brickell, near the Miami River) may flood even without rain.",
+}

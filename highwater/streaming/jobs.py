@@ -39,7 +39,7 @@ def freshness(stream: DataFrame, runs: DataFrame, now=None, run_hours: float = R
     newest = runs.groupBy("scenario").agg(F.max_by(F.struct("run_id", "computed_at"), "computed_at").alias("run"))
     age = lambda c: F.unix_seconds(now) - F.unix_seconds(c)
     j = stream.join(newest, "scenario", "left")
-    stale = F.coalesce((F.col("scenario") == "live") & (age("run.computed_at") > run_hours * 3600), F.lit(True))
+    stale = F.col("run.run_id").isNull() | ((F.col("scenario") == "live") & (age("run.computed_at") > run_hours * 3600))
     return j.select(*stream.columns, F.col("run.run_id").alias("run_id"), stale.alias("run_stale"), (age("t") > obs_minutes * 60).alias("obs_stale"))
 
 
