@@ -144,11 +144,23 @@ def heads_toward(bearing_deg, direction, tolerance=CLOSURE_TOLERANCE_DEG) -> Col
     return target.isNull() | (diff <= tolerance)
 
 
-def hausdorff(a, b) -> Column:
-    """Largest vertex-to-line distance, both ways."""
+def point_segment_squared(p, s) -> Column:
+    """Squared distance of a point struct to a segment struct<a,b>."""
+    ax, ay = s["a"]["x"], s["a"]["y"]
+    dx, dy = s["b"]["x"] - ax, s["b"]["y"] - ay
+    px, py = p["x"] - ax, p["y"] - ay
+    l2 = dx * dx + dy * dy
+    t = F.when(l2 > 0, F.least(F.greatest((px * dx + py * dy) / l2, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    return F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2)
+
+
+def hausdorff(a, b, a_segments=None, b_segments=None) -> Column:
+    """Largest vertex-to-line distance, both ways. Pass ready-made segment arrays when one line meets many."""
     a, b = col(a), col(b)
-    return F.greatest(F.array_max(F.transform(a, lambda p: dist_to_line(p, b))),
-                      F.array_max(F.transform(b, lambda p: dist_to_line(p, a))))
+    sa, sb = col(a_segments) if a_segments is not None else segments(a), col(b_segments) if b_segments is not None else segments(b)
+    one_way = lambda pts, segs: F.array_max(F.transform(pts, lambda p: F.array_min(
+        F.transform(segs, lambda s: point_segment_squared(p, s)))))
+    return F.sqrt(F.greatest(one_way(a, sb), one_way(b, sa)))
 
 
 def envelope(geom) -> Column:

@@ -295,15 +295,16 @@ def pair_twins(edges: DataFrame, tol_m: float = TWIN_TOLERANCE_M) -> DataFrame:
     """
     cell = max(4 * tol_m, 4.0)
     box = ["x0", "y0", "x1", "y1"]
-    e = edges.select("edge_id", "u", "v", "geom", envelope("geom").alias("_e")).select("edge_id", "u", "v", "geom", *[F.col(f"_e.{c}").alias(f"_{c}") for c in box])
+    e = edges.select("edge_id", "u", "v", "geom", segments("geom").alias("segs"), envelope("geom").alias("_e")).select(
+        "edge_id", "u", "v", "geom", "segs", *[F.col(f"_e.{c}").alias(f"_{c}") for c in box])
     here = e.withColumn("_k", _cell(F.col("_x0"), cell))
     around = F.array_distinct(F.array(*[_cell(F.col("_x0") + t, cell) for t in (-tol_m, 0.0, tol_m)]))
     there = e.select(F.col("edge_id").alias("cand"), F.col("u").alias("v"), F.col("v").alias("u"), F.col("geom").alias("cgeom"),
-                     *[F.col(f"_{c}").alias(f"_c{c}") for c in box], F.explode(around).alias("_k"))
+                     F.col("segs").alias("csegs"), *[F.col(f"_{c}").alias(f"_c{c}") for c in box], F.explode(around).alias("_k"))
     cands = here.join(there, ["u", "v", "_k"]).where(F.col("edge_id") != F.col("cand"))
     for c in box:  # lines this close have envelopes this close; cheaper than the distance itself
         cands = cands.where(F.abs(F.col(f"_{c}") - F.col(f"_c{c}")) <= tol_m)
-    d = F.round(hausdorff("geom", "cgeom"), 6)
+    d = F.round(hausdorff("geom", "cgeom", "segs", "csegs"), 6)
     best = cands.groupBy("edge_id").agg(F.min(F.struct(d.alias("d"), "cand")).alias("b")).select("edge_id", "b.*").where(F.col("d") <= tol_m)
     back = best.select(F.col("edge_id").alias("cand"), F.col("cand").alias("edge_id"))
     mutual = best.join(back, ["edge_id", "cand"]).select("edge_id", F.col("cand").alias("twin_id"), F.col("d").alias("twin_m"))
