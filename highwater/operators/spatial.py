@@ -409,8 +409,8 @@ def touching_names(cells: DataFrame, polys: DataFrame | None, lines: DataFrame |
         shifted = line_segments(named, ["edge_id", "name"]).withColumns({
             "ax": (F.col("ax") - x0) / w, "bx": (F.col("bx") - x0) / w, "ay": (F.col("ay") - y0) / h, "by": (F.col("by") - y0) / h})
         on = segment_cells(shifted, 1.0, 1e-6).join(cells.select("component", "cx", "cy"), ["cx", "cy"])
-        cxy = [F.col("cx").cast("double"), F.col("cy").cast("double")]
-        hits = on.where(segment_hits_box(*[F.col(c) for c in SEG], cxy[0], cxy[1], cxy[0] + 1, cxy[1] + 1)) \
+        x, y, eps = F.col("cx").cast("double"), F.col("cy").cast("double"), 1e-9  # a corner just touched counts, whatever the rounding
+        hits = on.where(segment_hits_box(*[F.col(c) for c in SEG], x - eps, y - eps, x + 1 + eps, y + 1 + eps)) \
             .select("component", "name")
     names = hits.distinct().groupBy("component").agg(F.sort_array(F.collect_list("name")).alias("_n"))
     return names.select("component", F.array_join(F.slice("_n", 1, limit) if limit else F.col("_n"), "; ").alias("names"))

@@ -209,7 +209,7 @@ def clip_hits(x0, y0, x1, y1, ax="ax", ay="ay", bx="ex", by="ey"):
 
 
 @query("j22_touching_roads", f"""with recursive {WET}, s as (select e.name, ax / 40 as ax, ay / {H} as ay, ex / 40 as ex, ey / {H} as ey from fx_edge_seg g join fx_edge e on e.edge_id = g.edge_id where e.name is not null),
-  t as (select distinct component, name from comp join s on cx <= greatest(ax, ex) and cx + 1 >= least(ax, ex) and cy <= greatest(ay, ey) and cy + 1 >= least(ay, ey) and {clip_hits('cx', 'cy', 'cx + 1', 'cy + 1')})
+  t as (select distinct component, name from comp join s on cx <= greatest(ax, ex) + 1e-9 and cx + 1 >= least(ax, ex) - 1e-9 and cy <= greatest(ay, ey) + 1e-9 and cy + 1 >= least(ay, ey) - 1e-9 and {clip_hits('(cx - 1e-9)', '(cy - 1e-9)', '(cx + 1 + 1e-9)', '(cy + 1 + 1e-9)')})
   select component, string_agg(name, '; ' order by name) as names from (select *, row_number() over (partition by component order by name) as r from t) q where r <= 4 group by component""")
 def _(T):
     return P.touching_names(_wet(T), None, T.lines(), 0.0, 0.0, 40.0, _cell_h(T), limit=4)

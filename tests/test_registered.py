@@ -20,7 +20,7 @@ def check(sf):
 def canon(v):
     if v is None or v != v:
         return "~"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
     try:
         f = float(v)
