@@ -1,9 +1,24 @@
 """The registered queries of this subpackage: whole tables in, digest columns out."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from highwater.llm.ann import nearest
+from highwater.llm.common import Scratch
+from highwater.llm.decontaminate import contained_items
 from highwater.llm.ngram_join import shingle_join
+from highwater.llm.packing import pack
+from highwater.llm.pii import find_personal_data
+from highwater.llm.quality import quality_scores
+from highwater.llm.token_counts import token_counts
+from highwater.llm.token_files import read_token_files, write_token_files
+from highwater.llm.toxicity import toxicity_scores
+from highwater.llm.url_filter import judge_urls
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+# hosts that are blocked where no rule fits
+BLOCKED_HOSTS = ["ads-track.example.com/", "casino-win.example.net/", "spam-farm.example.org/", "adult-x.example.com/", "cheap-pills.example.net/", "free-bets.example.net/"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,5 +29,64 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(_read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join,)}
-CHECKS: dict[str, str] = {}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_read(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark).path}/tokens"
+    write_token_files(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_token_files, op4_decontaminate, op5_url_filter, op6_quality, op7_toxicity, op8_ann, op9_packing,
+                                   op10_token_counts)}
+
+_WORDS = """list_filter(string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"""
+_SHINGLES = """case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"""
+
+CHECKS: dict[str, str] = {
+    "op4_decontaminate": f"""
+        with d as (select doc_id, unnest({_SHINGLES}) as s from (select doc_id, {_WORDS.format(t="text")} as w from documents)),
+        i as (select item_id, len(g) as n, unnest(g) as s from (select item_id, {_SHINGLES} as g from (select item_id, {_WORDS.format(t="text")} as w from benchmark)))
+        select doc_id, item_id, n as n_shingles, count(*) as n_shared, count(*) / n as containment
+        from d join i using (s) group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+    "op5_url_filter": """
+        with r as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+        h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as h0 from r),
+        p as (select page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') as path from h),
+        rules(verdict, rule, rh, rp) as (values """ + ", ".join(f"('{v}', '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in RULES) + """),
+        blocked(bh) as (values """ + ", ".join(f"('{b[:-1]}')" for b in BLOCKED_HOSTS) + """),
+        best as (select page_id, max_by(rule, length(rule)) as rule, max_by(verdict, length(rule)) as verdict from p join rules
+                 on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
+        select page_id, host, path, rule, coalesce(best.verdict, case when starts_with(path, '/') and exists (select 1 from blocked where host = bh or ends_with(host, '.' || bh))
+               then 'block' else 'allow' end) as verdict from p left join best using (page_id)""",
+}
