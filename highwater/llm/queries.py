@@ -70,8 +70,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_token_files, op4_decontaminate, op5_url_filter, op6_quality, op7_toxicity, op8_ann, op9_packing,
                                    op10_token_counts)}
 
-_WORDS = """list_filter(string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"""
-_SHINGLES = """case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"""
+_WORDS = """[x for x in string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> '']"""
+_SHINGLES = """case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"""
 
 CHECKS: dict[str, str] = {
     "op4_decontaminate": f"""
