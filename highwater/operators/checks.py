@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from highwater.functions.geometry import col
 from highwater.functions.text import local_date
+from highwater.operators.ranges import number_rows
 from highwater.settings import (BBOX, DRAIN_TYPES, FLOOD_TYPES, NOT_SUGGESTED, ONLINE_PATTERN, PROJECT_DONE,
                                 PROJECT_EXCLUDED_AGENCIES, PROJECT_MAX_DAYS)
 
@@ -281,14 +282,13 @@ def check_weather(weather: DataFrame) -> DataFrame:
 
 def check_horizon(days: DataFrame, max_days: int = 7) -> DataFrame:
     """Forecast days: seq, date, the three rain columns, updated_at."""
-    few = days.select("seq", "date").orderBy("seq").limit(max_days + 1)  # a longer table is already a violation
-    ordered = few.agg(F.sort_array(F.collect_list(F.struct("seq", "date"))).alias("d"))
+    d = number_rows(days.select("seq", "date"), [F.col("seq"), F.col("date")], "_n")
+    after = d.select((F.col("_n") - 1).alias("_n"), F.col("date").alias("_next"))
     stats = days.agg(
         (~F.count(F.lit(1)).between(1, max_days)).cast("int").alias("length"),
         (F.count_distinct("updated_at") > 1).cast("int").alias("retrievals"),
         F.count_if(F.col("rain_mm").isNull() | F.col("rain_lag1_mm").isNull() | F.col("rain_prior3_mm").isNull()).alias("missing_rain"))
-    broken = ordered.select(F.size(F.filter(F.zip_with(F.slice("d", 1, max_days), F.slice("d", 2, max_days), lambda a, b: F.struct(
-        a["date"].alias("a"), b["date"].alias("b"))), lambda p: p["b"].isNotNull() & (F.date_diff(p["b"], p["a"]) != 1)))).scalar()
+    broken = d.join(after, "_n").agg(F.count_if(F.date_diff("_next", "date") != 1)).scalar()
     return _unpivot(stats.select("*", broken.alias("not_consecutive")),
                     ["length", "retrievals", "missing_rain", "not_consecutive"])
 

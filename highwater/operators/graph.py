@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from highwater.session import cut_lineage
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): connected groups named by their smallest id.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): every node is tied to the smallest
@@ -18,7 +18,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = cut_lineage(pairs.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     last = _signature(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,8 +31,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(e.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
@@ -66,12 +64,13 @@ def cell_components(cells: DataFrame) -> DataFrame:
 
 
 def cell_id(cx: Column, cy: Column) -> Column:
-    """One number per raster cell (up to a billion columns)."""
-    return cy.cast("bigint") * F.lit(1_000_000_000) + cx.cast("bigint")
+    """One number per raster cell. Columns outside 0 to a billion would share numbers, so they raise an error."""
+    cx = cx.cast("bigint")
+    return F.when((cx >= 0) & (cx < 1_000_000_000), cy.cast("bigint") * F.lit(1_000_000_000) + cx).when(
+        cx.isNotNull(), F.raise_error(F.lit("raster column outside 0..999999999")).cast("bigint"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 100_000,
-              rounds_per_job: int = 6) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, src: str = "u", dst: str = "v", rounds_per_job: int = 6) -> DataFrame:
     """Nodes that a breadth-first search from ``start`` (id) gets to, start included.
 
     Only nodes reached in the last round are extended. Each node also has an arc to itself, which carries it over to the
@@ -81,14 +80,13 @@ def reachable(edges: DataFrame, start: DataFrame, src: str = "u", dst: str = "v"
     nodes = arcs.select("id").unionByName(arcs.select(F.col("next").alias("id"))).unionByName(start.select("id")).distinct()
     arcs = cut_lineage(arcs.withColumn("self", F.lit(False)).unionByName(nodes.select("id", F.col("id").alias("next"), F.lit(True).alias("self"))))
     seen = cut_lineage(start.select("id", F.lit(True).alias("fresh")).distinct())
-    for _ in range(max_rounds):
+    while True:
         for _ in range(rounds_per_job):
             step = seen.join(arcs, "id").where(F.col("self") | F.col("fresh"))
             seen = step.groupBy(F.col("next").alias("id")).agg(F.min(~F.col("self")).alias("fresh"))
         seen = cut_lineage(seen)
         if seen.where("fresh").isEmpty():
             return seen.select("id")
-    raise RuntimeError("search did not end")
 
 
 def largest_scc(edges: DataFrame) -> DataFrame:
@@ -132,23 +130,23 @@ def _trim(e: DataFrame) -> tuple[DataFrame, int]:
         e = e.join(heads, "u", "left_semi").join(tails, "v", "left_semi")
 
 
-def batch_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, rounds_per_job: int = 6) -> tuple[DataFrame, DataFrame]:
+def batch_paths(edges: DataFrame, pairs: DataFrame, rounds_per_job: int = 6) -> tuple[DataFrame, DataFrame]:
     """Least-cost paths for many (source, target) pairs under several costs at once.
 
     ``edges``: u, v, edge_id, kind, cost (one row per cost kind; closed edges left out). ``pairs``: source, target.
     Returns (paths: kind, source, target, seq, edge_id, cost) and (summary: kind, source, target, total, null when
-    unreachable). Of equally cheap paths the one with fewest edges wins, then the smallest edge id.
+    unreachable). Of equally cheap paths the one with fewest edges wins, then the one whose first edge has the smallest id,
+    then the second, whatever other pairs are asked.
 
-    The search runs from whichever side has fewer distinct ends. Labels are kept per (kind, root, node); a label that
-    already costs more than the root's dearest wanted end is not extended, so a search stops near its targets.
+    The search always runs backwards, from the targets: trips start anywhere and end in few places. Labels are kept per
+    (kind, root, node); a label that already costs more than the root's dearest wanted end is not extended, so a search
+    stops near its sources.
     """
     edges = cut_lineage(edges)
     ends = cut_lineage(pairs.select("source", "target").distinct().where(F.col("source") != F.col("target")))
-    n_src, n_dst = ends.agg(F.count_distinct("source"), F.count_distinct("target")).first()
-    backward = n_dst < n_src
-    root, far = ("target", "source") if backward else ("source", "target")
+    root, far = "target", "source"
     arcs = edges.groupBy("kind", "u", "v").agg(F.min(F.struct("cost", "edge_id")).alias("b")).select(
-        "kind", F.col("v" if backward else "u").alias("node"), F.col("u" if backward else "v").alias("next"),
+        "kind", F.col("v").alias("node"), F.col("u").alias("next"),
         F.col("b.cost").alias("w"), F.col("b.edge_id").alias("arc"))
     kind_list = edges.agg(F.sort_array(F.collect_set("kind"))).scalar()  # the handful of cost columns
     roots = ends.select(F.col(root).alias("root")).distinct()
@@ -164,7 +162,7 @@ def batch_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, r
         F.lit(None).cast("string").alias("via"), F.lit(None).cast(node_type).alias("prev"), F.lit(True).alias("fresh")))
     keys = ["kind", "root", "node"]
     own = F.col("arc").isNull()
-    for _ in range(max_rounds):
+    while True:
         dist = dist.join(_dearest_end(dist, wanted), ["kind", "root"], "left")
         for _ in range(rounds_per_job):
             grow = F.col("fresh") & (F.col("dearest").isNull() | (F.col("d") < F.col("dearest")))
@@ -176,17 +174,13 @@ def batch_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 100_000, r
         dist = cut_lineage(dist.drop("dearest"))
         if dist.where("fresh").isEmpty():
             break
-    else:
-        raise RuntimeError("paths did not settle")
     settled = dist.select(*keys, "d")
     tree = cut_lineage(dist.where(F.col("via").isNotNull()).select(*keys, "prev", "via"))
     total = ends.select(F.explode(kind_list).alias("kind"), F.col(root).alias("root"), F.col(far).alias("node")).join(settled, keys, "left")
     summary = total.select("kind", F.col("root").alias(root), F.col("node").alias(far), F.col("d").alias("total")).select(
         "kind", "source", "target", "total")
-    paths = _walk_back(tree, total.where(F.col("d").isNotNull()), rounds_per_job, max_rounds)
-    # a backward search walks from the source on, a forward one from the target back
-    steps = F.col("path") if backward else F.reverse("path")
-    out = paths.select("kind", F.col("root").alias(root), F.col("end").alias(far), F.posexplode(steps).alias("pos", "edge_id"))
+    paths = _walk_back(tree, total.where(F.col("d").isNotNull()), rounds_per_job)
+    out = paths.select("kind", F.col("root").alias(root), F.col("end").alias(far), F.posexplode("path").alias("pos", "edge_id"))
     costs = edges.select("kind", "edge_id", "cost")
     return out.join(costs, ["kind", "edge_id"]).select(
         "kind", "source", "target", (F.col("pos") + 1).alias("seq"), "edge_id", "cost"), summary
@@ -200,10 +194,10 @@ def _dearest_end(dist: DataFrame, wanted: DataFrame) -> DataFrame:
         "kind", "root", F.when(F.col("_got") == F.col("_need"), F.col("_far")).alias("dearest")))
 
 
-def _walk_back(tree: DataFrame, ends: DataFrame, rounds_per_job: int, max_rounds: int) -> DataFrame:
+def _walk_back(tree: DataFrame, ends: DataFrame, rounds_per_job: int) -> DataFrame:
     """Follow predecessors from every end to its root, all ends in step; ``path`` lists the edges met on the way."""
     at = ends.select("kind", "root", F.col("node").alias("end"), "node", F.array().cast("array<string>").alias("path"))
-    for _ in range(max_rounds):
+    while True:
         for _ in range(rounds_per_job):
             at = at.join(tree, ["kind", "root", "node"], "left").select(
                 "kind", "root", "end", F.coalesce("prev", "node").alias("node"),
@@ -211,4 +205,3 @@ def _walk_back(tree: DataFrame, ends: DataFrame, rounds_per_job: int, max_rounds
         at = cut_lineage(at)
         if at.where(F.col("node") != F.col("root")).isEmpty():
             return at
-    raise RuntimeError("paths did not end")

@@ -105,25 +105,19 @@ def drain_layer(counts: DataFrame, edges: DataFrame) -> DataFrame:
         "edge_id", n.alias("drain_count"), per_100m(n, "length").alias("drains_per_100m"))
 
 
-def pct_within(df: DataFrame, value: str, group: str, out: str, source: DataFrame | None = None,
-               day_counts: bool = False) -> DataFrame:
+def pct_within(df: DataFrame, value: str, group: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Average-rank percentile among values > 0 of the group; 0 or less gives 0, null stays null.
 
     Ranks come from running counts of distinct values, so a group may be most of the table. ``source`` is a cheaper
-    table with the same (group, value) rows. ``day_counts`` says the value counts days: then there are at most as many
-    distinct values per group as days observed, which is small enough for one window and a broadcast.
+    table with the same (group, value) rows.
     """
     counts = (source if source is not None else df).where((F.col(value) > 0) & F.col(group).isNotNull()).groupBy(group, value).agg(
         F.count(F.lit(1)).alias("_n"))
-    if day_counts:
-        w = Window.partitionBy(group)
-        cum = counts.withColumns({"cum__n": F.sum("_n").over(w.orderBy(value)), "_total": F.sum("_n").over(w)})
-    else:
-        cum = prefix_sums(counts, [group], value, ["_n"]).join(counts.groupBy(group).agg(F.sum("_n").alias("_total")), group)
+    cum = prefix_sums(counts, [group], value, ["_n"]).join(counts.groupBy(group).agg(F.sum("_n").alias("_total")), group)
     ranks = cum.select(group, F.col(value).alias("_value"),
                        ((F.col("cum__n") - (F.col("_n") - 1) / 2.0) / F.col("_total")).alias("_pct"))
     keyed = df.withColumn("_value", F.when(F.col(value) > 0, F.col(value)))
-    return keyed.join(F.broadcast(ranks) if day_counts else ranks, [group, "_value"], "left").withColumn(
+    return keyed.join(ranks, [group, "_value"], "left").withColumn(
         out, F.when(F.col(value).isNotNull(), F.coalesce("_pct", F.lit(0.0)))).drop("_pct", "_value")
 
 
@@ -133,7 +127,7 @@ def scaled_parts(segments: DataFrame, weights: dict = RISK_WEIGHTS, sources: dic
     for name in [c for c in weights if c in segments.columns]:
         out = f"part_{name}"
         if name in RISK_PERCENTILE_WITHIN and RISK_PERCENTILE_WITHIN[name] in segments.columns:
-            df = pct_within(df, name, RISK_PERCENTILE_WITHIN[name], out, (sources or {}).get(name), day_counts=True)
+            df = pct_within(df, name, RISK_PERCENTILE_WITHIN[name], out, (sources or {}).get(name))
         elif name in RISK_RANGE:
             df = df.withColumn(out, scale01(name, *RISK_RANGE[name], invert=name in RISK_INVERT))
         else:

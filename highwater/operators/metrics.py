@@ -124,7 +124,7 @@ def reference_quantiles(pred: DataFrame, p="p", w="w", knots: int = 1001) -> Dat
 def relative_score(pred: DataFrame, knots: DataFrame, p="p", out="relative") -> DataFrame:
     """Place a probability among reference knots (k, p): mid-ranks for ties, linear between, 0 below and 1 above.
 
-    The knots (about a thousand) travel as one array; each row finds its place by bisection.
+    The knots travel as one array; each row finds its place by bisection, in as many halvings as the array needs.
     """
     knots = cut_lineage(knots)
     last = knots.agg(F.max("k")).scalar()
@@ -132,7 +132,8 @@ def relative_score(pred: DataFrame, knots: DataFrame, p="p", out="relative") ->
     table = ranks.agg(F.sort_array(F.collect_list(F.struct("p", "r"))).alias("t")).scalar()
     df = pred.select("*", table.alias("_t"))
     n, x = F.size("_t"), F.col(p)
-    pos = F.aggregate(F.array(*[F.lit(2**i) for i in range(11, -1, -1)]), F.lit(0), lambda i, s: F.when(
+    powers = F.transform(F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e).cast("int"))
+    pos = F.aggregate(powers, F.lit(0), lambda i, s: F.when(
         (i + s <= n) & (F.try_element_at("_t", i + s)["p"] <= x), i + s).otherwise(i))
     df = df.withColumn("_i", pos)
     a, b = F.try_element_at("_t", F.greatest(F.col("_i"), F.lit(1))), F.try_element_at("_t", F.col("_i") + 1)

@@ -15,7 +15,7 @@ from highwater.operators.metrics import budget_cutoff, confusion, metrics, refer
 from highwater.operators.panel import add_weather, eligible_days, range_flags, report_history
 from highwater.operators.ranges import exact_quantiles
 from highwater.settings import (ALERT_BUDGET, BRIDGE_CAP, HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, MODEL_FEATURES, RAIN_FEATURES,
-                                ROLLING_WINDOWS, SEED, WINDOWS)
+                                ROLLING_WINDOWS, SEED, STORM_RAIN, WINDOWS)
 
 
 @dataclass
@@ -207,7 +207,11 @@ def make_bundle(model: Fitted, panel: DataFrame, positives: DataFrame, **kw) ->
 
 
 def build_run(scenario: str, segments: DataFrame, bundle: Bundle, days: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(run row, street scores) for one day of weather, ready to publish."""
+    """(run row, street scores) for one day of weather, ready to publish. The storm scenario takes its fixed rain, whatever the
+    day's; the run keeps the rain it was scored on."""
+    if scenario == "storm":
+        days = days.withColumns({c: F.lit(float(STORM_RAIN[c])) for c in RAIN_FEATURES})
+    rain = days.agg(F.min_by(F.struct(*RAIN_FEATURES), "date")).scalar()
     scored = score_segments(segments, bundle, days)
     once = scored.groupBy("street_id").agg(F.min_by(F.struct("risk_score", "alert_probability", "score_source", "out_of_range"), "edge_id").alias("s")).select(
         "street_id", "s.*")
@@ -220,7 +224,7 @@ def build_run(scenario: str, segments: DataFrame, bundle: Bundle, days: DataFram
                         F.lit(bundle.version).alias("model_version"), "streets_scored",
                         F.struct("low", "medium", "high", "none").alias("labels"),
                         F.struct(F.lit(bundle.alert_cutoff).alias("high_at"), F.lit(bundle.alert_cutoff * 0.5).alias("medium_at")).alias("label_rule"),
-                        "out_of_range")
+                        rain.alias("rain"), "out_of_range")
     return run, scores.drop("out_of_range")
 
 

@@ -4,12 +4,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from highwater.functions.text import hash_fraction_bits, held_out, split_name
 from highwater.operators.graph import ticket_groups
 from highwater.operators.layers import street_table
-from highwater.session import cut_lineage
+from highwater.session import cut_lineage, n_buckets
 from highwater.settings import (HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, RAIN_FEATURES, SEED, TRAIN_END, VALIDATION_END,
                                 WINDOWS)
 
-HASH_BUCKETS = 1024
-
 
 def window_bounds(windows: dict, jurisdiction="jurisdiction") -> tuple[Column, Column]:
     """Observation start and end by jurisdiction, as expressions: no join for a handful of constants."""
@@ -93,9 +91,10 @@ def sample_negatives(panel: DataFrame, fraction: float, strata: list[str], seed:
     Weight n / k keeps the sums. Hash ranges are counted first: ranges wholly inside the sample pass as they are and only
     the rows of the range at the boundary are ordered, so a stratum may be any size.
     """
+    buckets = 64 * n_buckets(panel.sparkSession)  # a range shrinks as the cluster grows
     text = F.concat_ws(":", F.lit(str(seed)), F.col("street_id").cast("string"), F.col("date").cast("string"))
     neg = panel.where(F.col("target") == 0).withColumn("_h", hash_fraction_bits(text)).withColumn(
-        "_b", F.floor(F.col("_h") / (2**32 / HASH_BUCKETS)))
+        "_b", F.floor(F.col("_h") / (2**32 / buckets)))
     counts = neg.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*strata)
     before = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

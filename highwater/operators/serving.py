@@ -1,12 +1,11 @@
 """Risk as served: runs, labels, closures, maps, parking hazard, reports."""
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from highwater.functions.geometry import bearing, envelope
+from highwater.functions.geometry import envelope, segment_hits_box
 from highwater.functions.scoring import cutoff_label, label_rank, lot_hazard, weighted_mean_of, scale01
 from highwater.functions.text import traffic_delay
 from highwater.operators.checks import active_at
 from highwater.operators.spatial import _cell, line_segments, segment_cells
-from highwater.functions.geometry import segment_hits_box
 from highwater.settings import (LABELS, MAP_LIMIT, PARKING_RANGE, PARKING_WEIGHTS, RISK_HIGH, RISK_MEDIUM,
                                 RUN_STALE_HOURS)
 
@@ -121,10 +120,6 @@ def rate_lots(lots: DataFrame, level: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------ closures feed
-def with_bearing(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("bearing", bearing("geom"))
-
-
 def inside_box(df: DataFrame, geom: str, bbox) -> DataFrame:
     """Rows whose line meets an axis-parallel box (a single point counts as a line of no length)."""
     w, s, e, n = (F.lit(float(v)) for v in bbox)

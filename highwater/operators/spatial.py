@@ -5,12 +5,13 @@ its length; a point lives in exactly one cell, so a (point, segment) pair meets
 distance is plain arithmetic inside generated code. Polygons go to a grid level of their own size and cover at
 most nine cells there. A crowded cell is the skewed key of an ordinary equi-join, which adaptive execution splits.
 """
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from highwater.functions.geometry import (bearing, covers, drop_repeated_vertices, envelope, flat_distance_m,
+from highwater.functions.geometry import (bearing, covers, envelope, flat_distance_m,
                                           hausdorff, heads_toward, in_rings, line_length, point_segment_distance,
                                           point_at, sample_line, segment_hits_box, segments)
 from highwater.operators.checks import first_by, near_minimum
+from highwater.operators.ranges import exact_quantiles
 from highwater.session import cut_lineage
 from highwater.settings import (ACCESS_FAR_M, ACCESS_NEAR_M, CLOSURE_BUFFER_M, CLOSURE_MIN_OVERLAP, CLOSURE_SNAP_M,
                                 CLOSURE_TOLERANCE_DEG, COVERAGE_M, M_PER_DEG_LAT, M_PER_DEG_LON, REPORT_SNAP_M,
@@ -174,8 +175,6 @@ def nearest_or_fallback(lots: DataFrame, lines: DataFrame, near_m: float = ACCES
     """Roads within near_m of a lot; a lot with none takes its nearest road(s) within far_m."""
     near = cut_lineage(lot_line_pairs(lots, lines, near_m, lot_id).withColumn("access_method", F.lit("adjacent")))
     misses = lots.join(near.select(lot_id).distinct(), lot_id, "left_anti")
-    if misses.isEmpty():
-        return near
     far = near_minimum(lot_line_pairs(misses, lines, far_m, lot_id), [lot_id], "dist") \
         .withColumn("access_method", F.lit("nearest"))
     return near.unionByName(far)
@@ -313,19 +312,24 @@ def pair_twins(edges: DataFrame, tol_m: float = TWIN_TOLERANCE_M) -> DataFrame:
 
 
 # ------------------------------------------------------------------ nearest node
-def nearest_node(points: DataFrame, nodes: DataFrame, limit_m: float = COVERAGE_M, lat0: float | None = None,
-                 max_levels: int = 24) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, limit_m: float = COVERAGE_M, lat0: float | None = None) -> DataFrame:
     """Nearest node of each point, however far, with ``dist`` and ``in_area`` (dist <= limit_m).
 
     Rings grow: a point is settled once its best distance is inside the radius searched; the rest try a grid
-    twice as coarse. With ``lat0`` x/y are lon/lat near that latitude and distances are equirectangular metres.
+    twice as coarse, until a ring spans points and nodes. With ``lat0`` x/y are lon/lat near that latitude and distances
+    are equirectangular metres. Points without coordinates, and all if there are no nodes, get nulls.
     """
     sx, sy = (1.0, 1.0) if lat0 is None else (M_PER_DEG_LON * F.cos(F.radians(F.lit(lat0))), M_PER_DEG_LAT)
     slack = 1.0 if lat0 is None else 1.05
-    n = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    left, found = points, None
-    for level in range(max_levels):
-        r = float(limit_m) * 2 ** level
+    ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    n = cut_lineage(nodes.where(ok).select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")))
+    left, found = cut_lineage(points.where(ok).select("point_id", "x", "y")), None
+    span = left.select(F.col("x") * sx, F.col("y") * sy).union(n.select(F.col("nx") * sx, F.col("ny") * sy)).toDF("x", "y").agg(
+        F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    reach = slack * (((span[0] or 0.0) ** 2 + (span[1] or 0.0) ** 2) ** 0.5 + 1.0)
+    r = float(limit_m) / 2
+    while r < reach or found is None:
+        r *= 2
         side = r * slack
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         p = (left.select("point_id", "x", "y", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
@@ -337,9 +341,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, limit_m: float = COVERAGE_
             d = flat_distance_m("x", "y", "nx", "ny")
         best = p.join(q, ["cx", "cy"]).groupBy("point_id").agg(
             F.min(F.struct(F.round(d, 6).alias("dist"), "node_id")).alias("b")).where(F.col("b.dist") <= r)
-        hit = best.select("point_id", "b.node_id", "b.dist")
+        hit = cut_lineage(best.select("point_id", "b.node_id", "b.dist"))
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit, "point_id", "left_anti")
+        left = cut_lineage(left.join(hit, "point_id", "left_anti"))
         if left.isEmpty():
             break
     return points.join(found, "point_id", "left").withColumn("in_area", F.col("dist") <= limit_m)
@@ -383,12 +387,17 @@ def zonal_cells(polygons: DataFrame, cells: DataFrame, poly_id: str, x0: float,
 
 
 def zonal_stats(poly_cells: DataFrame, poly_id: str, z: str = "z", depth: str = "depth", min_depth: float = 0.10) -> DataFrame:
-    """Ground and ponding statistics per polygon."""
-    return poly_cells.groupBy(poly_id).agg(
-        F.count(z).alias("cells"), F.percentile(z, F.lit(0.1)).alias("elev_p10"), F.percentile(z, F.lit(0.5)).alias("elev_median"),
-        F.avg((F.col(depth) >= min_depth).cast("double")).alias("pond_frac"),
-        F.percentile(depth, F.lit(0.9)).alias("pond_depth_p90"), F.max(depth).alias("pond_depth_max"),
-        F.avg(z).alias("elev_mean"))
+    """Ground and ponding statistics per polygon. Quantiles are exact and come from value ranges, so a polygon may hold any
+    number of cells."""
+    poly_cells = cut_lineage(poly_cells)
+    stats = poly_cells.groupBy(poly_id).agg(
+        F.count(z).alias("cells"), F.avg((F.col(depth) >= min_depth).cast("double")).alias("pond_frac"),
+        F.max(depth).alias("pond_depth_max"), F.avg(z).alias("elev_mean"))
+    at = lambda p, name: F.max(F.when(F.col("prob") == p, F.col("q"))).alias(name)
+    ground = exact_quantiles(poly_cells, [poly_id], z, [0.1, 0.5]).groupBy(poly_id).agg(at(0.1, "elev_p10"), at(0.5, "elev_median"))
+    water = exact_quantiles(poly_cells, [poly_id], depth, [0.9]).groupBy(poly_id).agg(at(0.9, "pond_depth_p90"))
+    return stats.join(ground, poly_id, "left").join(water, poly_id, "left").select(
+        poly_id, "cells", "elev_p10", "elev_median", "pond_frac", "pond_depth_p90", "pond_depth_max", "elev_mean")
 
 
 def hotspot_stats(cells: DataFrame, cell_area: float, min_area: float) -> DataFrame:
@@ -412,8 +421,10 @@ def touching_names(cells: DataFrame, polys: DataFrame | None, lines: DataFrame |
         x, y, eps = F.col("cx").cast("double"), F.col("cy").cast("double"), 1e-9  # a corner just touched counts, whatever the rounding
         hits = on.where(segment_hits_box(*[F.col(c) for c in SEG], x - eps, y - eps, x + 1 + eps, y + 1 + eps)) \
             .select("component", "name")
-    names = hits.distinct().groupBy("component").agg(F.sort_array(F.collect_list("name")).alias("_n"))
-    return names.select("component", F.array_join(F.slice("_n", 1, limit) if limit else F.col("_n"), "; ").alias("names"))
+    names = hits.distinct()
+    if limit:  # only the names that are shown are gathered
+        names = names.withColumn("_r", F.row_number().over(Window.partitionBy("component").orderBy("name"))).where(F.col("_r") <= limit)
+    return names.groupBy("component").agg(F.array_join(F.sort_array(F.collect_list("name")), "; ").alias("names"))
 
 
 def covered_share(cells: DataFrame, polygons: DataFrame, poly_id: str, x0, y0, w, h) -> DataFrame:
@@ -427,7 +438,3 @@ def covered_share(cells: DataFrame, polygons: DataFrame, poly_id: str, x0, y0, w
 def drop_covered(cells: DataFrame, polygons: DataFrame, poly_id: str, x0, y0, w, h, max_share: float = 0.5) -> DataFrame:
     ok = covered_share(cells, polygons, poly_id, x0, y0, w, h).where(F.col("share") <= max_share)
     return cells.join(ok.select("component"), "component", "left_semi")
-
-
-def clean_lines(segments_df: DataFrame) -> DataFrame:
-    return segments_df.withColumn("geom", drop_repeated_vertices("geom"))

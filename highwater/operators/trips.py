@@ -1,5 +1,4 @@
 """Routes, trips, parking choice, schedules, alerts, dashboards: request tables in, answer tables out."""
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -139,15 +138,19 @@ def detours(suggested: DataFrame, usual: DataFrame, budget: int = 3) -> DataFram
 
 
 # ------------------------------------------------------------------ parking choice
-def nearest_k(points: DataFrame, targets: DataFrame, k: int, radius: float, max_levels: int = 24) -> DataFrame:
-    """Up to k nearest targets per point (ties by id), by growing rings. points: point_id, x, y. targets: target_id, x, y."""
-    points, targets = cut_lineage(points), cut_lineage(targets)
+def nearest_k(points: DataFrame, targets: DataFrame, k: int, radius: float) -> DataFrame:
+    """Up to k nearest targets per point (ties by id), by growing rings until a ring spans all of them. points: point_id, x, y. targets: target_id, x, y.
+
+    Rows without coordinates have no neighbours."""
+    ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    points, targets = cut_lineage(points.where(ok)), cut_lineage(targets.where(ok))
     ext = targets.unionByName(points.select(F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id"), "x", "y")).agg(
         F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     reach = ((ext[0] or 0.0) ** 2 + (ext[1] or 0.0) ** 2) ** 0.5 + 1.0
     left, found = points, None
-    for level in range(max_levels):
-        r = radius * 2 ** level
+    r = radius / 2
+    while True:
+        r *= 2
         cell = lambda c: F.floor(F.col(c) / r).cast("bigint")  # noqa: E731,B023
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         p = left.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(around).alias("_i")).select(
@@ -462,7 +465,3 @@ def trip_times(routes: DataFrame, seconds: str = "seconds") -> DataFrame:
     depart = F.when(F.col("arrive_by").isNotNull(), F.timestamp_micros(F.unix_micros("arrive_by") - s)).otherwise(F.col("depart_at"))
     arrive = F.coalesce("arrive_by", F.timestamp_micros(F.unix_micros("depart_at") + s))
     return routes.withColumns({"departs": iso_utc(depart), "arrives": iso_utc(arrive)})
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -4,10 +4,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-# exact percentiles keep one small object per group; below this many groups per task they stay hashed instead of sorted
-TUNING = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000"}
-
-
 def build_session(master: str | None = None, app: str = "highwater", partitions: int | None = None) -> SparkSession:
     """A session with UTC clocks and adaptive execution on. ``master`` is only for local use."""
     b = (SparkSession.builder.appName(app)
@@ -16,8 +12,6 @@ def build_session(master: str | None = None, app: str = "highwater", partitions:
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
-    for key, value in TUNING.items():
-        b = b.config(key, value)
     if master:
         b = (b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
              .config("spark.driver.host", "localhost"))
@@ -28,7 +22,7 @@ def build_session(master: str | None = None, app: str = "highwater", partitions:
 
 def n_buckets(spark: SparkSession) -> int:
     """How many value ranges a distributed running sum is cut into."""
-    return max(4, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

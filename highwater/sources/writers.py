@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from highwater.functions.geometry import col, round_path
 from highwater.operators.checks import compare_keys
 from highwater.operators.trips import upsert
+from highwater.session import cut_lineage
 
 
 def write_layer(df: DataFrame, path: str) -> None:
@@ -19,11 +20,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """The full population by day, in one job. Rows of a day are spread first, so no day is one task's work."""
-    df.repartition("date", (F.xxhash64("street_id") % 16)).write.mode("overwrite").partitionBy("date").parquet(path)
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition("date", F.pmod(F.xxhash64("street_id"), F.lit(slices))).write.mode("overwrite").partitionBy("date").parquet(path)
 
 
 def replace_keyed(df: DataFrame, path: str, key: str) -> dict:
     """Full refresh of a keyed set, then compare what was written with what should be."""
+    df = cut_lineage(df)
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).limit(1).count()
     if repeated:
         raise ValueError(f"{key} repeats or is null; nothing written")
@@ -66,13 +69,15 @@ def upsert_table(changes: DataFrame, path: str, key: list[str], ts: str) -> None
 
 # ------------------------------------------------------------------ runs
 def publish_run(scores: DataFrame, run: DataFrame, path: str) -> dict:
-    """Publish a scoring run: scores first, counted, then the marker row, then older runs of the scenario are dropped.
+    """Publish a scoring run: scores first, counted, then the marker row, then runs of the scenario that were computed earlier
+    are dropped. Later runs, and folders still being written, stay.
 
     Readers join through the marker table, so half a run is never seen; a failed run leaves no marker and publishing it
     again overwrites its own folder only.
     """
     spark = scores.sparkSession
     r = run.select("run_id", "scenario").first()
+    scores = cut_lineage(scores)  # evaluated once: counted and written from the same rows
     want = scores.count()
     target = f"{path}/risk_scores/scenario={r['scenario']}/run_id={_safe(r['run_id'])}"
     scores.drop("scenario", "run_id").write.mode("overwrite").parquet(target)
@@ -80,21 +85,24 @@ def publish_run(scores: DataFrame, run: DataFrame, path: str) -> dict:
     if got != want:
         raise RuntimeError(f"{got} of {want} scores written; run not published")
     run.withColumn("folder", F.lit(target)).coalesce(1).write.mode("append").parquet(f"{path}/risk_runs")
-    return {"run_id": r["run_id"], "written": got, "dropped": _drop_old_runs(spark, path, r["scenario"], target)}
+    return {"run_id": r["run_id"], "written": got, "dropped": _drop_old_runs(spark, path, r["scenario"])}
 
 
 def _safe(text: str) -> str:
     return text.replace(":", "-")
 
 
-def _drop_old_runs(spark: SparkSession, path: str, scenario: str, keep: str) -> int:
-    """Remove the scenario's other score folders through the file system Spark itself uses."""
+def _drop_old_runs(spark: SparkSession, path: str, scenario: str) -> int:
+    """Remove the scenario's published folders whose run is older than the newest one, through the file system Spark itself uses."""
+    runs = spark.read.parquet(f"{path}/risk_runs").where(F.col("scenario") == scenario)
+    old = runs.join(runs.agg(F.max("computed_at").alias("_newest")), F.col("computed_at") < F.col("_newest")).select("folder").distinct()
+    names = {r["folder"].rsplit("/", 1)[1] for r in old.collect()}  # one short string per published run
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     parent = jvm.org.apache.hadoop.fs.Path(f"{path}/risk_scores/scenario={scenario}")
     fs = parent.getFileSystem(conf)
     dropped = 0
     for s in fs.listStatus(parent):
-        if s.getPath().getName() != keep.rsplit("/", 1)[1]:
+        if s.getPath().getName() in names:
             dropped += bool(fs.delete(s.getPath(), True))
     return dropped
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from highwater.operators.checks import active_at
+from highwater.session import cut_lineage
 from highwater.settings import ALERT_REFRESH_SECONDS, RUN_STALE_HOURS, SEVERITY_RANK
 from highwater.sources.writers import read_versioned, upsert_table, write_versioned
 
@@ -51,10 +52,12 @@ def source_health(stream: DataFrame) -> DataFrame:
 
 
 def closure_refresh(stream: DataFrame, path: str, checkpoint: str):
-    """Each snapshot of the closure feed replaces the one before; readers keep the last complete version."""
+    """Each snapshot of the closure feed replaces an older one; readers keep the last complete version. A snapshot that
+    arrives late, older than the table's, is ignored."""
     def replace(batch: DataFrame, _epoch: int) -> None:
-        last = batch.agg(F.max("snapshot")).first()[0]
-        if last is not None:
+        batch = cut_lineage(batch)
+        last, table = batch.agg(F.max("snapshot")).first()[0], read_versioned(batch.sparkSession, path)
+        if last is not None and (table is None or table.where(F.col("snapshot") > F.lit(last)).isEmpty()):
             write_versioned(batch.where(F.col("snapshot") == F.lit(last)), path)
     return stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
 

@@ -82,14 +82,13 @@ def test_scale_and_mean_edge_cases(spark):
 @given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.one_of(st.none(), st.integers(0, 5))), min_size=1, max_size=30))
 def test_pct_within_property(spark, rows):
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "i int, g string, v int")
-    for days in (False, True):
-        for r in L.pct_within(df, "v", "g", "p", day_counts=days).collect():
-            if r["v"] is None:
-                assert r["p"] is None
-                continue
-            pos = [v for g, v in rows if g == r["g"] and v]
-            want = 0.0 if r["v"] == 0 else (sum(v < r["v"] for v in pos) + (sum(v == r["v"] for v in pos) + 1) / 2) / len(pos)
-            assert abs(r["p"] - want) < 1e-12
+    for r in L.pct_within(df, "v", "g", "p").collect():
+        if r["v"] is None:
+            assert r["p"] is None
+            continue
+        pos = [v for g, v in rows if g == r["g"] and v]
+        want = 0.0 if r["v"] == 0 else (sum(v < r["v"] for v in pos) + (sum(v == r["v"] for v in pos) + 1) / 2) / len(pos)
+        assert abs(r["p"] - want) < 1e-12
 
 
 @settings(max_examples=6, deadline=None)

@@ -98,6 +98,11 @@ def test_closure_refresh_and_upsert(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r["closure_id"] for r in read_versioned(spark, path).collect()) == ["c2", "c3"]
     assert [(r["closure_id"], r["full_closure"]) for r in J.closures_now(spark, path, "2026-09-28 12:10:00").collect()] == [("c2", False)]
+    (tmp_path / "late").mkdir()
+    late = Feed(spark, tmp_path / "late", "snapshot bigint, closure_id string, edge_id string, start timestamp, end timestamp, full_closure boolean")
+    late.add([(1, "c9", "e9", T0, None, True)])
+    J.closure_refresh(late.stream(), path, str(tmp_path / "ck3")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r["closure_id"] for r in read_versioned(spark, path).collect()) == ["c2", "c3"]
     up = str(tmp_path / "table")
     q = J.upsert_stream(f.stream(), up, ["closure_id"], "snapshot", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
