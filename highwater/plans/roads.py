@@ -388,12 +388,28 @@ def _(T):
     return C.check_domains(T.fx_static, ["city"])
 
 
-@query("v3_check_weather", """select 'empty' as "check", 0::bigint as violations union all select 'unit', 0 union all select 'zone', 0
-  union all select 'bad_rain', count(*) from fx_weather_raw where rain_mm < 60 union all select 'repeated_date', 0
-  union all select 'gaps', greatest(date_diff('day', min(date), max(date)) + 1 - count(*), 0) from fx_weather_raw""")
+@query("v3_check_weather", """with b as (select date, rain_mm, extract(day from date) as d from fx_weather_raw), w as (select * from b union all select * from b where d % 5 = 0)
+  select 'empty' as "check", 0::bigint as violations union all select 'unit', count(*) from w where d % 7 = 0 union all select 'zone', count(*) from w where d % 11 = 0
+  union all select 'bad_rain', count(*) from w where rain_mm < 60 union all select 'repeated_date', count(*) - count(distinct date) from w
+  union all select 'gaps', count(*) from (select date, lead(date) over (order by date) as n from (select distinct date from w where d % 3 > 0) t) x where n > date + 1""")
 def _(T):
-    w = T.fx_weather_raw.select("date", F.when(F.col("rain_mm") >= 60, F.col("rain_mm")).otherwise(-1.0).alias("rain_mm"), F.lit("mm").alias("unit"), F.lit("America/New_York").alias("zone"))
-    return C.check_weather(w)
+    day = F.dayofmonth("date")
+    w = T.fx_weather_raw.select("date", F.when(F.col("rain_mm") >= 60, F.col("rain_mm")).otherwise(-1.0).alias("rain_mm"), F.when(day % 7 == 0, "in").otherwise("mm").alias("unit"),
+                                F.when(day % 11 == 0, "UTC").otherwise("America/New_York").alias("zone"))
+    w = w.unionByName(w.where(day % 5 == 0))
+    gaps = C.check_weather(w.where(day % 3 > 0)).where(F.col("check") == "gaps")
+    return C.check_weather(w).where(F.col("check") != "gaps").unionByName(gaps)
+
+
+@query("v4_check_horizon", """with w as (select date, rain_mm, lead(date) over (order by date) as n from fx_weather where extract(day from date) <> 13)
+  select 'length' as "check", (case when count(*) between 1 and 7 then 0 else 1 end)::bigint as violations from w union all select 'retrievals', case when count(distinct extract(month from date)) > 1 then 1 else 0 end from w
+  union all select 'missing_rain', count(*) from w where rain_mm < 60 union all select 'not_consecutive', count(*) from w where n <> date + 1""")
+def _(T):
+    """A whole history in place of a week: too long, with gaps on every 13th, rain left out where it is low, one retrieval a month."""
+    days = T.fx_weather.where(F.dayofmonth("date") != 13).select(
+        F.datediff("date", F.lit("2000-01-01").cast("date")).alias("seq"), "date", F.when(F.col("rain_mm") >= 60, F.col("rain_mm")).alias("rain_mm"),
+        "rain_lag1_mm", "rain_prior3_mm", F.month("date").cast("string").alias("updated_at"))
+    return C.check_horizon(days)
 
 
 @query("v5_compare_keys", """select count(*) filter (where b is null) as only_a, count(*) filter (where a is null) as only_b, count(*) filter (where a is not null and b is not null) as both
@@ -506,12 +522,10 @@ def _(T):
     return C.near_minimum(T.fx_edge.select("u", "v", "edge_id", "length"), ["u", "v"], "length", 1.5).select("u", "v", "edge_id")
 
 
-@query("w12_day_gaps", """select cast(d as varchar) as date from (select distinct cast(o_orderdate as date) as d from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F') t
-  where d + 1 not in (select cast(o_orderdate as date) from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')
-  and d < (select max(cast(o_orderdate as date)) from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')""")
+@query("w12_day_gaps", """with t as (select distinct cast(o_orderdate as date) as d from orders)
+  select cast(d as varchar) as date from t where d + 1 not in (select d from t) and d < (select max(d) from t)""")
 def _(T):
-    d = T.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.to_date("o_orderdate").alias("date"))
-    return text(C.day_gaps(d), "date")
+    return text(C.day_gaps(T.orders.select(F.to_date("o_orderdate").alias("date"))), "date")
 
 
 @query("x18_stable_ids", """select o_orderkey, concat(o_orderkey, '_', o_custkey, '_0') as edge_id, concat('r_', substr(sha1(o_orderstatus || o_orderkey), 1, 8)) as rid,

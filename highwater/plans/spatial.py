@@ -277,12 +277,12 @@ def _(T):
     return T.lines().join(c, "edge_id").select("edge_id", G.heads_toward(G.bearing("geom"), "direction").alias("ok"))
 
 
-@query("x10_hausdorff", f"select a.edge_id as a, b.edge_id as b, round({_hausdorff('a', 'b')}, 6) as d from fx_edge a join fx_edge b on a.u = b.u and a.v = b.v and a.key = 0 and b.key = 1")
+@query("x10_hausdorff", f"select a.edge_id as a, b.edge_id as b, round({_hausdorff('a', 'b')}, 6) as d from fx_edge a join fx_edge b on a.u = b.u and a.v = b.v and a.key < b.key")
 def _(T):
     e = T.lines().select("u", "v", "key", "edge_id", "geom")
-    a = e.where("key = 0").select("u", "v", F.col("edge_id").alias("a"), F.col("geom").alias("ga"))
-    b = e.where("key = 1").select("u", "v", F.col("edge_id").alias("b"), F.col("geom").alias("gb"))
-    return r6(a.join(b, ["u", "v"]).select("a", "b", G.hausdorff("ga", "gb").alias("d")))
+    a = e.select("u", "v", F.col("key").alias("ka"), F.col("edge_id").alias("a"), F.col("geom").alias("ga"))
+    b = e.select("u", "v", F.col("key").alias("kb"), F.col("edge_id").alias("b"), F.col("geom").alias("gb"))
+    return r6(a.join(b, ["u", "v"]).where("ka < kb").select("a", "b", G.hausdorff("ga", "gb").alias("d")))
 
 
 @query("f22_drop_repeated_vertices", "select edge_id, case when ok % 2 = 0 then 3 end as n from fx_edge")
