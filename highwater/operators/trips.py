@@ -9,8 +9,8 @@ from highwater.functions.text import (clock, fill, iso_utc, leave_by, minus_minu
 from highwater.operators.checks import first_by, in_person, suggestable
 from highwater.operators.graph import batch_paths
 from highwater.session import cut_lineage
-from highwater.settings import (COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M, ONLINE_PATTERN, SEVERITY_RANK,
-                                TIME_ZONE, TRAFFIC_ALERT_MINUTES, WEATHER_SEVERITY, WEEKDAYS)
+from highwater.settings import (ALERT_LOOKAHEAD_HOURS, COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M,
+                                ONLINE_PATTERN, SEVERITY_RANK, TIME_ZONE, TRAFFIC_ALERT_MINUTES, WEATHER_SEVERITY, WEEKDAYS)
 
 
 # ------------------------------------------------------------------ routes
@@ -329,49 +329,56 @@ def next_trips(queries: DataFrame, plans: DataFrame, now) -> DataFrame:
 
 
 # ------------------------------------------------------------------ alerts and dashboards
-ALERT = ["alert_key", "source", "type", "severity", "title", "message"]
+ALERT = ["alert_key", "source", "type", "severity", "title", "message", "event_id", "segment_id", "parking_id", "expires_at"]
 
 
-def _alert(key, source, kind, severity, title, message) -> Column:
+def _alert(key, source, kind, severity, title, message, **more) -> Column:
     severity = severity if isinstance(severity, Column) else F.lit(severity)
+    rest = [more.get(c, F.lit(None)).cast("timestamp" if c == "expires_at" else "string").alias(c) for c in ALERT[6:]]
     return F.struct(key.alias("alert_key"), F.lit(source).alias("source"), F.lit(kind).alias("type"), severity.alias("severity"),
-                    F.concat(F.initcap(severity), F.lit(": "), title).alias("title"), message.alias("message"))
+                    F.concat(F.initcap(severity), F.lit(": "), title).alias("title"), message.alias("message"), *rest)
 
 
-def trip_alerts(trips: DataFrame, zone: str = TIME_ZONE) -> DataFrame:
+def trip_alerts(trips: DataFrame, now=None, zone: str = TIME_ZONE) -> DataFrame:
     """Alert rows a planned trip gives rise to; texts name levels, never measurements.
 
-    trips: user_id, event_id, event_name, leave_by, compromised, action, street, lot_name, lot_hazardous, other_lot,
-    delay_minutes, closures array<struct<closure_id,name,full>>.
+    trips: user_id, event_id, event_name, start_ts, leave_by, compromised, action, street, segment_id (the worst segment of high
+    risk on the usual route), lot_id, lot_name, lot_hazardous, other_lot, delay_minutes, closures
+    array<struct<closure_id,name,full>>. Alerts expire when the event starts. With ``now``, only events that start within the
+    lookahead give rise to any.
     """
+    if now is not None:
+        trips = trips.where(F.unix_micros("start_ts") - F.unix_micros(F.lit(now).cast("timestamp")) <= ALERT_LOOKAHEAD_HOURS * 3_600_000_000)
     event, leave = F.col("event_name"), clock("leave_by", zone)
+    base = {"event_id": F.col("event_id"), "expires_at": F.col("start_ts")}
     key = lambda kind, *more: F.concat_ws("|", F.lit(kind), F.col("event_id"), *more)
     advice = (F.when(F.col("action") == "reroute", fill("advice_reroute")).when(F.col("action") == "reroute_caution", fill("advice_caution"))
               .otherwise(fill("advice_none")))
     around = F.coalesce(fill("around", street="street"), F.lit(""))
     route = F.when(F.col("compromised"), _alert(
         key("route_flood"), "trip", "route_flood", F.when(F.col("action") == "no_alternative", "critical").otherwise("warning"),
-        fill("route_flood_title", event=event), fill("route_flood", around=around, advice=advice, time=leave)))
+        fill("route_flood_title", event=event), fill("route_flood", around=around, advice=advice, time=leave), segment_id=F.col("segment_id"), **base))
     instead = F.coalesce(fill("park_instead", lot="other_lot"), fill("no_lot"))
     lot = F.when(F.coalesce("lot_hazardous", F.lit(False)), _alert(
-        key("parking_flood"), "trip", "parking_flood", "warning", fill("parking_title", lot="lot_name"), fill("parking", lot="lot_name", instead=instead)))
+        key("parking_flood"), "trip", "parking_flood", "warning", fill("parking_title", lot="lot_name"), fill("parking", lot="lot_name", instead=instead),
+        parking_id=F.col("lot_id"), **base))
     slow = F.when(F.col("delay_minutes") >= TRAFFIC_ALERT_MINUTES, _alert(
-        key("leave_earlier"), "trip", "leave_earlier", "info", fill("traffic_title", event=event), fill("traffic", time=leave)))
+        key("leave_earlier"), "trip", "leave_earlier", "info", fill("traffic_title", event=event), fill("traffic", time=leave), **base))
     works = F.transform(F.coalesce("closures", F.array().cast("array<struct<closure_id:string,name:string,full:boolean>>")), lambda c: _alert(
         key("closure", c["closure_id"]), "trip", "closure", "info", fill("closure_title", event=event),
-        fill("closure", name=c["name"], what=F.when(c["full"], fill("closed")).otherwise(fill("works")))))
+        fill("closure", name=c["name"], what=F.when(c["full"], fill("closed")).otherwise(fill("works"))), **base))
     rows = F.filter(F.concat(F.array(route, lot, slow), works), lambda a: a.isNotNull())
     return with_alert_id(trips.select("user_id", F.explode(rows).alias("a")).select("user_id", "a.*"))
 
 
 def weather_alert_rows(weather: DataFrame) -> DataFrame:
-    """user_id, id, event, severity -> alert rows."""
+    """user_id, id, event, severity, ends -> alert rows that expire when the warning ends."""
     sev = F.lit("info")
     for name, level in WEATHER_SEVERITY.items():
         sev = F.when(F.col("severity") == name, level).otherwise(sev)
     said = F.col("severity").isNotNull() & (F.col("severity") != "Unknown")
     msg = fill("weather", severity=F.when(said, fill("weather_severity", level=F.lower("severity"))).otherwise(""))
-    a = _alert(F.concat(F.lit("nws|"), F.col("id")), "nws", "weather_warning", sev, F.col("event"), msg)
+    a = _alert(F.concat(F.lit("nws|"), F.col("id")), "nws", "weather_warning", sev, F.col("event"), msg, expires_at=F.col("ends"))
     return with_alert_id(weather.select("user_id", a.alias("a")).select("user_id", "a.*"))
 
 

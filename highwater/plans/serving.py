@@ -1,9 +1,13 @@
 """Registered queries: runs, labels, closures, conditions, parking, routes, trips, people."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from highwater.functions import scoring as S, text as X
 from highwater.operators import checks as C, layers as L, serving as V, trips as R
 from highwater.plans.registry import query, r6, text, ts
+from highwater.session import shared_folder
+from highwater.sources.writers import replace_keyed
 
 RANK = "case {c} when 'critical' then 2 when 'warning' then 1 else 0 end"
 
@@ -72,9 +76,13 @@ def _(T):
     return L.top_n(s, [F.desc("km"), F.asc("closure_id")], 10).select("closure_id", "edges", "km")
 
 
-@query("s15_closure_links", "select concat(closure_id, '|', edge_id) as id, count(*) as n from fx_closure group by 1")
+@query("s15_closure_links", "select distinct concat(closure_id, '|', edge_id) as id, closure_id, edge_id from fx_closure")
 def _(T):
-    return C.value_counts(T.fx_closure.select(F.concat_ws("|", "closure_id", "edge_id").alias("id")), ["id"])
+    """The closure links written as a keyed set, then read back."""
+    links = T.fx_closure.select(F.concat_ws("|", "closure_id", "edge_id").alias("id"), "closure_id", "edge_id").distinct()
+    path = f"{shared_folder(links.sparkSession)}/links-{uuid.uuid4().hex}"
+    replace_keyed(links, path, "id")
+    return links.sparkSession.read.parquet(path)
 
 
 # ------------------------------------------------------------------ live conditions
@@ -426,35 +434,42 @@ def _(T):
     return C.delete_where(T.fx_trip.withColumn("demo", F.col("status") == "P"), "u7", "demo").select("trip_id")
 
 
-@query("x30_trip_alerts", f"""with t as (select trip_id, user_id, concat('e', trip_id) as e, concat('Class ', trip_id % 40) as nm, ltrim(strftime(timezone('America/New_York', timezone('UTC', arrive_by)), '%I:%M %p'), '0') as lv, status, prio, trip_id % 20 as dl from fx_trip),
+@query("x30_trip_alerts", f"""with t as (select trip_id, user_id, concat('e', trip_id) as e, concat('Class ', trip_id % 40) as nm, ltrim(strftime(timezone('America/New_York', timezone('UTC', arrive_by)), '%I:%M %p'), '0') as lv, status, prio, trip_id % 20 as dl,
+    {ts("arrive_by + interval 1 hour")} as ends, case when from_node % 9 > 0 then ' around Street ' || (from_node % 9) else '' end as wh, case when trip_id % 4 > 0 then 'Park at Lot ' || (trip_id % 11) || ' instead.' else 'No nearby lot is clearly safer, so allow extra time.' end as other
+    from fx_trip where arrive_by + interval 1 hour <= timestamp '1997-01-01 12:00:00'),
   r as (select user_id, 'route_flood|' || e as alert_key, 'trip' as source, 'route_flood' as type, case when status = 'P' then 'critical' else 'warning' end as severity, case when status = 'P' then 'Critical' else 'Warning' end || ': Flooding expected on your route to ' || nm as title,
-      'Estimated flood levels are high on your usual route around Street 1. ' || case status when 'P' then 'There is no safer way around. Drive carefully, or leave later if you can.' else 'Take the safer route.' end || ' Leave by ' || lv || '.' as message from t where prio = '1-URGENT'
-    union all select user_id, 'parking_flood|' || e, 'trip', 'parking_flood', 'warning', 'Warning: Lot A may flood', 'Estimated flood levels are high at Lot A. No nearby lot is clearly safer, so allow extra time.' from t where prio = '2-HIGH'
-    union all select user_id, 'leave_earlier|' || e, 'trip', 'leave_earlier', 'info', 'Info: Heavy traffic on the way to ' || nm, 'Traffic is heavier than usual. Leave by ' || lv || '.' from t where dl >= 10
-    union all select user_id, 'closure|' || e || '|c1', 'trip', 'closure', 'info', 'Info: Road work on your route to ' || nm, 'Main St is closed. Your leave-by time already allows for it.' from t where status = 'F')
+      'Estimated flood levels are high on your usual route' || wh || '. ' || case status when 'P' then 'There is no safer way around. Drive carefully, or leave later if you can.' when 'O' then 'Take the safer route and drive carefully: it avoids most of the flooding, not all of it.' else 'Take the safer route.' end || ' Leave by ' || lv || '.' as message,
+      e as event_id, 's' || (trip_id % 13) as segment_id, null as parking_id, ends as expires_at from t where prio = '1-URGENT'
+    union all select user_id, 'parking_flood|' || e, 'trip', 'parking_flood', 'warning', 'Warning: Lot ' || (trip_id % 7) || ' may flood', 'Estimated flood levels are high at Lot ' || (trip_id % 7) || '. ' || other, e, null, 'p' || (trip_id % 7), ends from t where prio = '2-HIGH'
+    union all select user_id, 'leave_earlier|' || e, 'trip', 'leave_earlier', 'info', 'Info: Heavy traffic on the way to ' || nm, 'Traffic is heavier than usual. Leave by ' || lv || '.', e, null, null, ends from t where dl >= 10
+    union all select user_id, 'closure|' || e || '|c' || x, 'trip', 'closure', 'info', 'Info: Road work on your route to ' || nm, 'Main St ' || x || ' is ' || case when x = 1 then 'closed' else 'under construction' end || '. Your leave-by time already allows for it.', e, null, null, ends
+      from t, (values (1), (2)) v(x) where status = 'F' and x <= trip_id % 3)
   select *, 'al_' || substr(sha1(alert_key), 1, 10) as alert_id from r""")
 def _(T):
     k = F.col("trip_id")
-    t = T.fx_trip.select("user_id", F.concat(F.lit("e"), k.cast("string")).alias("event_id"), F.concat(F.lit("Class "), (k % 40).cast("string")).alias("event_name"), F.col("arrive_by").alias("leave_by"),
-                         (F.col("prio") == "1-URGENT").alias("compromised"), F.when(F.col("status") == "P", "no_alternative").otherwise("reroute").alias("action"), F.lit("Street 1").alias("street"),
-                         F.lit("Lot A").alias("lot_name"), (F.col("prio") == "2-HIGH").alias("lot_hazardous"), F.lit(None).cast("string").alias("other_lot"), (k % 20).cast("double").alias("delay_minutes"),
-                         F.when(F.col("status") == "F", F.array(F.struct(F.lit("c1").alias("closure_id"), F.lit("Main St").alias("name"), F.lit(True).alias("full")))).alias("closures"))
-    return R.trip_alerts(t)
+    named = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    works = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda x: F.struct(named("c", x).alias("closure_id"), named("Main St ", x).alias("name"), (x == 1).alias("full")))
+    t = T.fx_trip.select("user_id", named("e", k).alias("event_id"), named("Class ", k % 40).alias("event_name"), F.expr("arrive_by + interval 1 hour").alias("start_ts"), F.col("arrive_by").alias("leave_by"),
+                         (F.col("prio") == "1-URGENT").alias("compromised"), F.when(F.col("status") == "P", "no_alternative").when(F.col("status") == "O", "reroute_caution").otherwise("reroute").alias("action"),
+                         F.when(F.col("from_node") % 9 > 0, named("Street ", F.col("from_node") % 9)).alias("street"), named("s", k % 13).alias("segment_id"), named("p", k % 7).alias("lot_id"),
+                         named("Lot ", k % 7).alias("lot_name"), (F.col("prio") == "2-HIGH").alias("lot_hazardous"), F.when(k % 4 > 0, named("Lot ", k % 11)).alias("other_lot"), (k % 20).cast("double").alias("delay_minutes"),
+                         F.when(F.col("status") == "F", F.slice(works, F.lit(1), (k % 3).cast("int"))).alias("closures"))
+    return text(R.trip_alerts(t, "1997-01-01 00:00:00"), "expires_at")
 
 
-@query("x31_area_alerts", """with w as (select concat('u', user_id) as user_id, concat('nws|', event_id) as alert_key, case event_type when 'error' then 'Severe' when 'signup' then 'Moderate' when 'view' then 'Unknown' when 'click' then 'Minor' end as sv from events),
+@query("x31_area_alerts", f"""with w as (select concat('u', user_id) as user_id, concat('nws|', event_id) as alert_key, case event_type when 'error' then 'Severe' when 'signup' then 'Moderate' when 'view' then 'Unknown' when 'click' then 'Minor' end as sv, {ts("ts + interval 6 hour")} as ends from events),
   s as (select *, case sv when 'Severe' then 'critical' when 'Moderate' then 'warning' else 'info' end as severity from w)
   select user_id, alert_key, 'nws' as source, 'weather_warning' as type, severity, upper(severity[1]) || severity[2:] || ': Flood Warning' as title,
-    'The National Weather Service has issued this for your area' || case when sv is null or sv = 'Unknown' then '.' else ' (severity: ' || lower(sv) || ').' end || ' Avoid low-lying and flooded roads.' as message, 'al_' || substr(sha1(alert_key), 1, 10) as alert_id from s
+    'The National Weather Service has issued this for your area' || case when sv is null or sv = 'Unknown' then '.' else ' (severity: ' || lower(sv) || ').' end || ' Avoid low-lying and flooded roads.' as message, null as event_id, null as segment_id, null as parking_id, ends as expires_at, 'al_' || substr(sha1(alert_key), 1, 10) as alert_id from s
   union all select concat('u', user_id), 'tide|' || strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d'), 'tide', 'tide', case when value >= 450 then 'critical' else 'warning' end, case when value >= 450 then 'Critical' else 'Warning' end || ': High tide in Biscayne Bay',
-    'Estimated water levels in Biscayne Bay are at the ' || case when value >= 450 then 'moderate' else 'minor' end || ' flood level. Low-lying bayfront streets (Brickell, near the Miami River) may flood even without rain.', 'al_' || substr(sha1('tide|' || strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d')), 1, 10) from events where value >= 300""")
+    'Estimated water levels in Biscayne Bay are at the ' || case when value >= 450 then 'moderate' else 'minor' end || ' flood level. Low-lying bayfront streets (Brickell, near the Miami River) may flood even without rain.', null, null, null, null, 'al_' || substr(sha1('tide|' || strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d')), 1, 10) from events where value >= 300""")
 def _(T):
     u = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id")
     k = F.col("event_type")
     sev = F.when(k == "error", "Severe").when(k == "signup", "Moderate").when(k == "view", "Unknown").when(k == "click", "Minor")
-    w = T.events.select(u, F.col("event_id").cast("string").alias("id"), F.lit("Flood Warning").alias("event"), sev.alias("severity"))
+    w = T.events.select(u, F.col("event_id").cast("string").alias("id"), F.lit("Flood Warning").alias("event"), sev.alias("severity"), F.expr("ts + interval 6 hours").alias("ends"))
     t = T.events.select(u, F.col("ts").alias("at"), (F.col("value") >= 300).alias("above_minor"), (F.col("value") >= 450).alias("above_moderate"))
-    return R.weather_alert_rows(w).unionByName(R.tide_alert_rows(t))
+    return text(R.weather_alert_rows(w).unionByName(R.tide_alert_rows(t)), "expires_at")
 
 
 TRIPREC = """tr as (select trip_id, user_id, created_at, (trip_id % 90) / 10e0 as saved, trip_id % 4 as segs, (trip_id * 7) % 900 as av, trip_id % 3 = 0 as comp, case when trip_id % 2 = 0 then 'safe' else 'usual' end as take from fx_trip)"""

@@ -79,6 +79,7 @@ COMPROMISED_M = 200.0
 COVERAGE_M = 300.0
 FLOOD_DETOUR_MINUTES = 15.0
 TRAFFIC_ALERT_MINUTES = 10.0
+ALERT_LOOKAHEAD_HOURS = 12
 
 # --- people ----------------------------------------------------------------------------------
 SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}

@@ -147,15 +147,22 @@ def test_leave_by_and_search(spark):
 
 
 def test_alert_rows(spark):
-    rows = [("u", "e1", "Physics", d.datetime(2026, 9, 28, 12, 25), True, "no_alternative", "SW 8th St", "Lot 5", True, "Gold Garage", 12.0, [("c1", "SW 8th St", False)]),
-            ("u", "e2", "Math", d.datetime(2026, 9, 28, 12, 25), False, "safe", None, None, False, None, 9.0, None)]
-    a = R.trip_alerts(spark.createDataFrame(rows, "user_id string, event_id string, event_name string, leave_by timestamp, compromised boolean, action string, street string, lot_name string, "
-                                                  "lot_hazardous boolean, other_lot string, delay_minutes double, closures array<struct<closure_id:string,name:string,full:boolean>>"))
+    leave, start = d.datetime(2026, 9, 28, 12, 25), d.datetime(2026, 9, 28, 13, 0)
+    rows = [("u", "e1", "Physics", start, leave, True, "no_alternative", "SW 8th St", "s9", "p5", "Lot 5", True, "Gold Garage", 12.0, [("c1", "SW 8th St", False)]),
+            ("u", "e2", "Math", start, leave, False, "safe", None, None, "p6", "Lot 6", False, None, 9.0, None),
+            ("u", "e3", "Art", start + d.timedelta(days=1), leave, True, "reroute", None, None, None, None, False, None, 0.0, None)]
+    trips = spark.createDataFrame(rows, "user_id string, event_id string, event_name string, start_ts timestamp, leave_by timestamp, compromised boolean, action string, street string, segment_id string, lot_id string, "
+                                        "lot_name string, lot_hazardous boolean, other_lot string, delay_minutes double, closures array<struct<closure_id:string,name:string,full:boolean>>")
+    a = R.trip_alerts(trips, "2026-09-28 01:00:00")
     got = {r["type"]: r for r in a.collect()}
     assert set(got) == {"route_flood", "parking_flood", "leave_earlier", "closure"} and got["route_flood"]["severity"] == "critical"
     assert got["route_flood"]["title"] == "Critical: Flooding expected on your route to Physics" and got["route_flood"]["message"].endswith("Leave by 8:25 AM.")
     assert "Park at Gold Garage instead." in got["parking_flood"]["message"] and "under construction" in got["closure"]["message"]
     assert not any(ch.isdigit() and "km" in r["message"] for r in got.values() for ch in r["message"])
+    assert {(r["event_id"], r["expires_at"]) for r in got.values()} == {("e1", start)}
+    assert {k: (r["segment_id"], r["parking_id"]) for k, r in got.items()} == {"route_flood": ("s9", None), "parking_flood": (None, "p5"), "leave_earlier": (None, None), "closure": (None, None)}
+    assert {r["event_id"] for r in R.trip_alerts(trips).collect()} == {"e1", "e3"}  # without a moment no lookahead
+    assert R.trip_alerts(trips, "2026-09-28 00:59:59").count() == 0
 
 
 def test_alert_lifecycle(spark):
