@@ -196,16 +196,16 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets; n_chars follows if it is there. Spans that
     overlap become one, named after the first. Null texts stay null."""
     weights = fit(with_candidates(docs.select("text")))
-    df = with_candidates(docs.withColumn("__text", F.col("text").cast("string")), "__text").withColumn("spans", chosen(weights))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    df = with_candidates(row).withColumn("spans", chosen(weights))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     name = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     cut = F.aggregate(order, first, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-        s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(name, s["kind"] + 1))).alias("parts")))
+        s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(name, s["kind"] + 1))).alias("parts")))
         .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))))
-    df = df.withColumn("__cut", F.when(F.size("spans") > 0, cut))
-    new = F.when(F.size("spans") > 0, F.concat(F.array_join("__cut.parts", ""), F.substring(F.col("__text"), F.col("__cut.at") + 1, F.length("__text")))).otherwise(F.col("__text"))
-    df = df.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    df = df.withColumn("cut", F.when(F.size("spans") > 0, cut))
+    df = df.withColumn("new", F.when(F.size("spans") > 0, F.concat(F.array_join("cut.parts", ""), F.substring(F.col("text"), F.col("cut.at") + 1, F.length("text")))).otherwise(F.col("text")))
+    length = F.when(F.size("spans") > 0, F.length("new").cast("long"))
+    given = {"text": F.col("new"), "n_chars": F.coalesce(length, F.col("row").getField("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("new")}
+    return df.select(*[given.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -80,7 +80,9 @@ def test_base_spans(spark, sample):
 
 def test_redacted_text(spark):
     rows = [(1, "write to a@b.co or +1 743 555 3824."), (2, None), (3, "nothing"), (None, "1.2.3.4")]
-    got = {r.doc_id: r.text for r in redact(table(spark, rows)).collect()}
+    out = redact(table(spark, rows))
+    assert out.columns == ["doc_id", "text", "start", "spans", "n_tokens"] and {r.spans for r in out.collect()} == {"x"}
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: "write to <email> or <phone>.", 2: None, 3: "nothing", None: "<ip>"}
 
 
