@@ -18,19 +18,35 @@ def _feature_schema(props: str, geometry: str) -> str:
     return f"features array<struct<type:string,properties:struct<{props}>,geometry:{geometry}>>"
 
 
-def read_features(spark: SparkSession, path: str, props: str) -> DataFrame:
-    """GeoJSON polygons -> one row per feature: the properties and ``rings``. ``props`` is DDL, e.g. "osm_id:string,name:string".
+def feature_rows(pages: DataFrame) -> DataFrame:
+    """GeoJSON pages (``features`` of _feature_schema with coordinates as text) -> the properties, ``geom_type``, and what the
+    geometry is: ``rings`` of a polygon or multi-polygon, ``lines`` of a line or multi-line, ``points`` of a point or
+    multi-point. The other two are null."""
+    f = pages.select(F.explode("features").alias("f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    at = lambda depth: F.from_json(text, "array<" * depth + "double" + ">" * depth)
+    xy = lambda p: point(p[0], p[1])
+    paths = lambda nested: F.transform(nested, lambda path: F.transform(path, xy))
+    return f.select("f.properties.*", kind.alias("geom_type"),
+                    F.when(kind == "Polygon", paths(at(3))).when(kind == "MultiPolygon", paths(F.flatten(at(4)))).alias("rings"),
+                    F.when(kind == "LineString", paths(F.array(at(2)))).when(kind == "MultiLineString", paths(at(3))).alias("lines"),
+                    F.when(kind == "Point", F.transform(F.array(at(1)), xy)).when(kind == "MultiPoint", F.transform(at(2), xy)).alias("points"))
 
-    Multi-polygons keep every ring; coordinates of either nesting depth are read from text.
+
+GEOMETRY_TEXT = "struct<type:string,coordinates:string>"
+
+
+def read_features(spark: SparkSession, path: str, props: str, by_line: bool = False) -> DataFrame:
+    """GeoJSON -> one row per feature, as ``feature_rows``. ``props`` is DDL, e.g. "osm_id:string,name:string".
+
+    A document is one row of one task; a large collection should land with one feature per line (``by_line``), which splits.
     """
-    raw = spark.read.option("multiLine", True).schema(_feature_schema(props, "struct<type:string,coordinates:string>")).json(path)
-    f = raw.select(F.explode("features").alias("f"))
-    xy = "array<array<double>>"
-    poly = F.from_json("f.geometry.coordinates", f"array<{xy}>")
-    multi = F.flatten(F.from_json("f.geometry.coordinates", f"array<array<{xy}>>"))
-    nested = F.when(F.col("f.geometry.type") == "MultiPolygon", multi).otherwise(poly)
-    rings = F.transform(nested, lambda r: F.transform(r, lambda p: point(p[0], p[1])))
-    return f.select("f.properties.*", rings.alias("rings"))
+    if by_line:
+        raw = spark.read.schema(f"type string, properties struct<{props}>, geometry {GEOMETRY_TEXT}").json(path)
+        raw = raw.select(F.array(F.struct("type", "properties", "geometry")).alias("features"))
+    else:
+        raw = spark.read.option("multiLine", True).schema(_feature_schema(props, GEOMETRY_TEXT)).json(path)
+    return feature_rows(raw)
 
 
 def read_graph_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -40,10 +56,16 @@ def read_graph_edges(spark: SparkSession, path: str) -> DataFrame:
                     F.col("_id").cast("int").alias("key"), edge_id("_source", "_target", "_id").alias("edge_id"))
 
 
-def read_feature_pages(spark: SparkSession, path: str, attributes: str, id_col: str) -> DataFrame:
-    """Landed pages of a paged feature service; an id seen on two pages counts once."""
-    raw = spark.read.option("multiLine", True).schema(f"features array<struct<attributes:struct<{attributes}>>>").json(path)
-    return raw.select(F.explode("features").alias("f")).select("f.attributes.*").dropDuplicates([id_col])
+def read_feature_pages(spark: SparkSession, path: str, attributes: str, id_col: str, geojson: bool = False) -> DataFrame:
+    """Landed pages of a paged feature service; an id seen on two pages counts once. A page that holds the service's error fails.
+
+    ``geojson`` pages have properties and geometry (see ``feature_rows``), the others ``attributes`` alone.
+    """
+    item = f"properties:struct<{attributes}>,geometry:{GEOMETRY_TEXT}" if geojson else f"attributes:struct<{attributes}>"
+    raw = spark.read.option("multiLine", True).schema(f"features array<struct<{item}>>, error string").json(path)
+    raw = raw.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("page holds an error: "), "error")).cast("boolean")))
+    rows = feature_rows(raw) if geojson else raw.select(F.explode("features").alias("f")).select("f.attributes.*")
+    return rows.dropDuplicates([id_col])
 
 
 def read_daily_weather(spark: SparkSession, path: str) -> DataFrame:
