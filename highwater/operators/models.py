@@ -14,6 +14,7 @@ from highwater.operators.layers import street_table
 from highwater.operators.metrics import budget_cutoff, confusion, metrics, reference_quantiles, relative_score, select_model
 from highwater.operators.panel import add_weather, eligible_days, range_flags, report_history
 from highwater.operators.ranges import exact_quantiles
+from highwater.session import cut_lineage
 from highwater.settings import (ALERT_BUDGET, BRIDGE_CAP, HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, MODEL_FEATURES, RAIN_FEATURES,
                                 ROLLING_WINDOWS, SEED, STORM_RAIN, WINDOWS)
 
@@ -104,12 +105,12 @@ def fit_balanced(panel: DataFrame, iterations: int = 120) -> Fitted:
 
 def rolling_validation(panel: DataFrame, names: list[str], windows=ROLLING_WINDOWS, iterations: int = 120) -> DataFrame:
     """Fit through each cutoff and score the following window: candidate, window, average_precision, roc_auc."""
-    parts = []
+    panel, parts = cut_lineage(panel), []
     for name in names:
         for i, (train_end, start, end) in enumerate(windows):
             model = fit(name, panel.where(F.col("date") <= F.lit(train_end).cast("date")), iterations)
             rows = panel.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-            m = metrics(model.predict(rows), "target", "p", "sample_weight")
+            m = metrics(cut_lineage(model.predict(rows)), "target", "p", "sample_weight")
             parts.append(m.select(F.lit(name).alias("candidate"), F.lit(i).alias("window"), "average_precision", "roc_auc"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -130,7 +131,7 @@ def population(streets: DataFrame, positives: DataFrame, weather: DataFrame, hel
 
 def evaluate_population(pop: DataFrame, model: Fitted, prevalence: float) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics) for a full population: the model, the physical baseline and a constant. No sampling."""
-    pred = model.predict(physical_baseline(pop), "report_probability_estimate").withColumn("_w", F.lit(1.0))
+    pred = cut_lineage(model.predict(physical_baseline(pop), "report_probability_estimate")).withColumn("_w", F.lit(1.0))  # inferred once
     named = [("model", "report_probability_estimate", True), ("physical_baseline", "physical", False), ("constant_baseline", "_c", True)]
     pred = pred.withColumn("_c", F.lit(float(prevalence)))
     m = reduce(DataFrame.unionByName, [metrics(pred, "target", c, "_w", "jurisdiction", prob).withColumn("scorer", F.lit(n)) for n, c, prob in named])
@@ -144,7 +145,7 @@ def fit_alert_policy(train: DataFrame, validation: DataFrame, budget: float = AL
     best = None
     for name in names:
         model = fit(name, train, iterations)
-        pred = model.predict(validation)
+        pred = cut_lineage(model.predict(validation))
         cutoff = budget_cutoff(pred, budget).first()["cutoff"]
         m = confusion(pred, cutoff, w=None).first()
         rank = (m["recall"] or 0.0, m["precision"] or 0.0)

@@ -249,7 +249,7 @@ def _(T):
 @query("m4_fit_balanced")
 def _(T):
     p = _dev(T)
-    return M.metrics(ML.fit_balanced(p, 5).predict(p), "target", "p", "sample_weight", "jurisdiction")
+    return M.metrics(cut_lineage(ML.fit_balanced(p).predict(p)), "target", "p", "sample_weight", "jurisdiction")
 
 
 ROLLING = [("2024-01-12", "2024-01-13", "2024-01-17"), ("2024-01-17", "2024-01-18", "2024-01-23")]
@@ -264,8 +264,11 @@ def _(T):
 def _(T):
     p = _dev(T)
     s = p.agg(F.sum(F.col("target") * F.col("sample_weight")) / F.sum("sample_weight")).first()[0]
-    pop = ML.population(streets(T), T.fx_positive, T.fx_weather, False, "2024-01-24", None, WINDOWS, **LIMITS)
-    return ML.evaluate_population(pop, ML.fit("logistic", p), s)[1]
+    model, parts = ML.fit("logistic", p), []
+    for name, heldout in (("future", False), ("unseen_streets", True)):
+        pop = ML.population(streets(T), T.fx_positive, T.fx_weather, heldout, "2024-01-24", None, WINDOWS, **LIMITS)
+        parts.append(ML.evaluate_population(pop, model, s)[1].withColumn("population", F.lit(name)))
+    return parts[0].unionByName(parts[1])
 
 
 @query("m7_alert_policy")
