@@ -192,12 +192,13 @@ def find_personal_data(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets; n_chars follows if it is there. Spans that
     overlap become one, named after the first. Null texts stay null."""
-    weights = fit(with_candidates(docs.select("text")))
+    s = scratch or Scratch(docs.sparkSession)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    df = with_candidates(row).withColumn("spans", chosen(weights))
+    found = s.table(with_candidates(row), "candidates")  # once, for the labelers and for the replacement
+    df = found.withColumn("spans", chosen(fit(found.select("spans"))))
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     name = F.array(*[F.lit(f"<{k}>") for k in KINDS])
