@@ -66,7 +66,7 @@ def _sample_terms(batches):
         for first, h, at in doc_terms(b["text"], fold_case=True):
             for i in range(len(at) - 1):
                 out[first + i] = signed(np.unique(h[at[i]:at[i + 1]]))
-        yield pa.RecordBatch.from_arrays([b["label"], pa.array(out, pa.list_(pa.int64()))], ["label", "terms"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array(out, pa.list_(pa.int64()))], ["doc_id", "label", "terms"])
 
 
 def _telling_terms(sample: DataFrame) -> np.ndarray:
@@ -98,7 +98,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: in
     s = scratch or Scratch(spark)
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     ids = label_sample(labels, "toxic", folds, fold, sample)
-    known = rows.join(F.broadcast(ids), "doc_id").select("label", "text").mapInArrow(_sample_terms, "label int, terms array<long>")
+    known = rows.join(F.broadcast(ids), "doc_id").mapInArrow(_sample_terms, "doc_id long, label int, terms array<long>")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms"))  # one row an id, so at most ``sample``
     known = s.table(known, "sample")
     terms = np.sort(_telling_terms(known))
     keep = spark.sparkContext.broadcast(terms)
@@ -108,7 +109,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: in
             out = [signed(np.intersect1d(x.values.to_numpy().view(np.uint64), keep.value)) for x in b["terms"]]
             yield pa.RecordBatch.from_arrays([b["label"], pa.array(out, pa.list_(pa.int64()))], ["label", "terms"])
 
-    fitted = known.mapInArrow(only_known, "label int, terms array<long>").orderBy("label", "terms").limit(2 * sample).toPandas()
+    fitted = known.mapInArrow(only_known, "label int, terms array<long>").orderBy("label", "terms").toPandas()
     machine = Machine(terms, [np.asarray(x, np.int64).view(np.uint64) for x in fitted["terms"]], fitted["label"].to_numpy(np.float64))
     shared = spark.sparkContext.broadcast(machine)
 
