@@ -252,12 +252,12 @@ def _(T):
     return M.metrics(cut_lineage(ML.fit_balanced(p).predict(p)), "target", "p", "sample_weight", "jurisdiction")
 
 
-ROLLING = [("2024-01-12", "2024-01-13", "2024-01-17"), ("2024-01-17", "2024-01-18", "2024-01-23")]
+ROLLING = [("2024-01-08", "2024-01-09", "2024-01-12"), ("2024-01-12", "2024-01-13", "2024-01-17"), ("2024-01-17", "2024-01-18", "2024-01-23")]
 
 
 @query("m5_select_and_refit")
 def _(T):
-    return ML.select_and_refit(_dev(T), ("logistic",), ROLLING)[1]
+    return ML.select_and_refit(_dev(T), windows=ROLLING)[1]
 
 
 @query("m6_evaluate_population")
@@ -275,8 +275,12 @@ def _(T):
 def _(T):
     train = cut_lineage(panel(T).where(F.col("split") == "train"))
     val = cut_lineage(ML.population(streets(T), T.fx_positive, T.fx_weather, False, "2024-01-19", "2024-01-23", WINDOWS, **LIMITS))
-    best = ML.fit_alert_policy(train, val, 0.1, ("logistic",))
-    return M.confusion(best["model"].predict(val), best["cutoff"], w=None, by="jurisdiction")
+    best = ML.fit_alert_policy(train, val, 0.1)
+    periods = {"validation": val} | {name: ML.population(streets(T), T.fx_positive, T.fx_weather, heldout, "2024-01-24", None, WINDOWS, **LIMITS)
+                                     for name, heldout in (("future", False), ("unseen_streets", True))}
+    parts = [M.confusion(cut_lineage(best["model"].predict(rows)), best["cutoff"], w=None, by="jurisdiction").withColumns(
+        {"period": F.lit(name), "candidate": F.lit(best["name"])}) for name, rows in periods.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def bundle(T):
