@@ -11,6 +11,7 @@ from highwater.llm.ngram_join import shingle_join
 from highwater.llm.packing import pack
 from highwater.llm.pii import find_personal_data
 from highwater.llm.quality import quality_scores
+from highwater.llm.resample import resample
 from highwater.llm.token_counts import token_counts
 from highwater.llm.token_files import read_token_files, write_token_files
 from highwater.llm.toxicity import toxicity_scores
@@ -67,8 +68,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_token_files, op4_decontaminate, op5_url_filter, op6_quality, op7_toxicity, op8_ann, op9_packing,
-                                   op10_token_counts)}
+                                   op10_token_counts, op11_resample)}
 
 _WORDS = """[x for x in string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> '']"""
 _SHINGLES = """case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"""
@@ -89,4 +94,23 @@ CHECKS: dict[str, str] = {
                  on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
         select page_id, host, path, rule, coalesce(best.verdict, case when starts_with(path, '/') and exists (select 1 from blocked where host = bh or ends_with(host, '.' || bh))
                then 'block' else 'allow' end) as verdict from p left join best using (page_id)""",
+    "op11_resample": r"""
+        with recursive step(i, k, c) as (select range, 0, range from range(256) union all
+            select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8),
+        tab as materialized (select list(c order by i) as t from step where k = 8),
+        w as (select side, doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w
+              from (select 's' as side, doc_id, text from documents union all select 't', null, text from benchmark)),
+        f as materialized (select side, doc_id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]
+                || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) as f from w),
+        u as materialized (select f, hex(encode(f)) as h, count(*) filter (side = 's') as s, count(*) filter (side = 't') as t from f group by f),
+        b as materialized (select f, s, u.t, xor(list_reduce([4294967295::bigint] || [(('0x' || h[2 * i - 1:2 * i])::bigint) for i in range(1, len(h) // 2 + 1)],
+                lambda c, x: xor(c >> 8, tab.t[1 + xor(c & 255, x)])), 4294967295) % 10000 as b from u, tab),
+        g as (select b, floor(1000 * ln(((sum(t) + 1)::double * (select sum(s) + 10000 from b)) / ((sum(s) + 1)::double * (select sum(t) + 10000 from b))))::bigint as g from b group by b),
+        d as (select doc_id, count(*) as n, sum(g)::bigint as weight from f join b using (f) join g using (b) where side = 's' group by doc_id),
+        scored as (select w.doc_id, len(w) as nw, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || w.doc_id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+              from w left join d using (doc_id) where side = 's'),
+        drawn as (select *, row_number() over (partition by nw >= 20 order by score desc, doc_id) as r, count(*) filter (nw >= 20) over () as big_n from scored)
+        select doc_id, n_features, weight, score, case when nw >= 20 and r <= 5 * big_n // 100 then r end as rank, nw as n_words from drawn""",
 }
