@@ -16,6 +16,7 @@ from highwater.llm.token_counts import token_counts
 from highwater.llm.token_files import read_token_files, write_token_files
 from highwater.llm.toxicity import toxicity_scores
 from highwater.llm.url_filter import judge_urls
+from highwater.llm.vector_codes import vector_codes
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 # hosts that are blocked where no rule fits
@@ -72,12 +73,22 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_token_files, op4_decontaminate, op5_url_filter, op6_quality, op7_toxicity, op8_ann, op9_packing,
-                                   op10_token_counts, op11_resample)}
+                                   op10_token_counts, op11_resample, op13_vector_codes)}
 
 _WORDS = """[x for x in string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> '']"""
 _SHINGLES = """case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"""
 
+_ASSIGN = """a{r} as materialized (select p.rn, p.part, min(list_sum([(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) for i in range(1, len(p.x) + 1)])::bigint * 64 + e) as de
+              from p join b{r} as b using (part) group by p.rn, p.part)"""
+_UPDATE = """m{r} as (select part, de % 64 as e, i, sum(x[i])::bigint as s, count(*) as n from a{o} join p using (rn, part), unnest(range(1, len(x) + 1)) as u(i) group by part, de % 64, i),
+        n{r} as (select part, e, list((s - ((s % n) + n) % n) // n order by i) as x from m{r} group by part, e),
+        b{r} as materialized (select part, e, coalesce(n{r}.x, b{o}.x) as x from b{o} left join n{r} using (part, e))"""
+
 CHECKS: dict[str, str] = {
     "op4_decontaminate": f"""
         with d as (select doc_id, unnest({_SHINGLES}) as s from (select doc_id, {_WORDS.format(t="text")} as w from documents)),
@@ -113,4 +124,13 @@ CHECKS: dict[str, str] = {
               from w left join d using (doc_id) where side = 's'),
         drawn as (select *, row_number() over (partition by nw >= 20 order by score desc, doc_id) as r, count(*) filter (nw >= 20) over () as big_n from scored)
         select doc_id, n_features, weight, score, case when nw >= 20 and r <= 5 * big_n // 100 then r end as rank, nw as n_words from drawn""",
+    "op13_vector_codes": """
+        with k as materialized (select row_number() over (order by vec_id) as rn, vec_id, label, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+              where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        p as materialized (select rn, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] as x from k, range(16) as t(part)),
+        b0 as materialized (select part, rn - 1 as e, x from p where rn <= 64), """ + ", ".join([
+            _ASSIGN.format(r=0), _UPDATE.format(r=1, o=0), _ASSIGN.format(r=1), _UPDATE.format(r=2, o=1), _ASSIGN.format(r=2)]) + """,
+        c as (select rn, string_agg(printf('%02x', de % 64), '' order by part) as code, sum(de // 64)::bigint as error from a2 group by rn),
+        h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) as codebooks_sha256 from b2)
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256, label from k join c using (rn), h""",
 }
