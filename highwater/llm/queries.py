@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from highwater.llm.ann import nearest
 from highwater.llm.common import Scratch
 from highwater.llm.decontaminate import contained_items
+from highwater.llm.language_id import language_ids
 from highwater.llm.ngram_join import shingle_join
 from highwater.llm.packing import pack
 from highwater.llm.pii import find_personal_data
@@ -73,12 +74,16 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(_read(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_read(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_token_files, op4_decontaminate, op5_url_filter, op6_quality, op7_toxicity, op8_ann, op9_packing,
-                                   op10_token_counts, op11_resample, op13_vector_codes)}
+                                   op10_token_counts, op11_resample, op12_language_id, op13_vector_codes)}
 
 _WORDS = """[x for x in string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> '']"""
 _SHINGLES = """case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"""
