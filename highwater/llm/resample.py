@@ -113,7 +113,7 @@ def _windows(data: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def frequent_runs(df: DataFrame, head: int = HEAD) -> tuple[list[str], list[str]]:
+def frequent_runs(df: DataFrame, head: int = HEAD) -> tuple[list[bytes], list[bytes]]:
     """The most frequent words and pairs: each task counts all its words and keeps the commonest, the sums are ranked."""
 
     def best(seen: dict, n: int) -> dict:
@@ -148,7 +148,8 @@ def frequent_runs(df: DataFrame, head: int = HEAD) -> tuple[list[str], list[str]
             yield pa.record_batch([pa.array([k] * len(kept), pa.int32()), pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.int64())],
                                   ["kind", "run", "n"])
 
-    counted = df.select("text").mapInArrow(run, "kind int, run binary, n long").groupBy("kind", "run").agg(F.sum("n").alias("n"))
+    counted = Scratch(df.sparkSession).table(
+        df.select("text").mapInArrow(run, "kind int, run binary, n long").groupBy("kind", "run").agg(F.sum("n").alias("n")), "runs")
     found = [counted.where(F.col("kind") == k).orderBy(F.desc("n"), "run").limit(head).select("run").collect() for k in (0, 1)]
     return [bytes(r["run"]) for r in found[0]], [bytes(r["run"]) for r in found[1]]
 
