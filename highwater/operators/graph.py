@@ -130,78 +130,14 @@ def _trim(e: DataFrame) -> tuple[DataFrame, int]:
         e = e.join(heads, "u", "left_semi").join(tails, "v", "left_semi")
 
 
-def batch_paths(edges: DataFrame, pairs: DataFrame, rounds_per_job: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Least-cost paths for many (source, target) pairs under several costs at once.
+def batch_paths(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Least-cost paths for many (source, target) pairs under several costs at once, on a partitioned overlay.
 
     ``edges``: u, v, edge_id, kind, cost (one row per cost kind; closed edges left out). ``pairs``: source, target.
+    ``parts`` (node, part) may name parts of the graph, see ``overlay``.
     Returns (paths: kind, source, target, seq, edge_id, cost) and (summary: kind, source, target, total, null when
     unreachable). Of equally cheap paths the one with fewest edges wins, then the one whose first edge has the smallest id,
     then the second, whatever other pairs are asked.
-
-    The search always runs backwards, from the targets: trips start anywhere and end in few places. Labels are kept per
-    (kind, root, node); a label that already costs more than the root's dearest wanted end is not extended, so a search
-    stops near its sources.
     """
-    edges = cut_lineage(edges)
-    ends = cut_lineage(pairs.select("source", "target").distinct().where(F.col("source") != F.col("target")))
-    root, far = "target", "source"
-    arcs = edges.groupBy("kind", "u", "v").agg(F.min(F.struct("cost", "edge_id")).alias("b")).select(
-        "kind", F.col("v").alias("node"), F.col("u").alias("next"),
-        F.col("b.cost").alias("w"), F.col("b.edge_id").alias("arc"))
-    kind_list = edges.agg(F.sort_array(F.collect_set("kind"))).scalar()  # the handful of cost columns
-    roots = ends.select(F.col(root).alias("root")).distinct()
-    wanted = cut_lineage(ends.select(F.col(root).alias("root"), F.col(far).alias("node")))
-    # an arc from every node to itself carries labels over to the next round, so a round reads the labels once
-    nodes = arcs.select("kind", "node").unionByName(arcs.select("kind", F.col("next").alias("node"))).unionByName(
-        roots.select(F.explode(kind_list).alias("kind"), F.col("root").alias("node"))).distinct()
-    arcs = cut_lineage(arcs.unionByName(nodes.select("kind", "node", F.col("node").alias("next"), F.lit(0.0).alias("w"),
-                                                     F.lit(None).cast("string").alias("arc"))))
-    node_type = arcs.schema["node"].dataType
-    dist = cut_lineage(roots.select(
-        F.explode(kind_list).alias("kind"), "root", F.col("root").alias("node"), F.lit(0.0).alias("d"),
-        F.lit(None).cast("string").alias("via"), F.lit(None).cast(node_type).alias("prev"), F.lit(True).alias("fresh")))
-    keys = ["kind", "root", "node"]
-    own = F.col("arc").isNull()
-    while True:
-        dist = dist.join(_dearest_end(dist, wanted), ["kind", "root"], "left")
-        for _ in range(rounds_per_job):
-            grow = F.col("fresh") & (F.col("dearest").isNull() | (F.col("d") < F.col("dearest")))
-            step = dist.join(arcs, ["kind", "node"]).where(own | grow)
-            # a settled label sorts before an equal newcomer, so only real improvements are extended again
-            label = F.struct((F.col("d") + F.col("w")).alias("d"), (~own).alias("fresh"), F.when(own, F.col("via")).otherwise(F.col("arc")).alias("via"),
-                             F.when(own, F.col("prev")).otherwise(F.col("node")).alias("prev"), "dearest")
-            dist = step.groupBy("kind", "root", F.col("next").alias("node")).agg(F.min(label).alias("b")).select(*keys, "b.*")
-        dist = cut_lineage(dist.drop("dearest"))
-        if dist.where("fresh").isEmpty():
-            break
-    settled = dist.select(*keys, "d")
-    tree = cut_lineage(dist.where(F.col("via").isNotNull()).select(*keys, "prev", "via"))
-    total = ends.select(F.explode(kind_list).alias("kind"), F.col(root).alias("root"), F.col(far).alias("node")).join(settled, keys, "left")
-    summary = total.select("kind", F.col("root").alias(root), F.col("node").alias(far), F.col("d").alias("total")).select(
-        "kind", "source", "target", "total")
-    paths = _walk_back(tree, total.where(F.col("d").isNotNull()), rounds_per_job)
-    out = paths.select("kind", F.col("root").alias(root), F.col("end").alias(far), F.posexplode("path").alias("pos", "edge_id"))
-    costs = edges.select("kind", "edge_id", "cost")
-    return out.join(costs, ["kind", "edge_id"]).select(
-        "kind", "source", "target", (F.col("pos") + 1).alias("seq"), "edge_id", "cost"), summary
-
-
-def _dearest_end(dist: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per (kind, root): the cost of its dearest wanted end, null while one is still unreached."""
-    got = dist.join(wanted, ["root", "node"]).groupBy("kind", "root").agg(F.max("d").alias("_far"), F.count(F.lit(1)).alias("_got"))
-    need = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("_need"))
-    return cut_lineage(got.join(need, "root").select(
-        "kind", "root", F.when(F.col("_got") == F.col("_need"), F.col("_far")).alias("dearest")))
-
-
-def _walk_back(tree: DataFrame, ends: DataFrame, rounds_per_job: int) -> DataFrame:
-    """Follow predecessors from every end to its root, all ends in step; ``path`` lists the edges met on the way."""
-    at = ends.select("kind", "root", F.col("node").alias("end"), "node", F.array().cast("array<string>").alias("path"))
-    while True:
-        for _ in range(rounds_per_job):
-            at = at.join(tree, ["kind", "root", "node"], "left").select(
-                "kind", "root", "end", F.coalesce("prev", "node").alias("node"),
-                F.when(F.col("via").isNull(), F.col("path")).otherwise(F.concat("path", F.array("via"))).alias("path"))
-        at = cut_lineage(at)
-        if at.where(F.col("node") != F.col("root")).isEmpty():
-            return at
+    from highwater.operators.overlay import overlay_paths  # which itself needs components
+    return overlay_paths(edges, pairs, parts)

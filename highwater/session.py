@@ -1,5 +1,6 @@
 """Session settings and the two helpers every iterative job needs."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    A checkpoint keeps the size estimate of the plan it replaces. Where a loop joins its state with something made from that
+    state, the estimate is squared each round until planning takes longer than the work; files have their true size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
