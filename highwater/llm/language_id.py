@@ -153,10 +153,11 @@ def learn(docs: DataFrame, folds: int, fold: int, sample_rows: int, sample_piece
     def first(df: DataFrame, n: int, *order) -> DataFrame:
         return df.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
-    # ids whose hash is small enough to be among the first, so that no task ranks all ids of a language
+    # ids whose hash is small enough to be among the first, so that no task ranks all ids of a language; one size per language
+    # is broadcast, less than the model itself
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0 ** 63)
-    early = known.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") <= 8.0 * sample_rows).select("doc_id", "lang")
+    early = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("_n") <= 8.0 * sample_rows).select("doc_id", "lang")
     ids = first(early.distinct(), sample_rows, F.shiftrightunsigned(F.xxhash64("doc_id"), 1), "doc_id")
     cut = F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))
     # no more ids than the model has languages times sample_rows, fewer than the pieces that are broadcast anyway
