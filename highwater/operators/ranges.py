@@ -10,11 +10,15 @@ from highwater.session import cut_lineage, n_buckets
 
 
 def with_range_bucket(df: DataFrame, value: str, name: str = "_bucket", k: int | None = None) -> DataFrame:
+    """Adds the number of cut points below the value. The place among the cuts is found by halving, so a row takes log2(k)
+    steps however many ranges there are; ``df`` is evaluated once for the cuts and the rows."""
     k = k or n_buckets(df.sparkSession)
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / k for i in range(1, k)]).alias("c")).scalar()
-    return (df.select("*", cuts.alias("_cuts"))
-            .withColumn(name, F.size(F.filter("_cuts", lambda b: b < F.col(value).cast("double"))))
-            .drop("_cuts"))
+    df = cut_lineage(df)
+    v = F.col(value).cast("double")
+    cuts = df.agg(F.percentile_approx(v, [i / k for i in range(1, k)]).alias("c")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(k.bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col("_at"), at + step).otherwise(at))
+    return df.select("*", cuts.alias("_cuts"), v.alias("_at")).withColumn(name, place).drop("_cuts", "_at")
 
 
 def prefix_sums(df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False,

@@ -2,15 +2,18 @@
 
 Nothing here is a cross join. Lines are indexed by short pieces, so a long road costs cells in proportion to
 its length; a point lives in exactly one cell, so a (point, segment) pair meets once per piece and the exact
-distance is plain arithmetic inside generated code. Polygons go to a grid level of their own size and cover at
-most nine cells there. A crowded cell is the skewed key of an ordinary equi-join, which adaptive execution splits.
+distance is plain arithmetic inside generated code. Equal points meet lines once, and a cell with many points is split into
+cells so small that what meets there is mostly near. A polygon is covered by cells of a level of its own: a point in an
+inside cell needs no test, one in a border cell is tested against the border pieces of that cell only, so no ring travels
+with points.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from highwater.functions.geometry import (bearing, covers, envelope, flat_distance_m,
+from highwater.functions.geometry import (bearing, envelope, flat_distance_m,
                                           hausdorff, heads_toward, in_rings, line_length, point_segment_distance,
                                           point_at, sample_line, segment_hits_box, segments)
 from highwater.operators.checks import first_by, near_minimum
+from highwater.operators.nearest import k_nearest
 from highwater.operators.ranges import exact_quantiles
 from highwater.session import cut_lineage
 from highwater.settings import (ACCESS_FAR_M, ACCESS_NEAR_M, CLOSURE_BUFFER_M, CLOSURE_MIN_OVERLAP, CLOSURE_SNAP_M,
@@ -47,16 +50,48 @@ def segment_cells(segs: DataFrame, cell, pad: float) -> DataFrame:
     return (pieces.select("*", F.explode(span("x")).alias("cx")).select("*", F.explode(span("y")).alias("cy")).drop("_n", "_i"))
 
 
+CROWD = 64    # distinct points in a cell, beyond which it is split
+SPLIT = 8     # cells per side of a crowded cell: half a reach wide each
+
+
 def pairs_within(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, max_m: float,
                  digits: int = 6) -> DataFrame:
-    """(point_id, line_id, dist) for every pair at most max_m apart, dist rounded to a micrometre."""
+    """(point_id, line_id, dist) for every pair at most max_m apart, dist rounded to a micrometre.
+
+    Only distinct positions are joined. In a split cell a point meets pieces at most a reach and half a reach away on
+    either axis, so the pairs that are tested stay within a small multiple of the pairs that are found, however many points
+    the cell holds.
+    """
+    near = _near(*_point_line_cells(points, lines, line_id, max_m), line_id, max_m, digits)
+    at = points.select(point_id, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    return near.join(at, ["px", "py"]).select(point_id, line_id, "dist")
+
+
+def _near(p: DataFrame, s: DataFrame, line_id: str, max_m: float, digits: int) -> DataFrame:
+    d = point_segment_distance(*[F.col(c) for c in ("px", "py", *SEG)])
+    near = p.join(s, ["level", "cx", "cy"]).select("px", "py", line_id, F.round(d, digits).alias("dist")).where(F.col("dist") <= max_m)
+    return near.groupBy("px", "py", line_id).agg(F.min("dist").alias("dist"))
+
+
+def _point_line_cells(points: DataFrame, lines: DataFrame, line_id: str, max_m: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct positions and line pieces by (level, cx, cy): level 1 in crowded cells, else 0."""
     cell = max(CELL_PER_REACH * max_m, 1.0)
-    p = points.select(point_id, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")) \
-        .withColumns({"cx": _cell(F.col("px"), cell), "cy": _cell(F.col("py"), cell)})
+    fine = cell / SPLIT
+    p = points.select(F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).where(
+        F.col("px").isNotNull() & F.col("py").isNotNull()).distinct().withColumns({"cx": _cell(F.col("px"), cell), "cy": _cell(F.col("py"), cell)})
     s = segment_cells(line_segments(lines, [line_id]), cell, max_m)
-    d = point_segment_distance(*[F.col(c) for c in ("px", "py", *SEG)])
-    near = p.join(s, ["cx", "cy"]).select(point_id, line_id, F.round(d, digits).alias("dist")).where(F.col("dist") <= max_m)
-    return near.groupBy(point_id, line_id).agg(F.min("dist").alias("dist"))
+    crowded = cut_lineage(p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("cx", "cy", F.lit(True).alias("_split")))
+    if crowded.isEmpty():
+        return p.withColumn("level", F.lit(0)), s.withColumn("level", F.lit(0))
+    split = F.col("_split").isNotNull()
+    level = F.when(split, 1).otherwise(0).alias("level")
+    p = p.join(crowded, ["cx", "cy"], "left").select(
+        "px", "py", level, F.when(split, _cell(F.col("px"), fine)).otherwise(F.col("cx")).alias("cx"), F.when(split, _cell(F.col("py"), fine)).otherwise(F.col("cy")).alias("cy"))
+    s = s.distinct().join(crowded, ["cx", "cy"], "left")
+    whole = s.where(~split).select(line_id, *SEG, F.lit(0).alias("level"), "cx", "cy")
+    inner = s.where(split).withColumnsRenamed({"cx": "_cx", "cy": "_cy"}).select(line_id, *SEG, "_cx", "_cy")
+    inner = segment_cells(inner, fine, max_m).where((F.floor(F.col("cx") / SPLIT) == F.col("_cx")) & (F.floor(F.col("cy") / SPLIT) == F.col("_cy")))
+    return p, whole.unionByName(inner.select(line_id, *SEG, F.lit(1).alias("level"), "cx", "cy").distinct())
 
 
 def nearest_lines(points: DataFrame, lines: DataFrame, point_id: str = "point_id", line_id: str = "edge_id",
@@ -88,29 +123,70 @@ def near_point(points: DataFrame, edges: DataFrame, dist_m: float) -> DataFrame:
 
 
 # ------------------------------------------------------------------ polygons
-def polygon_cells(polys: DataFrame, ids: list[str], base: float, pad: float = 0.0) -> DataFrame:
-    """ids, rings and the cells of the polygon's own grid level (cell side >= its envelope)."""
-    e = polys.select(*ids, "rings", envelope(F.flatten("rings")).alias("e"))
-    size = F.greatest(F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0"), F.lit(float(base)))
-    e = e.withColumn("level", F.ceil(F.log2(size / base)).cast("int"))
-    side = F.lit(float(base)) * F.pow(F.lit(2.0), F.col("level"))
-    rng = lambda lo, hi: F.sequence(_cell(F.col(lo) - pad, side), _cell(F.col(hi) + pad, side))
-    return (e.withColumn("cx", F.explode(rng("e.x0", "e.x1"))).withColumn("cy", F.explode(rng("e.y0", "e.y1")))
-            .drop("e"))
+MOST_CELLS = 64   # cells per side of a polygon's envelope
+# where in a border cell its reference point lies; no line of rational slope through a cell corner meets it
+REF_X, REF_Y = 2 ** 0.5 - 1, 3 ** 0.5 - 1
+
 
+def polygon_cover(polys: DataFrame, ids: list[str], base: float) -> DataFrame:
+    """ids, level, cx, cy, and for border cells ``segs`` (the border pieces that meet the cell) and ``ref_in``.
 
-def point_polygon_pairs(points: DataFrame, polys: DataFrame, point_cols: list[str], poly_cols: list[str],
-                        base: float = 100.0, pad: float = 0.0, test=None) -> DataFrame:
-    """Every (point, polygon) with the point inside or on the border (or passing another ``test(pt, rings)``)."""
-    index = polygon_cells(polys, poly_cols, base, pad)
-    levels = index.agg(F.sort_array(F.collect_set("level"))).scalar()  # a few dozen integers at most
+    A polygon of m vertices is laid out in about sqrt(m) cells a side (4 to 64), so the cells it covers and the border pieces
+    of a cell both stay near sqrt(m). Cells without ``segs`` lie inside. ``ref_in``: does the cell's reference point lie
+    inside? It is counted by rows of cells: a border piece flips the cells to its left in the rows whose height it passes.
+    """
+    e = polys.select(*ids, "rings", envelope(F.flatten("rings")).alias("e"), F.size(F.flatten("rings")).alias("_m"))
+    across = F.least(F.greatest(F.pow(F.lit(2.0), F.round(F.log2(F.sqrt("_m")))), F.lit(4.0)), F.lit(float(MOST_CELLS)))
+    extent = F.greatest(F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0"), F.lit(1e-9))
+    e = e.withColumn("level", F.ceil(F.log2(extent / across / base)).cast("int"))
+    keys = [*ids, "level"]
+    side = lambda: F.lit(float(base)) * F.pow(F.lit(2.0), F.col("level"))
+    ring = e.select(*keys, F.explode("rings").alias("geom"))
+    segs = ring.select(*keys, F.explode(segments("geom")).alias("s")).select(*keys, *[F.col(f"s.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    met = segment_cells(segs.withColumn("_side", side()), F.col("_side"), F.col("_side") * 1e-9)
+    border = met.groupBy(*keys, "cx", "cy").agg(F.collect_set(F.struct(*SEG)).alias("segs"))
+    # crossings of the line through each row's reference points, by how many cells they flip
+    ref_row = lambda y: F.ceil(y / side() - REF_Y).cast("bigint")  # noqa: E731 - first row whose reference is at or above y
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = segs.where(low < high).withColumn("cy", F.explode(F.when(ref_row(low) < ref_row(high), F.sequence(ref_row(low), ref_row(high) - 1))))
+    ry = (F.col("cy") + REF_Y) * side()
+    hit = (F.col("bx") - F.col("ax")) * (ry - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    flips = rows.select(*keys, "cy", (F.ceil(hit / side() - REF_X) - 1).cast("bigint").alias("cx"), F.lit(1).alias("n"))
+    span = lambda a, b: F.sequence(_cell(F.col(a), side()), _cell(F.col(b), side()))
+    grid = e.select(*keys, F.explode(span("e.x0", "e.x1")).alias("cx"), "e").select(*keys, "cx", F.explode(span("e.y0", "e.y1")).alias("cy")).withColumn("n", F.lit(0))
+    left = Window.partitionBy(*keys, "cy").orderBy(F.desc("cx"))  # one row of cells of one polygon
+    parity = flips.unionByName(grid.select(flips.columns)).groupBy(*keys, "cy", "cx").agg(F.sum("n").alias("n"), F.min("n").alias("_own")).withColumn(
+        "ref_in", F.sum("n").over(left) % 2 == 1).where(F.col("_own") == 0)
+    return parity.select(*keys, "cx", "cy", "ref_in").join(border, [*keys, "cx", "cy"], "left").where(F.col("ref_in") | F.col("segs").isNotNull())
+
+
+def _in_border_cell(x, y, rx, ry, segs, ref_in) -> Column:
+    """Walk from the point along the row, then along the column, to the reference point; each border piece crossed flips."""
+    def flips(s):
+        ax, ay, bx, by = (s[c] for c in SEG)
+        at_x = (bx - ax) * (y - ay) / F.when(by != ay, by - ay) + ax
+        at_y = (by - ay) * (rx - ax) / F.when(bx != ax, bx - ax) + ay
+        along_row = ((ay > y) != (by > y)) & ((x < at_x) != (rx < at_x))
+        along_column = ((ax > rx) != (bx > rx)) & ((y < at_y) != (ry < at_y))
+        return F.coalesce(along_row, F.lit(False)).cast("int") + F.coalesce(along_column, F.lit(False)).cast("int")
+
+    def touches(s):
+        ax, ay, bx, by = (s[c] for c in SEG)
+        return (((bx - ax) * (y - ay) - (by - ay) * (x - ax) == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by)))
+
+    crossed = F.aggregate(segs, F.lit(0), lambda n, s: n + flips(s))
+    return ((crossed % 2 == 1) != ref_in) | F.exists(segs, touches)
+
+
+def point_polygon_pairs(points: DataFrame, polys: DataFrame, point_cols: list[str], poly_cols: list[str], base: float = 100.0) -> DataFrame:
+    """Every (point, polygon) with the point inside or on the border."""
+    cover = cut_lineage(polygon_cover(polys, poly_cols, base))
+    levels = cover.agg(F.sort_array(F.collect_set("level"))).scalar()  # a few dozen integers at most
     side = F.lit(float(base)) * F.pow(F.lit(2.0), F.col("level"))
-    p = (points.select(*point_cols, F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-                       .alias("pt"), levels.alias("_levels"))
-         .withColumn("level", F.explode("_levels")).drop("_levels")
-         .withColumns({"cx": _cell(F.col("pt.x"), side), "cy": _cell(F.col("pt.y"), side)}))
-    test = test or (lambda pt, rings: covers(rings, pt))
-    hits = p.join(index, ["level", "cx", "cy"]).where(test(F.col("pt"), F.col("rings")))
+    p = (points.select(*point_cols, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), levels.alias("_levels"))
+         .withColumn("level", F.explode("_levels")).drop("_levels").withColumns({"cx": _cell(F.col("_x"), side), "cy": _cell(F.col("_y"), side)}))
+    inside = _in_border_cell(F.col("_x"), F.col("_y"), (F.col("cx") + REF_X) * side, (F.col("cy") + REF_Y) * side, F.col("segs"), F.col("ref_in"))
+    hits = p.join(cover, ["level", "cx", "cy"]).where(F.col("segs").isNull() | inside)
     return hits.select(*point_cols, *poly_cols)
 
 
@@ -315,38 +391,18 @@ def pair_twins(edges: DataFrame, tol_m: float = TWIN_TOLERANCE_M) -> DataFrame:
 def nearest_node(points: DataFrame, nodes: DataFrame, limit_m: float = COVERAGE_M, lat0: float | None = None) -> DataFrame:
     """Nearest node of each point, however far, with ``dist`` and ``in_area`` (dist <= limit_m).
 
-    Rings grow: a point is settled once its best distance is inside the radius searched; the rest try a grid
-    twice as coarse, until a ring spans points and nodes. With ``lat0`` x/y are lon/lat near that latitude and distances
-    are equirectangular metres. Points without coordinates, and all if there are no nodes, get nulls.
+    With ``lat0`` x/y are lon/lat near that latitude and distances are equirectangular metres. Points without coordinates,
+    and all if there are no nodes, get nulls.
     """
-    sx, sy = (1.0, 1.0) if lat0 is None else (M_PER_DEG_LON * F.cos(F.radians(F.lit(lat0))), M_PER_DEG_LAT)
-    slack = 1.0 if lat0 is None else 1.05
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    n = cut_lineage(nodes.where(ok).select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")))
-    left, found = cut_lineage(points.where(ok).select("point_id", "x", "y")), None
-    span = left.select(F.col("x") * sx, F.col("y") * sy).union(n.select(F.col("nx") * sx, F.col("ny") * sy)).toDF("x", "y").agg(
-        F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach = slack * (((span[0] or 0.0) ** 2 + (span[1] or 0.0) ** 2) ** 0.5 + 1.0)
-    r = float(limit_m) / 2
-    while r < reach or found is None:
-        r *= 2
-        side = r * slack
-        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        p = (left.select("point_id", "x", "y", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
-             .withColumns({"cx": _cell(F.col("x") * sx, side) + F.col("_i"), "cy": _cell(F.col("y") * sy, side) + F.col("_j")}))
-        q = n.withColumns({"cx": _cell(F.col("nx") * sx, side), "cy": _cell(F.col("ny") * sy, side)})
-        if lat0 is None:
-            d = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
-        else:
-            d = flat_distance_m("x", "y", "nx", "ny")
-        best = p.join(q, ["cx", "cy"]).groupBy("point_id").agg(
-            F.min(F.struct(F.round(d, 6).alias("dist"), "node_id")).alias("b")).where(F.col("b.dist") <= r)
-        hit = cut_lineage(best.select("point_id", "b.node_id", "b.dist"))
-        found = hit if found is None else found.unionByName(hit)
-        left = cut_lineage(left.join(hit, "point_id", "left_anti"))
-        if left.isEmpty():
-            break
-    return points.join(found, "point_id", "left").withColumn("in_area", F.col("dist") <= limit_m)
+    n = nodes.where(ok).select(F.col("node_id").alias("target_id"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    p = points.where(ok).select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if lat0 is None:
+        found = k_nearest(p, n, 1, F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2)))
+    else:
+        found = k_nearest(p, n, 1, flat_distance_m("x", "y", "tx", "ty"), M_PER_DEG_LON * F.cos(F.radians("y")), M_PER_DEG_LAT,
+                          M_PER_DEG_LON * F.cos(F.radians(F.lit(lat0))), M_PER_DEG_LAT)
+    return points.join(found.select("point_id", F.col("target_id").alias("node_id"), "dist"), "point_id", "left").withColumn("in_area", F.col("dist") <= limit_m)
 
 
 # ------------------------------------------------------------------ rasters as cell tables
@@ -373,16 +429,15 @@ def zonal_cells(polygons: DataFrame, cells: DataFrame, poly_id: str, x0: float,
     centres = cells.withColumns({"x": F.lit(x0) + (F.col("cx") + 0.5) * w, "y": F.lit(y0) + (F.col("cy") + 0.5) * h}) \
         .withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     cols = ["_cx", "_cy"] + [c for c in keep if c not in ("cx", "cy")]
-    base = max(w, h)
+    hits = point_polygon_pairs(centres, polygons, cols, [poly_id], max(w, h))
     if all_touched:
-        def test(pt, rings):
-            x_lo, y_lo, x_hi, y_hi = pt["x"] - w / 2, pt["y"] - h / 2, pt["x"] + w / 2, pt["y"] + h / 2
-            border = F.exists(rings, lambda r: F.exists(segments(r), lambda s: segment_hits_box(
-                s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], x_lo, y_lo, x_hi, y_hi)))
-            return border | covers(rings, pt)
-        hits = point_polygon_pairs(centres, polygons, cols, [poly_id], base, pad=base, test=test)
-    else:
-        hits = point_polygon_pairs(centres, polygons, cols, [poly_id], base)
+        unit = lambda c: (F.col(c) - (x0 if c[1] == "x" else y0)) / (w if c[1] == "x" else h)
+        border = line_segments(polygons.select(poly_id, F.explode("rings").alias("geom")), [poly_id])
+        on_grid = border.select(poly_id, *[unit(c).alias(c) for c in SEG], *[F.col(c).alias(f"_{c}") for c in SEG])
+        near = segment_cells(on_grid, 1.0, 1e-6).join(cells, ["cx", "cy"]).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+        mx, my = F.lit(x0) + (F.col("_cx") + 0.5) * w, F.lit(y0) + (F.col("_cy") + 0.5) * h
+        touched = near.where(segment_hits_box(*[F.col(f"_{c}") for c in SEG], mx - w / 2, my - h / 2, mx + w / 2, my + h / 2))
+        hits = hits.unionByName(touched.select(hits.columns)).distinct()
     return hits.withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
 
 

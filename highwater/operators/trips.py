@@ -8,6 +8,7 @@ from highwater.functions.text import (clock, fill, iso_utc, leave_by, minus_minu
                                       walk_minutes)
 from highwater.operators.checks import first_by, in_person, suggestable
 from highwater.operators.graph import batch_paths
+from highwater.operators.nearest import k_nearest
 from highwater.session import cut_lineage
 from highwater.settings import (ALERT_LOOKAHEAD_HOURS, COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M,
                                 ONLINE_PATTERN, SEVERITY_RANK, TIME_ZONE, TRAFFIC_ALERT_MINUTES, WEATHER_SEVERITY, WEEKDAYS)
@@ -138,47 +139,23 @@ def detours(suggested: DataFrame, usual: DataFrame, budget: int = 3) -> DataFram
 
 
 # ------------------------------------------------------------------ parking choice
-def nearest_k(points: DataFrame, targets: DataFrame, k: int, radius: float) -> DataFrame:
-    """Up to k nearest targets per point (ties by id), by growing rings until a ring spans all of them. points: point_id, x, y. targets: target_id, x, y.
+def nearest_k(points: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Up to k nearest targets per point (ties by id), however far. points: point_id, x, y. targets: target_id, x, y.
 
     Rows without coordinates have no neighbours."""
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    points, targets = cut_lineage(points.where(ok)), cut_lineage(targets.where(ok))
-    ext = targets.unionByName(points.select(F.lit(None).cast(targets.schema["target_id"].dataType).alias("target_id"), "x", "y")).agg(
-        F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach = ((ext[0] or 0.0) ** 2 + (ext[1] or 0.0) ** 2) ** 0.5 + 1.0
-    left, found = points, None
-    r = radius / 2
-    while True:
-        r *= 2
-        cell = lambda c: F.floor(F.col(c) / r).cast("bigint")  # noqa: E731,B023
-        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        p = left.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(around).alias("_i")).select(
-            "*", F.explode(around).alias("_j")).select("point_id", "px", "py", (cell("px") + F.col("_i")).alias("cx"), (cell("py") + F.col("_j")).alias("cy"))
-        t = targets.withColumns({"cx": cell("x"), "cy": cell("y")})
-        d = F.round(F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)), 6)
-        near = p.join(t, ["cx", "cy"]).select("point_id", "target_id", d.alias("dist")).where(F.col("dist") <= r)
-        order = Window.partitionBy("point_id").orderBy("dist", "target_id")
-        top = cut_lineage(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        done = top.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == k) | F.lit(r >= reach))
-        hit = top.join(done.select("point_id"), "point_id", "left_semi")
-        found = hit if found is None else found.unionByName(hit)
-        if r >= reach:
-            break
-        left = cut_lineage(left.join(done.select("point_id"), "point_id", "left_anti"))
-        if left.isEmpty():
-            break
-    return found
-
-
-def lot_alternatives(lots: DataFrame, n: int = 3, radius: float = 400.0) -> DataFrame:
+    t = targets.where(ok).select("target_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return k_nearest(points.where(ok).select("point_id", "x", "y"), t, k, F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2)))
+
+
+def lot_alternatives(lots: DataFrame, n: int = 3) -> DataFrame:
     """For lots rated high: up to n low, suggestable lots, garages first, then the closest.
 
     Worked out once per lot and not per trip. lots: lot_id, type, x, y, hazard_label, name, access.
     """
     high = lots.where(F.col("hazard_label") == "high").select(F.col("lot_id").alias("point_id"), "x", "y")
     good = suggestable(lots).where(F.col("hazard_label") == "low").select(F.col("lot_id").alias("target_id"), "x", "y", "type")
-    picked = [nearest_k(high, good.where(cond).drop("type"), n, radius).withColumn("garage_last", F.lit(i))
+    picked = [nearest_k(high, good.where(cond).drop("type"), n).withColumn("garage_last", F.lit(i))
               for i, cond in enumerate([F.col("type") == "garage", F.col("type") != "garage"])]
     both = picked[0].unionByName(picked[1])
     order = Window.partitionBy("point_id").orderBy("garage_last", "dist", "target_id")

@@ -2,6 +2,7 @@
 import math
 import random
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -160,3 +161,96 @@ def test_cell_components(spark, cells):
     for r in cell_components(spark.createDataFrame(list(set(cells)), "cx int, cy int")).collect():
         got.setdefault(r["component"], set()).add((r["cx"], r["cy"]))
     assert {frozenset(g) for g in got.values()} == set(want)
+
+
+def ring_area_points(rng, ring):
+    xs, ys = [x for x, _ in ring], [y for _, y in ring]
+    pts = [(float(rng.uniform(min(xs) - 5, max(xs) + 5)), float(rng.uniform(min(ys) - 5, max(ys) + 5))) for _ in range(150)]
+    pts += [(float(x), float(y)) for x, y in ring[::max(1, len(ring) // 20)]]  # vertices
+    return pts + [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in zip(ring[::max(1, len(ring) // 20)], ring[1::max(1, len(ring) // 20)])]
+
+
+def plain_inside(p, rings):
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) == 0 and min(ax, bx) <= p[0] <= max(ax, bx) and min(ay, by) <= p[1] <= max(ay, by):
+                return True
+            if (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax:
+                odd = not odd
+    return odd
+
+
+def test_polygon_cover_equals_ray_cast(spark):
+    """Stars, boxes, holes, slivers, cell-aligned borders, a big ring of many vertices and a tiny one."""
+    rng = np.random.default_rng(8)
+    star = lambda x, y, r, n: [(x + r * (1 if i % 2 else 0.4) * math.cos(2 * math.pi * i / n), y + r * (1 if i % 2 else 0.4) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    close = lambda r: r + r[:1]
+    polys = {"star": [close(star(30, 40, 50, 40))], "fine": [close(star(0, 0, 900, 3000))], "box": [close([(0, 0), (400, 0), (400, 400), (0, 400)])],
+             "hole": [close([(-200, -200), (200, -200), (200, 200), (-200, 200)]), close([(-100, -100), (100, -100), (100, 100), (-100, 100)])],
+             "sliver": [close([(0, 0), (800, 1), (800, 1.5)])], "tiny": [close([(5, 5), (5.01, 5), (5, 5.01)])], "corner": [close([(100, 100), (200, 300), (300, 100), (200, 200)])]}
+    pts = sorted({p for rings in polys.values() for r in rings for p in ring_area_points(rng, r)})
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "point_id int, x double, y double")
+    pf = spark.createDataFrame([(k, [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]) for k, rings in polys.items()], "poly string, rings array<array<struct<x:double,y:double>>>")
+    got = {(r["point_id"], r["poly"]) for r in P.point_polygon_pairs(df, pf, ["point_id"], ["poly"]).collect()}
+    assert got == {(i, k) for i, p in enumerate(pts) for k, rings in polys.items() if plain_inside(p, rings)}
+    cover = P.polygon_cover(pf, ["poly"], 100.0).where("poly = 'fine'")
+    assert cover.agg(F.max(F.size("segs"))).first()[0] <= 300 and cover.where("segs is null").count() > 50
+    plan = P.point_polygon_pairs(df, pf, ["point_id"], ["poly"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rings" not in plan  # whole rings do not reach the join
+
+
+def test_a_third_of_all_points_in_one_cell(spark):
+    """Points crowded on two streets and piled up on one spot: few more pairs are tested than found."""
+    rng = np.random.default_rng(5)
+    pts = [(i, 50 + float(x), 50 + float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (3000, 2)))]
+    pts += [(10000 + i, 60.0, 60.0) for i in range(2000)] + [(20000 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-4000, 4000, (4000, 2)))]
+    lines = [(f"e{i}", [(x, y), (x + dx, y + dy)]) for i, (x, y, dx, dy) in enumerate(np.c_[rng.uniform(0, 200, (300, 2)), rng.uniform(-15, 15, (300, 2))].tolist())]
+    df = spark.createDataFrame(pts, "point_id int, x double, y double")
+    lf = lines_df(spark, lines)
+    p, s = P._point_line_cells(df, lf, "edge_id", 30.0)
+    tested = p.join(s, ["level", "cx", "cy"]).count()
+    got = P.pairs_within(df, lf, "point_id", "edge_id", 30.0)
+    found = got.select("point_id", "edge_id").join(df, "point_id").select("x", "y", "edge_id").distinct().count()
+    assert found < tested <= 4 * found, (tested, found)
+    some = [q for q in pts if q[0] % 37 == 0]
+    mine = {(r["point_id"], r["edge_id"]): r["dist"] for r in got.where("point_id % 37 = 0").collect()}
+
+    def dist(q, line):
+        (ax, ay), (bx, by) = line
+        t = max(0.0, min(1.0, ((q[1] - ax) * (bx - ax) + (q[2] - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(q[1] - ax - t * (bx - ax), q[2] - ay - t * (by - ay))
+    want = {(q[0], e): dist(q, line) for q in some for e, line in lines if dist(q, line) <= 30}
+    assert mine.keys() == want.keys() and all(abs(mine[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_k_nearest_near_and_far(spark):
+    """Crowded, repeated and lonely targets; points inside, far outside and on top of targets; ties to the smaller id."""
+    from highwater.operators.nearest import k_nearest
+    rng = np.random.default_rng(2)
+    targets = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.r_[rng.uniform(0, 1000, (300, 2)), rng.normal(500, 1, (400, 2)), np.tile([[250.0, 250.0]], (200, 1)), [[9000.0, -50.0]]])]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.r_[rng.uniform(-100, 1100, (60, 2)), [[250.0, 250.0], [1e6, 1e6], [-3e5, 500.0], [8999.0, 0.0]]])]
+    pf, tf = spark.createDataFrame(points, "point_id int, x double, y double"), spark.createDataFrame(targets, "target_id int, tx double, ty double")
+    d = F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2))
+    for k in (1, 5):
+        got = {}
+        for r in k_nearest(pf, tf, k, d).orderBy("rank").collect():
+            got.setdefault(r["point_id"], []).append((r["dist"], r["target_id"]))
+        for i, x, y in points:
+            want = sorted((round(math.hypot(tx - x, ty - y), 6), t) for t, tx, ty in targets)[:k]
+            assert [t for _, t in got[i]] == [t for _, t in want] and all(abs(a - b) < 2e-6 for (a, _), (b, _) in zip(got[i], want)), i
+    assert k_nearest(pf, tf.limit(0), 3, d).count() == 0
+    few = k_nearest(pf, tf.where("target_id < 3"), 5, d).groupBy("point_id").count()
+    assert few.where("count = 3").count() == len(points)
+
+
+def test_a_far_point_looks_at_few_cells(spark, monkeypatch):
+    from highwater.operators import nearest as N
+    rng = np.random.default_rng(3)
+    tf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1000, (5000, 2)))], "target_id int, tx double, ty double")
+    pf = spark.createDataFrame([(1, 70000.0, 30000.0)], "point_id int, x double, y double")
+    seen = []
+    keep = N.stored
+    monkeypatch.setattr(N, "stored", lambda df: seen.append((out := keep(df)).count()) or out)
+    assert N.k_nearest(pf, tf, 1, F.lit(1.0)).count() == 1
+    assert seen and max(seen) <= 12, seen

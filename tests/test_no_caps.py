@@ -39,7 +39,7 @@ def test_nearest_however_far(spark):
     assert got == {"far": "m", "here": "n", "none": None}
     assert [r["node_id"] for r in P.nearest_node(points, nodes.limit(0), 10.0).collect()] == [None] * 3
     targets = nodes.withColumnRenamed("node_id", "target_id")
-    found = {(r["point_id"], r["target_id"], r["rank"]) for r in R.nearest_k(points, targets, 2, 10.0).collect()}
+    found = {(r["point_id"], r["target_id"], r["rank"]) for r in R.nearest_k(points, targets, 2).collect()}
     assert found == {("far", "m", 1), ("far", "n", 2), ("here", "n", 1), ("here", "m", 2)}
 
 
