@@ -123,6 +123,23 @@ def in_rings(pt, rings) -> Column:
     return count % 2 == 1
 
 
+def inside_point(rings) -> Column:
+    """A point of the polygon: the middle of its widest stretch at half height, between vertices and so off every corner."""
+    rings = col(rings)
+    ys = F.transform(F.flatten(rings), lambda p: p["y"])
+    half = (F.array_min(ys) + F.array_max(ys)) / 2
+    y = (F.array_max(F.filter(ys, lambda v: v <= half)) + F.array_min(F.filter(ys, lambda v: v > half))) / 2
+
+    def cuts(r):
+        hit = F.filter(segments(r), lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
+        return F.transform(hit, lambda s: (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
+
+    xs = F.array_sort(F.flatten(F.transform(rings, cuts)))
+    gaps = F.zip_with(xs, F.slice(xs, F.lit(2), F.size(xs)), lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x")))
+    widest = F.array_max(F.filter(gaps, lambda g, i: (i % 2 == 0) & g["w"].isNotNull()))
+    return F.struct(widest["x"].alias("x"), y.alias("y"))
+
+
 def covers(rings, pt) -> Column:
     """Inside or on the border."""
     return in_rings(pt, rings) | on_boundary(pt, rings)

@@ -191,8 +191,12 @@ def long_outliers(edges: DataFrame, k: float = 3.0) -> DataFrame:
 
 
 def inlet_medians(drains: DataFrame, min_len: float = 20.0) -> DataFrame:
-    """Median inlet figures by jurisdiction on long edges, and by short/long. drains: + length, jurisdiction."""
-    long = drains.where(F.col("length") >= min_len)
-    a = group_median(long, "drains_per_100m", ["jurisdiction"]).withColumnRenamed("jurisdiction", "group")
-    sized = drains.withColumn("group", F.when(F.col("length") < min_len, "short").otherwise("long"))
-    return a.unionByName(group_median(sized, "drains_per_100m", ["group"]))
+    """Medians of inlet counts and inlets per 100 m: both by jurisdiction on long edges, the second also by short/long.
+
+    drains: drain_count, drains_per_100m, length, jurisdiction. Returns group, measure, median, n.
+    """
+    sized = drains.select(F.when(F.col("length") < min_len, "short").otherwise("long").alias("group"), F.lit("drains_per_100m").alias("measure"),
+                          F.col("drains_per_100m").alias("v"))
+    by_jurisdiction = drains.where(F.col("length") >= min_len).select(F.col("jurisdiction").alias("group"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in ("drain_count", "drains_per_100m")])).alias("m")).select("group", "m.*")
+    return group_median(sized.unionByName(by_jurisdiction), "v", ["group", "measure"])

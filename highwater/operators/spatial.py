@@ -10,9 +10,9 @@ with points.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from highwater.functions.geometry import (bearing, envelope, flat_distance_m,
-                                          hausdorff, heads_toward, in_rings, line_length, point_segment_distance,
+                                          hausdorff, heads_toward, in_rings, inside_point, line_length, point_segment_distance,
                                           point_at, sample_line, segment_hits_box, segments)
-from highwater.operators.checks import first_by, near_minimum
+from highwater.operators.checks import first_by, near_minimum, type_lots
 from highwater.operators.nearest import k_nearest
 from highwater.operators.ranges import exact_quantiles
 from highwater.session import cut_lineage
@@ -216,6 +216,16 @@ def polygon_stats(edges: DataFrame, polys: DataFrame, poly_id: str, base: float
 
 
 # ------------------------------------------------------------------ lots and roads
+def campus_lots(features: DataFrame, campuses: DataFrame, campus_id: str = "campus_id") -> DataFrame:
+    """Parking features on a campus, typed and named; a feature belongs where a point inside it lies.
+
+    features: osm_id, name, parking, rings and more. campuses: campus_id, rings.
+    """
+    at = features.select("osm_id", inside_point("rings").alias("p")).select("osm_id", "p.x", "p.y")
+    on = point_polygon_pairs(at, campuses, ["osm_id"], [campus_id]).distinct()
+    return type_lots(features.join(on, "osm_id"))
+
+
 def _cross(ax, ay, bx, by, px, py):
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 

@@ -92,6 +92,23 @@ def _(T):
     return audit_splits(panel(T), BOUNDS["train_end"], BOUNDS["validation_end"])
 
 
+PLANTED = """pl as (select user_id as street_id, cast(ts as date) as date, case event_type when 'error' then 'unseen_streets_test' when 'signup' then 'validation' when 'view' then 'train' else 'future_test' end as split,
+  user_id % 29 = 0 as is_bridge, user_id % 50 as split_group from events)"""
+
+
+@query("v8_planted_splits", f"""with {PLANTED}, g as (select split_group, bool_or(split in ('train', 'validation')) as dev, bool_or(split = 'unseen_streets_test') as unseen from pl group by split_group)
+  select 'outside_bounds' as "check", count(*) filter (where (split = 'train' and date > date '2024-01-18') or (split = 'validation' and (date <= date '2024-01-18' or date > date '2024-01-23'))
+    or (split in ('future_test', 'unseen_streets_test') and date <= date '2024-01-23')) as violations from pl
+  union all select 'shared_groups', count(*) filter (where dev and unseen) from g union all select 'bridges', count(*) filter (where is_bridge) from pl
+  union all select 'repeated_days', count(*) from (select street_id, date from pl group by street_id, date having count(*) > 1) t""")
+def _(T):
+    from highwater.operators.checks import audit_splits
+    k = F.col("event_type")
+    split = F.when(k == "error", "unseen_streets_test").when(k == "signup", "validation").when(k == "view", "train").otherwise("future_test")
+    planted = T.events.select(F.col("user_id").alias("street_id"), F.to_date("ts").alias("date"), split.alias("split"), (F.col("user_id") % 29 == 0).alias("is_bridge"), (F.col("user_id") % 50).alias("split_group"))
+    return audit_splits(planted, "2024-01-18", "2024-01-23")
+
+
 LINKS = """lk as (select l.date, l.source, l.ticket_id, s.street_id, s.jurisdiction, st.is_bridge,
     (s.jurisdiction = 'city' and l.date between date '2024-01-01' and date '2024-01-30') or (s.jurisdiction = 'county' and l.date between date '2024-01-05' and date '2024-01-25') as ok
   from fx_link l join fx_static s on s.edge_id = l.edge_id join (select street_id, bool_or(is_bridge) as is_bridge from fx_static group by street_id) st on st.street_id = s.street_id where l.category = 'flood')"""

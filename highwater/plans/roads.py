@@ -593,9 +593,10 @@ def _(T):
     return M.long_outliers(T.fx_edge, 0.5).select("edge_id", "mixed_tags", "long_outlier")
 
 
-@query("a30_inlet_medians", """with d as (select jurisdiction, abs(length) as length, drain_count / abs(length) * 100 as r from fx_static)
-  select jurisdiction as "group", round(quantile_cont(r, 0.5), 6) as median, count(*) as n from d where length >= 110 group by jurisdiction
-  union all select case when length < 110 then 'short' else 'long' end, round(quantile_cont(r, 0.5), 6), count(*) from d group by 1""")
+@query("a30_inlet_medians", """with d as (select jurisdiction, abs(length) as length, drain_count, drain_count / abs(length) * 100 as r from fx_static)
+  select jurisdiction as "group", 'drains_per_100m' as measure, round(quantile_cont(r, 0.5), 6) as median, count(*) as n from d where length >= 110 group by jurisdiction
+  union all select jurisdiction, 'drain_count', round(quantile_cont(drain_count, 0.5), 6), count(*) from d where length >= 110 group by jurisdiction
+  union all select case when length < 110 then 'short' else 'long' end, 'drains_per_100m', round(quantile_cont(r, 0.5), 6), count(*) from d group by 1""")
 def _(T):
     d = T.fx_static.withColumn("length", F.abs("length")).withColumn("drains_per_100m", S.per_100m("drain_count", "length"))
     return r6(M.inlet_medians(d, 110.0))

@@ -109,6 +109,24 @@ def _(T):
     return r6(V.tide_peak(req, pred, obs, levels).select("req_id", "predicted_peak", "above_minor", "above_moderate", "status"))
 
 
+# readings two minutes after a third of the predictions of the first half, so early requests have a fresh one and late ones a stale one
+@query("x32_tide_anomaly", """with q as (select event_id as req_id, user_id % 3 as key, ts as at, ts - interval 10 minute as now from events where event_type = 'signup'),
+  p as (select distinct user_id % 3 as key, date_trunc('second', ts) as t, value as v from events where event_type = 'view'),
+  o as (select user_id % 3 as key, date_trunc('second', ts) + interval 2 minute as t, max(value) + 7e0 as v from events where event_type = 'view' and event_id % 3 = 0 and ts < timestamp '2024-01-16' group by 1, 2),
+  l as (select key, max(t) as t from o group by key),
+  a as (select l.key, l.t, o.v, p.v as pv, row_number() over (partition by l.key order by abs(date_diff('second', p.t, l.t)), p.t, p.v) as r from l join o on o.key = l.key and o.t = l.t left join p on p.key = l.key and abs(date_diff('second', p.t, l.t)) <= 360),
+  k as (select req_id, max(p.v) as peak from q join p on p.key = q.key and abs(date_diff('second', p.t, date_trunc('second', q.at))) <= 3600 group by req_id),
+  e as (select q.req_id, peak, case when date_diff('second', a.t, date_trunc('second', q.now)) <= 1800 then a.v - a.pv end as anomaly from q left join k on k.req_id = q.req_id left join a on a.key = q.key and a.r = 1)
+  select req_id, round(anomaly, 6) as anomaly, round(peak + coalesce(anomaly, 0), 6) as expected_peak, coalesce(peak + coalesce(anomaly, 0) >= 300, null) as above_minor, case when peak is null then 'unavailable' else 'ok' end as status from e""")
+def _(T):
+    e = T.events.withColumn("key", F.col("user_id") % 3)
+    req = e.where("event_type = 'signup'").select(F.col("event_id").alias("req_id"), "key", F.col("ts").alias("at"), F.expr("ts - interval 10 minutes").alias("now"))
+    pred = e.where("event_type = 'view'").select("key", F.date_trunc("second", "ts").alias("t"), F.col("value").alias("v")).distinct()
+    obs = e.where("event_type = 'view' and event_id % 3 = 0 and ts < timestamp '2024-01-16'").groupBy("key", F.expr("date_trunc('second', ts) + interval 2 minutes").alias("t")).agg((F.max("value") + 7.0).alias("v"))
+    levels = e.select("key").distinct().select("key", F.lit(300.0).alias("minor"), F.lit(450.0).alias("moderate"))
+    return r6(V.tide_peak(req, pred, obs, levels).select("req_id", "anomaly", "expected_peak", "above_minor", "status"))
+
+
 @query("x33_rain_sums", """with r as (select event_id as req_id, ts as now, ts + interval 30 minute as depart, epoch(date_trunc('second', ts))::bigint as n from events where event_type = 'purchase'),
   g as (select req_id, n, unnest(generate_series(cast(floor((n - 7200) / 900) as bigint) + 1, cast(floor((n + 5400) / 900) as bigint))) as q from r),
   m as (select g.req_id, g.q * 900 as t, n, mm from g left join (select epoch(q)::bigint as e, mm from fx_quarter) k on k.e = g.q * 900)

@@ -251,13 +251,24 @@ def _(T):
     return r6(T.lines().select("edge_id", G.dist_to_line(G.point(F.col("x0") + 30, F.col("y0") - 20), "geom").alias("d")))
 
 
-@query("x6_in_rings", """select lot_id, s_suppkey % 60 > 0 and s_suppkey % 40 > 0 and s_suppkey % 60 < 60 and not (s_suppkey % 60 > 20 and s_suppkey % 60 < 40 and s_suppkey % 40 > 10 and s_suppkey % 40 < 30) as inside
-  from fx_lot where s_suppkey % 60 not in (0, 20, 40) and s_suppkey % 40 not in (0, 10, 30)""")
+# a border point counts by which side of it the polygon lies; ``covered`` takes the whole border in
+@query("x6_in_rings", """with k as (select lot_id, s_suppkey % 60 as x, s_suppkey % 40 as y from fx_lot),
+  b as (select *, not (x >= 20 and x < 40 and y >= 10 and y < 30) as inside, x = 0 or y = 0 or (x in (20, 40) and y between 10 and 30) or (y in (10, 30) and x between 20 and 40) as on_border from k)
+  select lot_id, inside, on_border, inside or on_border as covered from b""")
 def _(T):
     k = F.col("s_suppkey")
     hole = G.box_ring(F.col("x0") + 20, F.col("y0") + 10, F.col("x0") + 40, F.col("y0") + 30)
-    lots = T.lots().withColumn("rings", F.concat("rings", hole)).where(~(k % 60).isin(0, 20, 40) & ~(k % 40).isin(0, 10, 30))
-    return lots.select("lot_id", G.in_rings(G.point(F.col("x0") + k % 60, F.col("y0") + k % 40), "rings").alias("inside"))
+    lots = T.lots().withColumn("rings", F.concat("rings", hole)).withColumn("p", G.point(F.col("x0") + k % 60, F.col("y0") + k % 40))
+    return lots.select("lot_id", G.in_rings("p", "rings").alias("inside"), G.on_boundary("p", "rings").alias("on_border"), G.covers("rings", "p").alias("covered"))
+
+
+@query("f29_campus_lots", """select zone_id as campus_id, concat('way/', cast(s_suppkey as string)) as osm_id, case when s_suppkey % 4 = 0 then 'garage' else 'surface' end as type
+  from fx_lot join fx_zone on zone_id % 3 = 0 and x > zx0 and x < zx1 and y > zy0 and y < zy1""")
+def _(T):
+    k = F.col("s_suppkey")
+    f = T.lots().select(F.concat(F.lit("way/"), k.cast("string")).alias("osm_id"), "name", F.when(k % 4 == 0, "multi-storey").alias("parking"), "rings")
+    campuses = T.zones().where("zone_id % 3 = 0").select(F.col("zone_id").alias("campus_id"), "rings")
+    return P.campus_lots(f, campuses).select("campus_id", "osm_id", "type")
 
 
 @query("x7_line_length", "select edge_id, round(length, 6) as length from fx_edge")
