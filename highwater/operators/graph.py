@@ -5,7 +5,7 @@ a lost executor costs at most one round. What the driver sees is one number per
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
-from highwater.session import cut_lineage
+from highwater.session import cut_lineage, stored
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -90,44 +90,119 @@ def reachable(edges: DataFrame, start: DataFrame, src: str = "u", dst: str = "v"
 
 
 def largest_scc(edges: DataFrame) -> DataFrame:
-    """Nodes (id) of the largest strongly connected component (ties: the one with the smallest pivot found first).
+    """Nodes (id) of the largest strongly connected component (ties: the one with the smallest id)."""
+    scc = cut_lineage(strong_components(edges))
+    best = scc.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return scc.join(best.select("component"), "component", "left_semi").select("id")
 
-    Repeats: drop nodes without an in- or out-edge, take the node of highest degree as pivot, its component is
-    forward meets backward reach; stop when no unsearched set can be larger.
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): strongly connected components of arcs u, v, named by their smallest id.
+
+    The graph is made small first, by steps that take few rounds whatever their length: nodes with arcs both ways are one
+    (undirected components), a node with one way in and one way out is bypassed, whole chains at once by pointer doubling, and
+    nodes without a way in or out are dropped. What is left is coloured: the largest id spreads forward, and where it gets back
+    to its owner inside its colour, a component is found; all colours are worked on at once. The removed nodes then get their
+    answer in reverse order: a bypassed one belongs where both its ends belong together.
     """
-    rest = cut_lineage(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct())
-    best, best_n = None, 0
-    while True:
-        rest, left = _trim(rest)
-        if left <= best_n or left == 0:
-            break
-        ends = rest.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        pivot = ends.orderBy(F.desc("n"), "id").limit(1).select("id")
-        fwd = reachable(rest, pivot)
-        back = reachable(rest, pivot, "v", "u")
-        comp = cut_lineage(fwd.join(back, "id", "left_semi"))
-        n = comp.count()
-        if n > best_n:
-            best, best_n = comp, n
-        rest = rest.join(comp.withColumnRenamed("id", "u"), "u", "left_anti").join(
-            comp.withColumnRenamed("id", "v"), "v", "left_anti")
-    if best is None:  # no cycle at all: every component is one node
-        return edges.select(F.least("u", "v").alias("id")).agg(F.min("id").alias("id"))
-    return best
-
-
-def _trim(e: DataFrame) -> tuple[DataFrame, int]:
-    """Remove nodes that cannot lie on a cycle; returns the rest and how many nodes it has."""
-    n = None
-    while True:
-        e = cut_lineage(e)
-        heads, tails = e.select(F.col("v").alias("u")).distinct(), e.select(F.col("u").alias("v")).distinct()
-        now = e.count()
-        if now == n or now == 0:
-            nodes = e.select(F.explode(F.array("u", "v")).alias("id")).distinct().count() if now else 0
-            return e, nodes
-        n = now
-        e = e.join(heads, "u", "left_semi").join(tails, "v", "left_semi")
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    arcs, steps = stored(_plain(edges.select("u", "v"))), []
+    size = arcs.count()
+    while size:
+        two_way = arcs.join(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).where("u < v")
+        if not two_way.isEmpty():
+            groups = stored(components(two_way, "u", "v"))
+            steps.append(("merge", groups.where("id != component").select("id", "component")))
+            name = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))  # noqa: E731,B023
+            arcs = _plain(arcs.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
+        arcs = stored(_with_both_ways(arcs))
+        arcs, found = _bypass(arcs)
+        steps += found
+        arcs = stored(_with_both_ways(arcs))
+        now = arcs.count()
+        if now > 0.7 * size:
+            scc = _coloured(arcs)
+            steps.append(("scc", scc))
+            gone = scc.select(F.col("id").alias("u"))
+            arcs = stored(arcs.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti"))
+            now = arcs.count()
+        size = now
+    return _unwind(nodes, steps)
+
+
+def _plain(arcs: DataFrame) -> DataFrame:
+    return arcs.where(F.col("u") != F.col("v")).distinct()
+
+
+def _with_both_ways(arcs: DataFrame, rounds: int = 3) -> DataFrame:
+    """Without arcs from nodes that have no way in and arcs to nodes that have no way out; repeated a few times."""
+    for _ in range(rounds):
+        heads, tails = arcs.select(F.col("v").alias("u")).distinct(), arcs.select(F.col("u").alias("v")).distinct()
+        arcs = arcs.join(heads, "u", "left_semi").join(tails, "v", "left_semi")
+    return arcs
+
+
+def _bypass(arcs: DataFrame) -> tuple[DataFrame, list]:
+    """Chains of nodes with one arc in and one arc out become single arcs; closed chains are components of their own."""
+    after = arcs.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("_o"), F.min("v").alias("next")).where("_o = 1")
+    before = arcs.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("_i"), F.min("u").alias("prev")).where("_i = 1")
+    state = stored(after.join(before, "id").select("id", "next", "prev", F.col("id").alias("low")))
+    total, reach = state.count(), 1
+    if not total:
+        return arcs, []
+    chain = state.select("id")
+    inside = lambda c: chain.select(F.col("id").alias(c))
+    while reach < total and not state.join(inside("next"), "next", "left_semi").isEmpty():
+        for _ in range(2):
+            n = state.select(F.col("id").alias("next"), F.col("next").alias("_n"), F.col("low").alias("_ln"))
+            p = state.select(F.col("id").alias("prev"), F.col("prev").alias("_p"), F.col("low").alias("_lp"))
+            state = state.join(n, "next", "left").join(p, "prev", "left").select(
+                "id", F.coalesce("_n", "next").alias("next"), F.coalesce("_p", "prev").alias("prev"), F.least("low", "_ln", "_lp").alias("low"))
+            reach *= 2
+        state = stored(state)
+    closed = state.join(inside("next"), "next", "left_semi").select("id", F.col("low").alias("component"))
+    passed = stored(state.join(inside("next"), "next", "left_anti").select("id", "next", "prev"))
+    rest = arcs.join(inside("u"), "u", "left_anti").join(inside("v"), "v", "left_anti")
+    return _plain(rest.unionByName(passed.select(F.col("prev").alias("u"), F.col("next").alias("v")))), [("scc", stored(closed)), ("bypass", passed)]
+
+
+def _coloured(arcs: DataFrame, rounds_per_job: int = 6) -> DataFrame:
+    """(id, component) of the nodes whose component holds the largest id that reaches them."""
+    nodes = arcs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    step = cut_lineage(arcs.select(F.col("u").alias("id"), F.col("v").alias("to"), F.lit(False).alias("own")).unionByName(
+        nodes.select("id", F.col("id").alias("to"), F.lit(True).alias("own"))))
+    seen = stored(nodes.select("id", F.col("id").alias("colour"), F.lit(True).alias("fresh")))
+    while not seen.where("fresh").isEmpty():
+        for _ in range(rounds_per_job):
+            met = seen.join(step, "id").where(F.col("own") | F.col("fresh"))
+            seen = met.groupBy(F.col("to").alias("id")).agg(F.max(F.struct("colour", "own")).alias("b")).select("id", "b.colour", (~F.col("b.own")).alias("fresh"))
+        seen = stored(seen)
+    side = lambda c: seen.select(F.col("id").alias(c), F.col("colour").alias(f"_{c}"))
+    same = arcs.join(side("u"), "u").join(side("v"), "v").where(F.col("_u") == F.col("_v")).select("u", "v")
+    back = reachable(same, seen.where(F.col("id") == F.col("colour")).select("id"), "v", "u")
+    return stored(seen.join(back, "id", "left_semi").select("id", F.col("colour").alias("component")))
+
+
+def _unwind(nodes: DataFrame, steps: list) -> DataFrame:
+    """Components of all nodes, from the last step back to the first. A node without a row is alone so far."""
+    known = None
+    for kind, table in reversed(steps):
+        if kind == "scc":
+            more = table.select("id", "component")
+        elif kind == "merge":
+            more = table if known is None else table.join(known.select(F.col("id").alias("component"), F.col("component").alias("_c")), "component", "left").select(
+                "id", F.coalesce("_c", "component").alias("component"))
+        else:
+            side = lambda c, k=known: (table.select(c).distinct() if k is None else table.select(c).distinct().join(  # noqa: E731,B023
+                k.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left")).select(c, F.coalesce(f"_{c}", c).alias(f"_{c}") if k is not None else F.col(c).alias(f"_{c}"))
+            more = table.join(side("next"), "next").join(side("prev"), "prev").where(F.col("_next") == F.col("_prev")).select("id", F.col("_next").alias("component"))
+        known = stored(more if known is None else known.unionByName(more))
+    if known is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    # a component goes by any of its nodes until here; that node itself may have no row
+    full = nodes.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("_c"))
+    least = full.groupBy("_c").agg(F.min("id").alias("component"))
+    return full.join(least, "_c").select("id", "component")
 
 
 def batch_paths(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
