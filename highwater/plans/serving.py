@@ -287,7 +287,19 @@ def trip_graph(T):
     return f.select("u", "v", "edge_id", "name", "length", (F.col("length") / 10).alias("seconds"), "closed", "slowed", "score", "label")
 
 
-@query("g4_batch_paths")
+# distances to every target, each node's entry replaced while it still falls
+DISTANCES = f"""{EFFECTIVE}, {ACTIVE}, opened as materialized (select e.u, e.v, length / 10 * case when coalesce(slowed, false) then 1.5e0 else 1 end as b, score, label
+    from fx_edge e join eff on eff.edge_id = e.edge_id left join ac on ac.edge_id = e.edge_id where not coalesce(closed, false) and e.u <> e.v),
+  arcs as materialized (select kind, u, v, min(cost) as cost from (select 'usual' as kind, u, v, b as cost from opened
+    union all select 'safe', u, v, b * (1 + 2 * score) * case when label = 'high' then 5 else 1 end from opened) t group by kind, u, v),
+  pr as materialized (select distinct from_node as source, to_node as target from fx_trip where from_node <> to_node),
+  d(kind, root, node, dist) using key (kind, root, node) as (select kind, target, target, 0e0 from (select distinct target from pr) t, (values ('usual'), ('safe')) k(kind)
+    union select a.kind, d.root, a.u, min(d.dist + a.cost) from d join arcs a on a.kind = d.kind and a.v = d.node left join recurring.d o on o.kind = a.kind and o.root = d.root and o.node = a.u
+      group by a.kind, d.root, a.u, o.dist having o.dist is null or min(d.dist + a.cost) < o.dist)"""
+
+
+@query("g4_batch_paths", f"""with recursive {DISTANCES} select k.kind, source, target, round(dist, 6) as total
+  from pr cross join (values ('usual'), ('safe')) k(kind) left join d on d.kind = k.kind and d.root = pr.target and d.node = pr.source""")
 def _(T):
     from highwater.operators.graph import batch_paths
     pairs = T.fx_trip.select(F.col("from_node").alias("source"), F.col("to_node").alias("target")).distinct()
@@ -300,6 +312,19 @@ def _(T):
     return c.select("trip_id", "status", "compromised", "same_route", "extra_minutes", "high_risk_m_avoided", "high_risk_segments_avoided", "action", "message")
 
 
+# one-way roads up the numbers, and some back inside a row of the town: components of many sizes
+@query("g3_strong_components", """with recursive arcs as materialized (select distinct u, v from fx_base_edge where u <> v union select distinct v, u from fx_base_edge where j >= 4 and status <> 'P' and u // 40 = v // 40),
+  reach(a, b) as (select u, v from arcs union select reach.a, arcs.v from reach join arcs on arcs.u = reach.b),
+  n as (select u as id from arcs union select v from arcs), m as (select r.a as id, min(r.b) as low from reach r join reach s on s.a = r.b and s.b = r.a group by r.a)
+  select n.id, least(n.id, coalesce(low, n.id)) as component from n left join m on m.id = n.id""")
+def _(T):
+    from highwater.operators.graph import strong_components
+    e = T.fx_base_edge.select("u", "v", "j", "status")
+    row = lambda c: F.floor(F.col(c) / 40)
+    back = e.where((F.col("j") >= 4) & (F.col("status") != "P") & (row("u") == row("v"))).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return strong_components(e.select("u", "v").unionByName(back))
+
+
 @query("g3_largest_scc")
 def _(T):
     from highwater.operators.graph import largest_scc
