@@ -203,7 +203,7 @@ def resolve_location(events: DataFrame, buildings: DataFrame) -> DataFrame:
     """Adds ``code``: a building code written in the location, else the building whose name its words spell.
 
     Distinct texts are resolved once. Codes are an equi-join of the text's capital-letter tokens. Names are an equi-join on
-    the start of a name's last word, then checked: the name (or its last two or more words, not all generic) must appear in
+    the start of a name's rarest word, so that words many names share (hall, center) bring nothing together, then checked: the name (or its last two or more words, not all generic) must appear in
     order, words may be shortened to three letters or more, numbers not at all. The longest match wins, a whole name
     before a partial one. buildings: code, name, ord.
     """
@@ -218,7 +218,11 @@ def resolve_location(events: DataFrame, buildings: DataFrame) -> DataFrame:
         "code", "ord", "start", F.slice("name", F.col("start") + 1, F.size("name")).alias("part"))
     generic = F.array(*[F.lit(w) for w in GENERIC_PLACE_WORDS])
     parts = parts.where((F.col("start") == 0) | F.exists("part", lambda w: ~F.array_contains(generic, w) & ~_digits(w)))
-    keyed = parts.withColumn("k", _word_key(F.element_at("part", -1)))
+    # a text that spells a name has all its words, so one is enough to find it: the one that fewest names share
+    words = parts.select("code", "ord", "start", F.explode(F.array_distinct(F.transform("part", _word_key))).alias("k"))
+    shared = words.groupBy("k").agg(F.count_distinct("code").alias("_names"))
+    rarest = words.join(shared, "k").groupBy("code", "ord", "start").agg(F.min_by("k", F.struct("_names", "k")).alias("k"))
+    keyed = parts.join(rarest, ["code", "ord", "start"])
     cands = rest.withColumn("k", F.explode(F.array_distinct(F.transform("words", _word_key)))).join(keyed, "k")
 
     def advance(i, w):

@@ -325,7 +325,11 @@ def _(T):
     return strong_components(e.select("u", "v").unionByName(back))
 
 
-@query("g3_largest_scc")
+@query("g3_largest_scc", """with recursive arcs as materialized (select distinct u, v from fx_edge where u <> v),
+  reach(a, b) as (select u, v from arcs union select reach.a, arcs.v from reach join arcs on arcs.u = reach.b),
+  n as (select u as id from arcs union select v from arcs), m as (select r.a as id, min(r.b) as low from reach r join reach s on s.a = r.b and s.b = r.a group by r.a),
+  c as (select n.id, least(n.id, coalesce(low, n.id)) as component from n left join m on m.id = n.id)
+  select id from c where component = (select component from c group by component order by count(*) desc, component limit 1)""")
 def _(T):
     from highwater.operators.graph import largest_scc
     return largest_scc(T.fx_edge.select("u", "v"))

@@ -112,6 +112,14 @@ def test_locations(spark):
     assert {r["location"]: r["code"] for r in R.resolve_location(ev, b).collect()} == want
 
 
+def test_generic_names_bring_nothing_together(spark):
+    """Three hundred names end in the same word: each text meets the names that share its rarest word, not all of them."""
+    b = spark.createDataFrame([(f"H{i}", f"Quarter{i:03d} Memorial Hall", i) for i in range(300)] + [("MH", "Memorial Hall", 300), ("OM", "Old Memorial", 301)], "code string, name string, ord int")
+    want = {f"room at quarter{i:03d} memorial hall": f"H{i}" for i in range(0, 300, 25)} | {"the memorial hall": "MH", "hall": None, "quarter hall": None, "old memorial steps": "OM"}
+    ev = spark.createDataFrame([(k,) for k in want], "location string")
+    assert {r["location"]: r["code"] for r in R.resolve_location(ev, b).collect()} == want
+
+
 def test_schedule_across_the_clock_change(spark):
     c = spark.createDataFrame([(1, ["MO", "WE"], 510, 585)], "class_id int, days array<string>, start_min int, end_min int")
     rows = R.expand_schedule(c, "2026-03-04 00:00:00", "2026-03-12 00:00:00").orderBy("start_ts").collect()
