@@ -40,11 +40,31 @@ def replace_keyed(df: DataFrame, path: str, key: str) -> dict:
 # ------------------------------------------------------------------ versioned tables: readers follow a marker, never a folder in progress
 def read_versioned(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest complete version, or None before the first."""
+    v = _newest(spark, path)
+    if v is None:
+        return None
+    manifest = _manifest(spark, path, v["version"])
+    return spark.read.parquet(*(manifest.values() if manifest else [f"{path}/data/{v['version']}"]))
+
+
+def _newest(spark: SparkSession, path: str):
     try:
-        v = spark.read.parquet(f"{path}/versions").agg(F.max(F.struct("seq", "version")).alias("m")).first()["m"]
+        return spark.read.parquet(f"{path}/versions").agg(F.max(F.struct("seq", "version")).alias("m")).first()["m"]
     except AnalysisException:
         return None
-    return None if v is None else spark.read.parquet(f"{path}/data/{v['version']}")
+
+
+def _manifest(spark: SparkSession, path: str, version: str) -> dict[int, str]:
+    """bucket -> folder of a bucketed version; empty for a version written whole. As many rows as buckets."""
+    folder = f"{path}/manifests/{version}"
+    if not _exists(spark, folder):
+        return {}
+    return {r["bucket"]: r["folder"] for r in spark.read.schema("bucket int, folder string").parquet(folder).collect()}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def write_versioned(df: DataFrame, path: str) -> str:
@@ -60,11 +80,53 @@ def write_versioned(df: DataFrame, path: str) -> str:
     return version
 
 
-def upsert_table(changes: DataFrame, path: str, key: list[str], ts: str) -> None:
-    """Replace-or-insert into a versioned table."""
-    now = read_versioned(changes.sparkSession, path)
-    empty = changes.limit(0)
-    write_versioned(upsert(now if now is not None else empty, changes, key, ts), path)
+def upsert_table(changes: DataFrame, path: str, key: list[str], ts: str, buckets: int = 64, keep: int = 2) -> None:
+    """Replace-or-insert into a versioned table that is cut into buckets by key hash.
+
+    Only buckets with a change are read and written anew; a manifest lists, bucket by bucket, the folders that make up the
+    version, most of them from versions before. The marker comes last, so readers see the old or the new version, and folders
+    that none of the newest ``keep`` versions lists are removed. The number of buckets is the table's, fixed when it is made;
+    choose it so that a bucket is what one change may cost to rewrite.
+    """
+    spark = changes.sparkSession
+    now = _newest(spark, path)
+    old = _manifest(spark, path, now["version"]) if now else {}
+    if now and old:
+        buckets = spark.read.parquet(f"{path}/buckets").first()["n"]
+    changes = cut_lineage(changes.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+    touched = sorted(r["_bucket"] for r in changes.select("_bucket").distinct().collect())  # at most one number per bucket
+    if not touched:
+        return
+    seq = now["seq"] + 1 if now else 1
+    version = f"v{seq:08d}-{uuid.uuid4().hex[:8]}"
+    before = [old[b] for b in touched if b in old] or ([f"{path}/data/{now['version']}"] if now and not old else [])
+    base = spark.read.parquet(*before) if before else changes.drop("_bucket").limit(0)
+    merged = upsert(base, changes.drop("_bucket"), key, ts).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = f"{path}/data/{version}"
+    merged.repartition("_bucket", F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(slices))).write.partitionBy("_bucket").parquet(data)
+    if now and not old:  # a table written whole before is cut up by its first change
+        touched = [b for b in range(buckets) if _exists(spark, f"{data}/_bucket={b}")]
+    if not old:
+        spark.createDataFrame([(buckets,)], "n int").coalesce(1).write.mode("overwrite").parquet(f"{path}/buckets")
+    folders = old | {b: f"{data}/_bucket={b}" for b in touched}
+    spark.createDataFrame(sorted(folders.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{path}/manifests/{version}")
+    spark.createDataFrame([(seq, version)], "seq bigint, version string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    _retire(spark, path, seq, keep)
+
+
+def _retire(spark: SparkSession, path: str, seq: int, keep: int) -> None:
+    """Remove bucket folders and manifests that none of the newest versions lists."""
+    versions = spark.read.parquet(f"{path}/versions")
+    live = [r["version"] for r in versions.where(F.col("seq") > seq - keep).collect()]
+    used = {folder for v in live for folder in _manifest(spark, path, v).values()}
+    last = [r["version"] for r in versions.where(F.col("seq") == seq - keep).collect()]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for v in last:
+        gone = [f for f in _manifest(spark, path, v).values() if f not in used] + [f"{path}/manifests/{v}"]
+        for folder in gone:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(conf).delete(p, True)
 
 
 # ------------------------------------------------------------------ runs
