@@ -10,7 +10,7 @@ from highwater.operators.checks import first_by, in_person, suggestable
 from highwater.operators.graph import batch_paths
 from highwater.operators.nearest import k_nearest
 from highwater.session import cut_lineage
-from highwater.settings import (ALERT_LOOKAHEAD_HOURS, COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M,
+from highwater.settings import (ALERT_LOOKAHEAD_HOURS, COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M, MAX_WAYPOINTS,
                                 ONLINE_PATTERN, SEVERITY_RANK, TIME_ZONE, TRAFFIC_ALERT_MINUTES, WEATHER_SEVERITY, WEEKDAYS)
 
 
@@ -138,6 +138,32 @@ def detours(suggested: DataFrame, usual: DataFrame, budget: int = 3) -> DataFram
     return ranked.where(F.col("rank") <= budget).select("route_id", "rank", "n", mid["x"].alias("x"), mid["y"].alias("y"))
 
 
+def waypoints(legs: DataFrame, detours: DataFrame, most: int = MAX_WAYPOINTS) -> DataFrame:
+    """Via points of one map link per journey: all stops, and detours of the legs as far as the link has room.
+
+    Stops come first; what is left of ``most`` is shared out leg by leg, each getting an equal part of the rest (rounded up) or
+    as many as it has. legs: journey_id, leg, x, y (its end). detours: journey_id, leg, rank, x, y. Returns journey_id,
+    position, kind, leg, x, y in driving order; the end of the last leg is no via point. A journey's legs are few.
+    """
+    has = detours.groupBy("journey_id", "leg").agg(F.count(F.lit(1)).alias("n"))
+    all_legs = legs.select("journey_id", "leg").join(has, ["journey_id", "leg"], "left").groupBy("journey_id").agg(
+        F.sort_array(F.collect_list(F.struct("leg", F.coalesce("n", F.lit(0)).alias("n")))).alias("legs"))
+    count = F.size("legs").cast("long")
+    start = F.struct((F.lit(most) - count + 1).alias("room"), count.alias("left"), F.array().cast("array<struct<leg:bigint,take:bigint>>").alias("out"))
+
+    def share(a, leg):
+        take = F.least(leg["n"], F.greatest(F.lit(0).cast("long"), F.ceil(a["room"] / a["left"])))
+        return F.struct((a["room"] - take).alias("room"), (a["left"] - 1).alias("left"),
+                        F.concat(a["out"], F.array(F.struct(leg["leg"].cast("long").alias("leg"), take.alias("take")))).alias("out"))
+
+    shares = all_legs.select("journey_id", F.explode(F.aggregate("legs", start, share, lambda a: a["out"])).alias("s")).select("journey_id", "s.leg", "s.take")
+    via = detours.join(shares, ["journey_id", "leg"]).where(F.col("rank") <= F.col("take")).select("journey_id", "leg", F.lit("detour").alias("kind"), "rank", "x", "y")
+    last = legs.groupBy("journey_id").agg(F.max("leg").alias("_last"))
+    stops = legs.join(last, "journey_id").where("leg < _last").select("journey_id", "leg", F.lit("stop").alias("kind"), F.lit(0).alias("rank"), "x", "y")
+    order = Window.partitionBy("journey_id").orderBy("leg", "kind", "rank")
+    return via.unionByName(stops).withColumn("position", F.row_number().over(order)).select("journey_id", "position", "kind", "leg", "x", "y")
+
+
 # ------------------------------------------------------------------ parking choice
 def nearest_k(points: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """Up to k nearest targets per point (ties by id), however far. points: point_id, x, y. targets: target_id, x, y.

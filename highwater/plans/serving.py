@@ -246,6 +246,26 @@ def _(T):
     return R.detours(s, s.where((F.col("seq") % 7).isin(0, 3)).select("route_id", "x", "y"))
 
 
+# journeys of one to five legs; the detours of a leg are the vertices of its roads off the town's main rows
+@query("w14_waypoints", """with recursive l as (select journey_id, leg, journey_id * 10e0 + leg as x, leg * 1e0 as y from (select distinct route_id as journey_id, route_id % 5 + 1 as k from fx_route_edge) j, range(5) as r(leg) where leg < k),
+  d as (select l.journey_id, l.leg, x1 as x, y1 as y, row_number() over (partition by l.journey_id, l.leg order by seq) as rank from fx_route_edge e join l on l.journey_id = e.route_id and l.leg = e.seq % 5 where e.seq % 3 > 0),
+  n as (select l.journey_id, l.leg, count(d.leg) as n, any_value(k.legs) as legs from l left join d on d.journey_id = l.journey_id and d.leg = l.leg join (select journey_id, count(*) as legs from l group by journey_id) k on k.journey_id = l.journey_id group by l.journey_id, l.leg),
+  s(journey_id, leg, room, take) as (select journey_id, leg, 4 - legs, least(n, greatest(0, cast(ceil((4 - legs) / legs) as bigint))) from n where leg = 0
+    union all select n.journey_id, n.leg, s.room - s.take, least(n.n, greatest(0, cast(ceil((s.room - s.take) / (n.legs - n.leg)) as bigint))) from s join n on n.journey_id = s.journey_id and n.leg = s.leg + 1),
+  v as (select d.journey_id, d.leg, 'detour' as kind, rank, d.x, d.y from d join s on s.journey_id = d.journey_id and s.leg = d.leg where rank <= take
+    union all select l.journey_id, l.leg, 'stop', 0, x, y from l join (select journey_id, max(leg) as last from l group by journey_id) m on m.journey_id = l.journey_id where leg < last)
+  select journey_id, row_number() over (partition by journey_id order by leg, kind, rank) as position, kind, leg, x, y from v""")
+def _(T):
+    from pyspark.sql import Window
+    k = F.col("route_id")
+    legs = T.fx_route_edge.select("route_id").distinct().select(k.alias("journey_id"), F.explode(F.sequence(F.lit(0).cast("long"), (k % 5).cast("long"))).alias("leg")).withColumns(
+        {"x": F.col("journey_id") * 10.0 + F.col("leg"), "y": F.col("leg").cast("double")})
+    e = T.fx_route_edge.where("seq % 3 > 0").select(k.alias("journey_id"), (F.col("seq") % 5).cast("long").alias("leg"), F.col("x1").alias("x"), F.col("y1").alias("y"), "seq")
+    e = e.join(legs.select("journey_id", "leg"), ["journey_id", "leg"])
+    rank = F.row_number().over(Window.partitionBy("journey_id", "leg").orderBy("seq"))
+    return R.waypoints(legs, e.withColumn("rank", rank).drop("seq"))
+
+
 REC = """rc as (select route_id, um, sm, sm = um and um > 0 as same, um >= 200 as comp, extra, greatest(0, um - sm) as av, st from (select r.route_id, coalesce(sum(case when label = 'high' then cast(round_even(length, 0) as bigint) end), 0)::bigint as um,
     coalesce(sum(case when label = 'high' and highway_ok then cast(round_even(length, 0) as bigint) end), 0)::bigint as sm, (r.route_id % 25) / 10e0 as extra, case when r.route_id % 3 = 0 then null else concat('Street ', r.route_id % 9) end as st
     from (select *, seq % 3 = 0 as highway_ok from fx_route_edge) r group by r.route_id) q)"""

@@ -58,6 +58,7 @@ SEARCH_DEFAULT_MINUTES = 3.0
 PEAK_EXTRA_MINUTES = 4.0
 PEAK_HOURS = (7.5, 11.0)
 MAX_LOT_WALK_M = 800.0
+MAX_WAYPOINTS = 3
 WALK_M_PER_MIN = 80.0
 WALK_DETOUR = 1.3
 
