@@ -12,6 +12,8 @@ def build_session(master: str | None = None, app: str = "highwater", partitions:
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+         .config("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = (b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")

@@ -1,7 +1,7 @@
 """Structured Streaming jobs over the polled feeds."""
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from highwater.operators.checks import active_at
 from highwater.session import cut_lineage
@@ -73,73 +73,122 @@ def upsert_stream(stream: DataFrame, path: str, key: list[str], ts: str, checkpo
 
 
 # ------------------------------------------------------------------ keyed state
-ALERT_OUT = ("user_id string, alert_id string, source string, severity string, active boolean, read boolean, "
-             "created_at timestamp, updated_at timestamp, resolved_at timestamp")
-ALERT_STATE = ("ids array<string>, sources array<string>, severities array<string>, read array<boolean>, created array<bigint>")
-
-
-def _micros(x) -> int:
-    return int(pd.Timestamp(x).value // 1000)
-
-
-def _alert_step(key, frames, state: GroupState):
-    """One user's polls in time order. State holds the active alerts only, so it stays small."""
-    polls = pd.concat(list(frames)).sort_values("t", kind="stable")
-    live = {}
-    if state.exists:
-        live = {i: [s, v, bool(r), int(c)] for i, s, v, r, c in zip(*state.get)}
-    out = {}
-
-    def emit(aid, source, severity, active, read, created, updated, resolved):
-        stamp = lambda us: None if us is None else pd.Timestamp(us, unit="us")
-        out[aid] = (key[0], aid, source, severity, active, read, stamp(created), stamp(updated), stamp(resolved))
-
-    for p in polls.itertuples():
-        now = _micros(p.t)
-        for aid in p.read_ids if p.read_ids is not None else []:
-            if aid in live:
-                live[aid][2] = True
-                emit(aid, live[aid][0], live[aid][1], True, True, live[aid][3], now, None)
-        fresh = {c["alert_id"]: c for c in (p.candidates if p.candidates is not None else [])}
-        for aid, c in fresh.items():
-            old = live.get(aid)
-            keep_read = bool(old and old[2] and SEVERITY_RANK[c["severity"]] <= SEVERITY_RANK[old[1]])
-            live[aid] = [c["source"], c["severity"], keep_read, old[3] if old else now]
-            emit(aid, c["source"], c["severity"], True, keep_read, live[aid][3], now, None)
-        checked = set(p.checked if p.checked is not None else [])
-        for aid in [a for a, v in live.items() if a not in fresh and v[0] in checked]:
-            source, severity, read, created = live.pop(aid)
-            emit(aid, source, severity, False, read, created, now, now)
-    state.update(([*live], *[[v[i] for v in live.values()] for i in range(4)]))
-    if out:
-        yield pd.DataFrame(list(out.values()), columns=[c.split()[0] for c in ALERT_OUT.split(", ")])
-
-
-def alert_state(polls: DataFrame) -> DataFrame:
+ALERT_OUT = "user_id string, alert_id string, source string, severity string, active boolean, read boolean, created bigint, updated bigint, resolved bigint"
+
+
+class AlertLife(StatefulProcessor):
+    """Active alerts of one user: a map from alert id to what is known of it. Resolved alerts leave the map, so a user without
+    alerts has no state. Times are microseconds."""
+
+    def __init__(self, lapse: int | None):
+        self.lapse = lapse
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getMapState("live", "alert_id string", "source string, severity string, read boolean, created bigint, checked bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        live = {k[0]: tuple(v) for k, v in self.live.iterator()}
+        before, out = dict(live), {}
+
+        def emit(aid, alert, active, at):
+            source, severity, read, created, _ = alert
+            out[aid] = Row(user_id=key[0], alert_id=aid, source=source, severity=severity, active=active, read=read, created=created,
+                           updated=at, resolved=None if active else at)
+
+        for poll in sorted(rows, key=lambda r: r["at"]):
+            at, fresh = poll["at"], {c["alert_id"]: c for c in poll["candidates"] or []}
+            for aid in poll["read_ids"] or []:
+                if aid in live:
+                    live[aid] = (*live[aid][:2], True, *live[aid][3:])
+                    emit(aid, live[aid], True, at)
+            for aid, c in fresh.items():
+                old = live.get(aid)
+                keep_read = bool(old and old[2] and SEVERITY_RANK[c["severity"]] <= SEVERITY_RANK[old[1]])
+                live[aid] = (c["source"], c["severity"], keep_read, old[3] if old else at, at)
+                emit(aid, live[aid], True, at)
+            checked = set(poll["checked"] or [])
+            for aid in [a for a, v in live.items() if a not in fresh and v[0] in checked]:
+                emit(aid, live.pop(aid), False, at)
+        for aid in before.keys() - live.keys():
+            self.live.removeKey((aid,))
+        for aid, alert in live.items():
+            if before.get(aid) != alert:
+                self.live.updateValue((aid,), alert)
+        self._wake(live)
+        yield from out.values()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        live, now = {k[0]: tuple(v) for k, v in self.live.iterator()}, expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for aid in [a for a, v in live.items() if v[4] + self.lapse <= now]:
+            source, severity, read, created, checked = live.pop(aid)
+            self.live.removeKey((aid,))
+            yield Row(user_id=key[0], alert_id=aid, source=source, severity=severity, active=False, read=read, created=created,
+                      updated=checked + self.lapse, resolved=checked + self.lapse)
+        self._wake(live)
+
+    def _wake(self, live: dict) -> None:
+        """One timer per user: when the alert confirmed longest ago lapses."""
+        if self.lapse is None:
+            return
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if live:
+            self.handle.registerTimer(-(-(min(v[4] for v in live.values()) + self.lapse) // 1000))
+
+
+def alert_state(polls: DataFrame, lapse: str | None = None, delay: str = "15 minutes") -> DataFrame:
     """Alert lifecycle per user: stable ids, ``read`` kept unless severity rises, gone alerts resolved where their source was checked.
 
     polls: user_id, t, checked array<string>, candidates array<struct<alert_id,source,severity>>, read_ids array<string>.
+    With ``lapse`` (such as "6 hours") an alert that no poll confirmed for so long, by the watermark of ``t`` less ``delay``, is
+    resolved by a timer at that moment; without it only a poll resolves. A micro-batch's polls of one user are sorted in memory;
+    the source's rate limit bounds them. State lives in RocksDB (``build_session`` sets the provider).
     """
-    return polls.groupBy("user_id").applyInPandasWithState(_alert_step, ALERT_OUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def _throttle_step(key, frames, state: GroupState, seconds: int):
-    last, scenario = state.get if state.exists else (None, None)
-    kept = []
-    for p in pd.concat(list(frames)).sort_values("t", kind="stable").itertuples():
-        now = _micros(p.t)
-        if last is None or p.scenario != scenario or now - last >= seconds * 1_000_000:
-            last, scenario = now, p.scenario
-            kept.append((key[0], p.t, p.scenario))
-    if last is not None:
-        state.update((last, scenario))
-    if kept:
-        yield pd.DataFrame(kept, columns=["user_id", "t", "scenario"])
-
-
-def throttle(requests: DataFrame, seconds: int = ALERT_REFRESH_SECONDS) -> DataFrame:
-    """Rebuild requests let through: at most one per user and interval, or at once when the scenario changes."""
-    def step(key, frames, state):
-        return _throttle_step(key, frames, state, seconds)
-    return requests.groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, t timestamp, scenario string", "last bigint, scenario string", "append", GroupStateTimeout.NoTimeout)
+    if lapse:
+        polls = polls.withWatermark("t", delay)
+    slim = polls.select("user_id", *(["t"] if lapse else []), F.unix_micros("t").alias("at"), "checked", "candidates", "read_ids")
+    span = int(pd.Timedelta(lapse).value // 1000) if lapse else None
+    out = slim.groupBy("user_id").transformWithState(AlertLife(span), ALERT_OUT, "update", "EventTime" if lapse else "None")
+    return out.select("user_id", "alert_id", "source", "severity", "active", "read",
+                      *[F.timestamp_micros(c).alias(f"{c}_at") for c in ("created", "updated", "resolved")])
+
+
+class Throttle(StatefulProcessor):
+    """The last request let through. Once the watermark is an interval past it, it can hold nothing back and is forgotten."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint, scenario string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        at, scenario = tuple(self.last.get()) if self.last.exists() else (None, None)
+        kept = []
+        for r in sorted(rows, key=lambda r: r["at"]):
+            if at is None or r["scenario"] != scenario or r["at"] - at >= self.gap:
+                at, scenario = r["at"], r["scenario"]
+                kept.append(Row(user_id=key[0], at=at, scenario=scenario))
+        if kept:
+            self.last.update((at, scenario))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(-(-(at + self.gap) // 1000))
+        yield from kept
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield from ()
+
+
+def throttle(requests: DataFrame, seconds: int = ALERT_REFRESH_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Rebuild requests let through: at most one per user and interval, or at once when the scenario changes.
+
+    Requests later than ``delay`` are dropped; a user's state goes when the watermark has passed its interval.
+    """
+    slim = requests.withWatermark("t", delay).select("user_id", "t", F.unix_micros("t").alias("at"), "scenario")
+    out = slim.groupBy("user_id").transformWithState(
+        Throttle(seconds * 1_000_000), "user_id string, at bigint, scenario string", "append", "EventTime")
+    return out.select("user_id", F.timestamp_micros("at").alias("t"), "scenario")

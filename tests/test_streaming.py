@@ -89,6 +89,60 @@ def test_throttle(spark, tmp_path):
     assert got == {("u", T0), ("v", T0 + 30 * s), ("u", T0 + 40 * s), ("u", T0 + 100 * s)}
 
 
+def run_more(df, mode, folder):
+    """One run into files, so that a second run goes on from the checkpoint of the first."""
+    q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True)
+         .foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{folder}/out/batch={e}")).start())
+    q.awaitTermination(120)
+    assert q.exception() is None
+    return df.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+
+
+def state_rows(spark, folder, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/ck").count()
+
+
+def test_alert_state_survives_a_restart_and_ends_empty(spark, tmp_path):
+    f = Feed(spark, tmp_path, POLL)
+    f.add([("u", T0, ["trip"], [("a", "trip", "warning"), ("b", "tide", "info")], None), ("v", T0, ["trip"], [("c", "trip", "info")], None)])
+    f.add([("u", T0 + Q, ["trip"], [("a", "trip", "warning")], ["a"])])
+    run_more(J.alert_state(f.stream()), "update", tmp_path)
+    assert state_rows(spark, tmp_path, "live") == 3
+    f.add([("u", T0 + 2 * Q, ["trip", "tide"], [("a", "trip", "warning")], None), ("v", T0 + 2 * Q, ["trip"], None, None)])
+    f.add([("u", T0 + 3 * Q, ["trip", "tide"], [], None)])
+    rows = {(r["alert_id"], r["updated_at"]): r for r in run_more(J.alert_state(f.stream()), "update", tmp_path).collect()}
+    assert rows[("a", T0 + 2 * Q)]["read"] and rows[("a", T0 + 2 * Q)]["created_at"] == T0  # known from before the restart
+    assert rows[("a", T0 + 3 * Q)]["resolved_at"] == T0 + 3 * Q and not rows[("c", T0 + 2 * Q)]["active"]
+    assert state_rows(spark, tmp_path, "live") == 0
+
+
+def test_alerts_lapse_by_timer(spark, tmp_path):
+    f, h = Feed(spark, tmp_path, POLL), 4 * Q
+    f.add([("u", T0, ["trip"], [("a", "trip", "warning"), ("b", "tide", "info")], None)])
+    f.add([("u", T0 + h, ["trip"], [("a", "trip", "warning")], None)])
+    f.add([("w", T0 + 2 * h + 2 * Q, ["trip"], [], None)])  # the watermark passes b's lapse, not yet a's
+    rows = {r["alert_id"]: r for r in run_more(J.alert_state(f.stream(), "2 hours"), "update", tmp_path).where("not active").collect()}
+    assert sorted(rows) == ["b"] and rows["b"]["resolved_at"] == T0 + 2 * h and rows["b"]["created_at"] == T0
+    assert state_rows(spark, tmp_path, "live") == 1
+    f.add([("w", T0 + 9 * h, ["trip"], [], None)])
+    rows = {r["alert_id"]: r for r in run_more(J.alert_state(f.stream(), "2 hours"), "update", tmp_path).where("not active").collect()}
+    assert rows["a"]["resolved_at"] == T0 + 3 * h and state_rows(spark, tmp_path, "live") == 0
+
+
+def test_throttle_forgets_and_survives_a_restart(spark, tmp_path):
+    s = d.timedelta(seconds=1)
+    f = Feed(spark, tmp_path, "user_id string, t timestamp, scenario string")
+    f.add([("u", T0, "live"), ("v", T0, "live")])
+    run_more(J.throttle(f.stream()), "append", tmp_path)
+    assert state_rows(spark, tmp_path, "last") == 2
+    f.add([("u", T0 + 30 * s, "live"), ("u", T0 + 61 * s, "live")])
+    f.add([("x", T0 + 600 * s, "live")])
+    f.add([("y", T0 + 601 * s, "live")])
+    got = {(r["user_id"], r["t"]) for r in run_more(J.throttle(f.stream()), "append", tmp_path).collect()}
+    assert got == {("u", T0), ("v", T0), ("u", T0 + 61 * s), ("x", T0 + 600 * s), ("y", T0 + 601 * s)}
+    assert state_rows(spark, tmp_path, "last") == 2  # u and v are forgotten
+
+
 def test_closure_refresh_and_upsert(spark, tmp_path):
     f = Feed(spark, tmp_path, "snapshot bigint, closure_id string, edge_id string, start timestamp, end timestamp, full_closure boolean")
     f.add([(1, "c1", "e1", T0, None, True), (1, "c2", "e2", T0, T0 + Q, None)])
