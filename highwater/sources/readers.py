@@ -5,6 +5,7 @@ from highwater.functions.geometry import decode_polyline, line, point
 from highwater.functions.text import edge_id, from_epoch_s
 from highwater.operators.serving import inside_box
 from highwater.settings import BBOX, CLOSURE_EVENT_TYPES
+from highwater.sources.collections import feature_texts
 
 
 def read_layer(spark: SparkSession, path: str, columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -36,17 +37,17 @@ def feature_rows(pages: DataFrame) -> DataFrame:
 GEOMETRY_TEXT = "struct<type:string,coordinates:string>"
 
 
-def read_features(spark: SparkSession, path: str, props: str, by_line: bool = False) -> DataFrame:
-    """GeoJSON -> one row per feature, as ``feature_rows``. ``props`` is DDL, e.g. "osm_id:string,name:string".
+def read_features(spark: SparkSession, path: str, props: str, by_line: bool = False, split_bytes: int = 16 << 20) -> DataFrame:
+    """GeoJSON collections -> one row per feature, as ``feature_rows``. ``props`` is DDL, e.g. "osm_id:string,name:string".
 
-    A document is one row of one task; a large collection should land with one feature per line (``by_line``), which splits.
+    A large collection is read by one task per ``split_bytes``. ``by_line`` is for files of one feature per line.
     """
+    item = f"type string, properties struct<{props}>, geometry {GEOMETRY_TEXT}"
     if by_line:
-        raw = spark.read.schema(f"type string, properties struct<{props}>, geometry {GEOMETRY_TEXT}").json(path)
-        raw = raw.select(F.array(F.struct("type", "properties", "geometry")).alias("features"))
+        raw = spark.read.schema(item).json(path)
     else:
-        raw = spark.read.option("multiLine", True).schema(_feature_schema(props, GEOMETRY_TEXT)).json(path)
-    return feature_rows(raw)
+        raw = feature_texts(spark, path, split_bytes).select(F.from_json("feature", item).alias("f")).select("f.*")
+    return feature_rows(raw.select(F.array(F.struct("type", "properties", "geometry")).alias("features")))
 
 
 def read_graph_edges(spark: SparkSession, path: str) -> DataFrame:
