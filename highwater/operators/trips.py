@@ -9,6 +9,7 @@ from highwater.functions.text import (clock, fill, iso_utc, leave_by, minus_minu
 from highwater.operators.checks import first_by, in_person, suggestable
 from highwater.operators.graph import batch_paths
 from highwater.operators.nearest import k_nearest
+from highwater.operators.serving import with_traffic
 from highwater.session import cut_lineage
 from highwater.settings import (ALERT_LOOKAHEAD_HOURS, COMPROMISED_M, GENERIC_PLACE_WORDS, LABELS, MAX_LOT_WALK_M, MAX_WAYPOINTS,
                                 ONLINE_PATTERN, SEVERITY_RANK, TIME_ZONE, TRAFFIC_ALERT_MINUTES, WEATHER_SEVERITY, WEEKDAYS)
@@ -57,21 +58,37 @@ def describe_routes(route_edges: DataFrame, keys: list[str], closures: DataFrame
     return routes
 
 
-def compare_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def route_closures(route_edges: DataFrame, keys: list[str], closures: DataFrame) -> DataFrame:
+    """The closures met on each route, every one once, by id. closures: edge_id, closure_id, name, kind, full_closure."""
+    met = route_edges.select(*keys, "edge_id").join(closures.select("edge_id", "closure_id", F.struct("closure_id", "name", "kind", "full_closure").alias("c")), "edge_id")
+    once = met.groupBy(*keys, "closure_id").agg(F.min("c").alias("c"))
+    return once.groupBy(*keys).agg(F.sort_array(F.collect_list("c")).alias("closures"))
+
+
+def compare_pairs(edges: DataFrame, pairs: DataFrame, closures: DataFrame | None = None, traffic: DataFrame | None = None) -> DataFrame:
     """Usual against safe route for distinct (source, target) pairs, with action and message.
 
-    An unreachable pair keeps its row with status 'unreachable'; equal ends get 'same_place'.
+    An unreachable pair keeps its row with status 'unreachable'; equal ends get 'same_place'. With ``geom`` on the edges routes
+    carry their path, with ``closures`` in force the ones they meet, with ``traffic`` (see ``with_traffic``) times come from it.
     """
     paths, summary = batch_paths(route_costs(edges), pairs)
+    lines = [c for c in ("geom",) if c in edges.columns]
     on = paths.select("kind", "source", "target", "seq", "edge_id").join(
-        edges.select("edge_id", "length", base_cost("seconds", "slowed").alias("seconds"), "score", "label", "name"), "edge_id")
+        edges.select("edge_id", "length", base_cost("seconds", "slowed").alias("seconds"), "score", "label", "name", *lines), "edge_id")
     keys = ["kind", "source", "target"]
-    routes = describe_routes(on, keys).select(*keys, F.struct(
-        "route_id", "distance_m", "free_flow_s", "max_risk", "risk_label", "high_risk_m", "risk_segments", "street").alias("r"))
+    routes, more = describe_routes(on, keys), ["path"] if lines else []
+    if closures is not None:
+        routes, more = routes.join(route_closures(on, keys, closures), keys, "left"), [*more, F.coalesce("closures", F.array()).alias("closures")]
+    if traffic is not None:
+        routes = with_traffic(routes, traffic)
+    else:
+        routes = routes.withColumns({"seconds": F.col("free_flow_s"), "delay_s": F.lit(None).cast("double"), "eta_source": F.lit("free_flow")})
+    routes = routes.select(*keys, F.struct("route_id", "distance_m", "free_flow_s", "max_risk", "risk_label", "high_risk_m", "risk_segments", "street",
+                                           "seconds", "delay_s", "eta_source", *more).alias("r"))
     side = lambda k: routes.where(F.col("kind") == k).select("source", "target", F.col("r").alias(k))
     j = pairs.select("source", "target").distinct().join(side("usual"), ["source", "target"], "left").join(
         side("safe"), ["source", "target"], "left")
-    eta = lambda k: F.bround(F.col(f"{k}.free_flow_s") / 60, 1)
+    eta = lambda k: F.bround(F.col(f"{k}.seconds") / 60, 1)
     highs = lambda k: F.transform(F.filter(f"{k}.risk_segments", lambda s: s["label"] == "high"), lambda s: s["edge_id"])
     j = j.withColumns({
         "compromised": F.col("usual.high_risk_m") >= COMPROMISED_M,

@@ -332,6 +332,38 @@ def _(T):
     return c.select("trip_id", "status", "compromised", "same_route", "extra_minutes", "high_risk_m_avoided", "high_risk_segments_avoided", "action", "message")
 
 
+# every trip as a request by place: some start off the node, every eleventh far outside, every thirteenth without a start
+REQUEST = """select trip_id, arrive_by, case when trip_id % 13 = 0 then null when trip_id % 11 = 0 then -900e0 - (trip_id % 5) * 100e0 else (from_node % 40) * 100e0 + (trip_id % 4) * 9e0 end as from_x,
+  floor(from_node / 40e0) * 100e0 + (trip_id % 3) * 7e0 as from_y, (to_node % 40) * 100e0 - (trip_id % 2) * 11e0 as to_x, floor(to_node / 40e0) * 100e0 as to_y from fx_trip"""
+
+
+@query("g5_plan_trips", f"""with recursive rq as materialized ({REQUEST}), places as (select distinct from_x as x, from_y as y from rq where from_x is not null union select distinct to_x, to_y from rq),
+  snap as materialized (select x, y, n.node as node, n.m as m from (select p.x, p.y, min(row(round(sqrt(power(p.x - f.x, 2) + power(p.y - f.y, 2)), 6), f.node_id)) as b from places p, fx_node f group by p.x, p.y) t,
+    lateral (select b[2] as node, b[1] as m) n),
+  st as materialized (select trip_id, arrive_by, a.node as from_node, b.node as to_node, a.m as from_m, b.m as to_m from rq left join snap a on a.x = from_x and a.y = from_y left join snap b on b.x = to_x and b.y = to_y),
+  {DISTANCES.replace("select distinct from_node as source, to_node as target from fx_trip where from_node <> to_node",
+                     "select distinct from_node as source, to_node as target from st where from_node <> to_node")}
+  select trip_id, from_node, to_node, case when from_node is null then 'no_place' when from_node = to_node then 'same_place' when d.dist is null then 'unreachable' else 'ok' end as status,
+    from_m <= 300 as origin_in_area, to_m <= 300 as destination_in_area,
+    nullif(concat_ws(' ', case when from_m > 300 then printf('Start is outside the mapped area; the route begins at the nearest mapped road (%.1f km away).', from_m / 1000) end,
+      case when to_m > 300 then printf('Destination is outside the mapped area; the route ends at the nearest mapped road (%.1f km away).', to_m / 1000) end), '') as note,
+    round_even(d.dist / 60, 1) as usual_minutes, strftime(arrive_by - to_microseconds(cast(round_even(d.dist * 1000000, 0) as bigint)), '%Y-%m-%dT%H:%M:%SZ') as usual_departs
+  from st left join d on d.kind = 'usual' and d.root = st.to_node and d.node = st.from_node and st.from_node <> st.to_node""")
+def _(T):
+    from highwater.operators.planning import plan_trips
+    k, trip = F.col("trip_id"), T.fx_trip
+    away = F.when(k % 13 == 0, None).when(k % 11 == 0, -900.0 - (k % 5) * 100).otherwise((F.col("from_node") % 40) * 100.0 + (k % 4) * 9)
+    requests = trip.select("trip_id", "arrive_by", F.lit(None).cast("timestamp").alias("depart_at"), away.alias("from_x"),
+                           (F.floor(F.col("from_node") / 40) * 100.0 + (k % 3) * 7).alias("from_y"),
+                           ((F.col("to_node") % 40) * 100.0 - (k % 2) * 11).alias("to_x"), (F.floor(F.col("to_node") / 40) * 100.0).alias("to_y"))
+    edges = T.lines().join(V.effective_risk(T.fx_static, T.fx_score).drop("street_id"), "edge_id").select(
+        "u", "v", "edge_id", "name", "length", (F.col("length") / 10).alias("seconds"), "score", "label", "geom")
+    closures = T.fx_closure.select("edge_id", "closure_id", F.lit(None).cast("string").alias("name"), "kind", "full_closure", "start", "end")
+    p = plan_trips(requests, T.fx_node, edges, closures, "1998-06-01 00:00:00")
+    return p.select("trip_id", "from_node", "to_node", "status", "origin_in_area", "destination_in_area", "note",
+                    F.col("usual.eta_minutes").alias("usual_minutes"), F.col("usual.depart_at").alias("usual_departs"))
+
+
 # one-way roads up the numbers, and some back inside a row of the town: components of many sizes
 @query("g3_strong_components", """with recursive arcs as materialized (select distinct u, v from fx_base_edge where u <> v union select distinct v, u from fx_base_edge where j >= 4 and status <> 'P' and u // 40 = v // 40),
   reach(a, b) as (select u, v from arcs union select reach.a, arcs.v from reach join arcs on arcs.u = reach.b),
