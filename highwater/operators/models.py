@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from highwater.functions.scoring import alert_label, model_features, physical_baseline, undo_prior
 from highwater.functions.text import local_iso, run_id
+from highwater.operators.checks import check_horizon
 from highwater.operators.layers import street_table
 from highwater.operators.metrics import budget_cutoff, confusion, metrics, reference_quantiles, relative_score, select_model
-from highwater.operators.panel import add_weather, eligible_days, range_flags, report_history
+from highwater.operators.panel import add_weather, eligible_days, range_flags, report_history, split_summary
 from highwater.operators.ranges import exact_quantiles
+from highwater.operators.serving import area_index
 from highwater.session import cut_lineage
-from highwater.settings import (ALERT_BUDGET, BRIDGE_CAP, HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, MODEL_FEATURES, RAIN_FEATURES,
-                                ROLLING_WINDOWS, SEED, STORM_RAIN, WINDOWS)
+from highwater.settings import (ALERT_BUDGET, BRIDGE_CAP, FORECAST_AREA, FORECAST_TEXTS, HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, METADATA_TEXTS,
+                                MODEL_FEATURES, PREDICTION_TARGET, RAIN_FEATURES, ROLLING_WINDOWS, SEED, STORM_RAIN, TRAIN_END, VALIDATION_END,
+                                WINDOWS)
 
 
 @dataclass
@@ -190,6 +193,46 @@ def score_segments(segments: DataFrame, bundle: Bundle, days: DataFrame) -> Data
     return segments.select("edge_id", "street_id").join(out, "street_id")
 
 
+def predict_horizon(segments: DataFrame, bundle: Bundle, days: DataFrame, area: str = FORECAST_AREA) -> tuple[DataFrame, DataFrame]:
+    """(scores of every edge and day, one summary row per day) for a forecast of one to seven days.
+
+    days: as ``score_segments``, with ``seq`` where their order matters. Days that are empty, too many, repeated, out of order or
+    not consecutive, that lack rain or come from several retrievals stop the job, and so does an edge scored twice for a day.
+    """
+    ordered = days if "seq" in days.columns else days.withColumn("seq", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    wrong = [r["check"] for r in check_horizon(ordered).collect() if r["violations"]]  # one row per check
+    if wrong:
+        raise ValueError(f"bad forecast horizon: {', '.join(sorted(wrong))}")
+    scored = cut_lineage(score_segments(segments, bundle, days.drop("seq")))
+    if not scored.groupBy("edge_id", "forecast_date").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("an edge is scored twice for one day")
+    same = [F.min(c).alias(c) for c in ("valid_from", "valid_to", "weather_source", "weather_updated_at", "model_version")]
+    summary = area_index(scored, street_table(segments)).join(scored.groupBy("forecast_date").agg(*same), "forecast_date")
+    return scored, summary.withColumns({
+        "area": F.lit(area), "prediction_target": F.lit(PREDICTION_TARGET), "flood_probability_estimate": F.lit(None).cast("double"),
+        **{k: F.lit(v) for k, v in FORECAST_TEXTS.items()}})
+
+
+def model_metadata(panel: DataFrame, tables: dict[str, DataFrame], selected: str, validation: DataFrame, tests: DataFrame,
+                   created_at: str, version: str = "daily_report_v2", training_end: str = TRAIN_END, refit_through: str = VALIDATION_END) -> DataFrame:
+    """The row kept with a model: what it was trained on, how it was chosen, how it did, and fingerprints of its input tables.
+
+    validation: rows of ``rolling_validation``; tests: rows of ``evaluate_population`` with the ``population`` they belong to. All
+    three lists and the map hold one entry per split, fit, scorer and table.
+    """
+    def rows(df):
+        return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns)))).scalar()
+
+    prints = fingerprint(tables)
+    data = prints.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("table", "fingerprint"))))).scalar()
+    return panel.sparkSession.range(1).select(
+        F.lit(version).alias("version"), F.lit(created_at).cast("timestamp").alias("created_at"), F.lit(selected).alias("selected_model"),
+        F.array(*[F.lit(c) for c in MODEL_FEATURES]).alias("features"), F.lit(PREDICTION_TARGET).alias("prediction_target"),
+        F.lit(training_end).cast("date").alias("training_end"), F.lit(refit_through).cast("date").alias("refit_through"),
+        rows(split_summary(panel)).alias("splits"), data.alias("data_fingerprints"), rows(validation).alias("validation"), rows(tests).alias("tests"),
+        *[F.lit(v).alias(k) for k, v in METADATA_TEXTS.items()])
+
+
 def _flag_range(days: DataFrame, top: dict) -> DataFrame:
     over = reduce(lambda a, b: a | b, [F.col(c) > float(top[c]) for c in RAIN_FEATURES])
     return days.withColumn("out_of_range", over)
@@ -243,4 +286,4 @@ def fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 __all__ = ["Bundle", "Fitted", "build_run", "evaluate_population", "fingerprint", "fit", "fit_alert_policy", "fit_balanced", "make_bundle",
-           "population", "range_flags", "rolling_validation", "score_segments", "select_and_refit"]
+           "model_metadata", "population", "predict_horizon", "range_flags", "rolling_validation", "score_segments", "select_and_refit"]

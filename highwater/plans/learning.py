@@ -318,8 +318,7 @@ def _(T):
 
 @query("m9_predict_horizon")
 def _(T):
-    from highwater.operators.serving import area_index
-    return area_index(ML.score_segments(T.fx_static, bundle(T), _days(T, "2024-01-24", "2024-01-26")), street_table(T.fx_static))
+    return ML.predict_horizon(T.fx_static, bundle(T), _days(T, "2024-01-24", "2024-01-26"))[1]
 
 
 @query("m10_build_run")
@@ -330,3 +329,19 @@ def _(T):
 @query("m11_fingerprint")
 def _(T):
     return ML.fingerprint({"edges": T.fx_edge.drop("odate"), "positives": T.fx_positive, "weather": T.fx_weather})
+
+
+@query("m11_model_metadata", f"""with {ELIGIBLE}, {SAMPLE} select 'daily_report_v2' as version, 'logistic' as selected_model, '2024-01-18' as training_end, '2024-01-23' as refit_through, split, rows, positives, represented_days,
+    'edges,positives,weather' as tables, 3::bigint as validation_fits
+  from (select {SPLIT} as split, count(*) as rows, sum(target)::bigint as positives, round(sum(w), 6) as represented_days from sampled where {SPLIT} <> 'unused' group by 1) t""")
+def _(T):
+    """The metadata row of a model, one line per split; its rolling windows hold the logistic candidate."""
+    p = cut_lineage(panel(T))
+    dev = p.where(F.col("split").isin("train", "validation"))
+    validation = ML.rolling_validation(dev, ["logistic"], ROLLING)
+    tables = {"edges": T.fx_edge.drop("odate"), "positives": T.fx_positive, "weather": T.fx_weather}
+    tests = M.metrics(cut_lineage(ML.fit("logistic", dev).predict(p)), "target", "p", "sample_weight").withColumn("population", F.lit("panel"))
+    m = ML.model_metadata(p, tables, "logistic", validation, tests, "2024-01-24 06:00:00", training_end=BOUNDS["train_end"], refit_through=BOUNDS["validation_end"])
+    return r6(m.select("version", "selected_model", F.col("training_end").cast("string").alias("training_end"), F.col("refit_through").cast("string").alias("refit_through"),
+                       F.array_join(F.map_keys("data_fingerprints"), ",").alias("tables"), F.size("validation").cast("bigint").alias("validation_fits"),
+                       F.inline("splits")), "represented_days")

@@ -144,3 +144,17 @@ TEXT = {
     "tide": "Estimated water levels in Biscayne Bay are at the {level} flood level. Low-lying bayfront streets "
             "(Brickell, near the Miami River) may flood even without rain.",
 }
+
+# fixed values: what a forecast summary and a model's metadata say of themselves
+PREDICTION_TARGET = "recorded_flood_report"
+FORECAST_AREA = "FIU–Downtown/Brickell study network"
+FORECAST_TEXTS = {
+    "validation_status": "experimental_report_proxy",
+    "summary_kind": "length_weighted_mean_of_modeled_street_ranks",
+    "note": "Relative susceptibility summary, not the probability that this area floods",
+}
+METADATA_TEXTS = {
+    "status": "experimental",
+    "selection_rule": "Median average precision over rolling quarterly validation windows; mean ROC-AUC breaks ties",
+    "test_evaluation": "Full eligible street-day populations; no negative sampling in tests",
+}

@@ -289,6 +289,36 @@ def test_horizon_area_index(spark, bundle):
     assert not rows["2026-03-08"]["out_of_range"] and rows["2026-03-09"]["out_of_range"]
 
 
+def test_horizon_job(spark, bundle):
+    s = segments(spark)
+    good = wx(spark, ("2026-03-09", 80.0, 10.0, 12.0), ("2026-03-08", 10.0, 1.0, 2.0))
+    scores, summary = ML.predict_horizon(s, bundle, good)
+    rows = {str(r["forecast_date"]): r for r in summary.collect()}
+    assert scores.count() == 2 * s.count() and sorted(rows) == ["2026-03-08", "2026-03-09"]
+    r = rows["2026-03-09"]
+    assert r["total_streets"] == 40 and r["flood_probability_estimate"] is None and r["prediction_target"] == "recorded_flood_report"
+    assert r["weather_updated_at"] == "2026-03-07T12:00:00Z" and r["valid_from"] < r["valid_to"] and r["out_of_range"]
+    a, b = ("2026-03-08", 10.0, 1.0, 2.0), ("2026-03-10", 10.0, 1.0, 2.0)
+    late = good.withColumn("updated_at", F.date_format("date", "dd"))
+    backwards = good.withColumn("seq", F.datediff(F.lit("2026-04-01").cast("date"), "date"))
+    for bad, why in ((wx(spark, a, a), "not_consecutive"), (wx(spark, a, b), "not_consecutive"), (good.limit(0), "length"), (late, "retrievals"),
+                     (backwards, "not_consecutive"), (wx(spark, *[(f"2026-03-{i:02}", 1.0, 0.0, 0.0) for i in range(1, 9)]), "length")):
+        with pytest.raises(ValueError, match=why):
+            ML.predict_horizon(s, bundle, bad)
+    with pytest.raises(ValueError, match="twice"):
+        ML.predict_horizon(s.unionByName(s), bundle, good)
+
+
+def test_model_metadata(spark, learned, bundle):
+    p = learned.withColumn("split", F.when(F.col("date") < "2023-03-01", "train").otherwise("validation"))
+    m = M.metrics(bundle.model.predict(learned), "target", "p", "sample_weight").withColumn("population", F.lit("future"))
+    v = spark.createDataFrame([("logistic", i, 0.5 + i, 0.7) for i in (1, 0)], "candidate string, window int, average_precision double, roc_auc double")
+    r = ML.model_metadata(p, {"b": learned.select("target"), "a": learned.select("date")}, "logistic", v, m, "2024-01-01 00:00:00").collect()
+    assert len(r) == 1 and sorted(r[0]["data_fingerprints"]) == ["a", "b"] and len(r[0]["data_fingerprints"]["a"]) == 64
+    assert [(x["split"], x["rows"]) for x in r[0]["splits"]] == [(k, p.where(F.col("split") == k).count()) for k in ("train", "validation")]
+    assert [x["window"] for x in r[0]["validation"]] == [0, 1] and r[0]["tests"][0]["population"] == "future"
+
+
 def test_run_rows(spark, bundle):
     run, scores = ML.build_run("storm", segments(spark), bundle, wx(spark, ("2026-09-26", 80.0, 30.0, 60.0)), "2026-09-26 13:05:00")
     r = run.first()
