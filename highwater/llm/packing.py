@@ -2,9 +2,10 @@
 
 Each task encodes its documents, cuts longer ones and packs the pieces by best fit, longest first. Bins that are nearly
 full are final; the others go up the tree as items of their own, where the bins of several partitions are packed again,
-until one group is left. After a best-fit pass at most one bin of a group is half empty, and two bins that are over half
-full never share a sequence; so what a group can still use from below is a few emptiest bins, and a group hands up no more
-than ``CARRY`` of them, its emptiest. Bins beyond that are final as they stand: no piece is dropped or moved.
+until one part is left. After a best-fit pass at most one bin of a group is half empty, and two bins that are over half
+full never share a sequence; so a group's emptiest bins are the ones that find a place above. All open bins go up: the
+``CARRY`` emptiest of a group in its first lane, the next in the lane behind it and so on. Lanes of one number are packed
+together, so no group grows beyond ``FAN * CARRY`` bins and none is left out.
 """
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ from highwater.llm.encoders import encoder
 ROOM = 1 << 16  # pieces that a task packs at once
 CARRY = 4096
 FAN = 16
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long, lane long"
 
 
 def best_fit(lengths, capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -65,14 +66,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     pieces = s.table(rows.mapInArrow(_local(tokenizer_path, end_id, capacity), PIECES), "pieces")
     near = capacity - max(1, capacity // 256)
-    level = pieces.where(F.col("at") == 0).where(F.col("fill") <= near).select("bin", "fill", F.shiftright("bin", 32).alias("part"))
+    level = pieces.where(F.col("at") == 0).where(F.col("fill") <= near).select("bin", "fill", F.shiftright("bin", 32).alias("part"), "lane")
     moves, n, parts = [], 0, level.agg(F.max("part")).first()[0] or 0
     while level is not None and (parts > 0 or not n):
         level = level.withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
         parts //= FAN
-        moved = s.table(level.groupBy("part").applyInPandas(_merge(capacity, near), "bin long, into long, shift long, part long, fill long, goes_up boolean"), f"level{n}")
+        moved = s.table(level.groupBy("part", "lane").applyInPandas(_merge(capacity, near), "bin long, into long, shift long, part long, lane long, fill long, goes_up boolean"), f"level{n}")
         moves.append(moved.where("bin != into").select("bin", "into", "shift"))
-        level = moved.where("goes_up").where("bin = into").select("bin", "fill", "part")
+        level = moved.where("goes_up").where("bin = into").select("bin", "fill", "part", "lane")
         n += 1
     if not moves:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
@@ -108,9 +109,10 @@ def _local(path: str, end_id: int, capacity: int):
 
 def packed(rows: list[tuple], base: int, capacity: int) -> tuple[pa.RecordBatch, int]:
     where, at, fills = best_fit([r[3] for r in rows], capacity)
-    for b in sorted(range(len(fills)), key=fills.__getitem__)[CARRY:]:
-        fills[b] = capacity  # as far as later rounds are concerned
-    cols = [*zip(*rows, strict=True), [base + b for b in where], at, [fills[b] for b in where]]
+    lane = [0] * len(fills)
+    for k, b in enumerate(sorted(range(len(fills)), key=fills.__getitem__)):
+        lane[b] = k // CARRY
+    cols = [*zip(*rows, strict=True), [base + b for b in where], at, [fills[b] for b in where], [lane[b] for b in where]]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], [c.split(" ")[0] for c in PIECES.split(", ")]), base + len(fills)
 
 
@@ -125,7 +127,8 @@ def _merge(capacity: int, near: int):
                 first[where[i]] = bins[i]
         fill = np.array([fills[b] for b in where])
         own = pd.Series(np.array(shift) == 0)
-        order = pd.Series(np.where(own, fill, capacity + 1)).rank(method="first")
-        return pd.DataFrame({"bin": bins, "into": first[where], "shift": shift, "part": group["part"].to_numpy(), "fill": fill,
-                             "goes_up": (own & (fill <= near) & (order <= CARRY)).to_numpy()})
+        order = pd.Series(np.where(own, fill, capacity + 1)).rank(method="first").to_numpy().astype(np.int64) - 1
+        lane = group["lane"].to_numpy() * FAN + order // CARRY
+        return pd.DataFrame({"bin": bins, "into": first[where], "shift": shift, "part": group["part"].to_numpy(), "lane": lane, "fill": fill,
+                             "goes_up": (own & (fill <= near)).to_numpy()})
     return run

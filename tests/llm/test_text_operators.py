@@ -9,6 +9,7 @@ from collections import defaultdict
 from urllib.parse import quote
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 from highwater.llm.decontaminate import contained_items, without_items
 from highwater.llm.encoders import Encoder
-from highwater.llm.packing import best_fit, pack
+from highwater.llm.packing import CARRY, FAN, _merge, best_fit, pack, packed
 from highwater.llm.pii import find_personal_data, redact, reliabilities
 from highwater.llm.token_counts import ChunkMap, TokenCounter, token_counts
 from highwater.llm.token_files import EliasFano, read_token_files, write_token_files
@@ -176,6 +177,15 @@ def test_best_fit():
     assert sorted(100 - f for f in fills) == rooms
 
 
+def test_no_open_bin_is_left_out():
+    """More open bins than one lane takes: the others go up in lanes behind it."""
+    n = 2 * CARRY + 100
+    made = packed([(i, 0, 0, 1500, 0) for i in range(n)], 0, 2048)[0].to_pandas()
+    assert (made["fill"] == 1500).all() and made["lane"].value_counts().to_dict() == {0: CARRY, 1: CARRY, 2: 100}
+    up = _merge(2048, 2040)(pd.DataFrame({"bin": made["bin"], "fill": made["fill"], "part": 0, "lane": 1}))
+    assert up["goes_up"].all() and up["lane"].value_counts().to_dict() == {FAN: CARRY, FAN + 1: CARRY, FAN + 2: 100}
+
+
 def test_packing(spark, sample):
     rows = sample * 3 + [(None, "no id"), (9000, None), (9001, "")] + [(9100 + i, t) for i, t in enumerate(ODD)]
     got = pack(table(spark, rows).repartition(8), WORD, 0, 512).collect()
