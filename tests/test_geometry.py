@@ -257,6 +257,26 @@ def test_a_far_point_looks_at_few_cells(spark, monkeypatch):
     assert seen and max(seen) <= 12, seen
 
 
+def test_nearest_in_a_long_strip(spark, monkeypatch):
+    """Targets along a strip get cells as small as their number asks for; points of one cell go down the levels as one row."""
+    from highwater.operators import nearest as N
+    rng = np.random.default_rng(4)
+    tf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1, (3000, 2)) * [40, 400000])], "target_id int, tx double, ty double")
+    keyed, levels, _ = N.pyramid(tf)
+    assert levels[0].agg(F.max("n")).first()[0] <= 8 * N.CROWD
+    points = [(i, 20.0, 200000.0 + i * 0.001) for i in range(2000)]
+    pf = spark.createDataFrame(points, "point_id int, x double, y double")
+    seen, keep = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df: seen.append((out := keep(df)).count()) or out)
+    monkeypatch.setattr(N, "CHUNK", 5)
+    d = lambda x, y, tx, ty: F.sqrt(F.pow(tx - x, 2) + F.pow(ty - y, 2))
+    by_row = F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2))
+    for k in (1, 4):
+        a, b = ({tuple(r) for r in N.k_nearest(pf, tf, k, m).select("point_id", "target_id", "dist", "rank").collect()} for m in (d, by_row))
+        assert a == b and len(a) == k * len(points)
+    assert seen and max(seen) <= 48, seen
+
+
 def test_pairs_are_reduced_where_they_are_made(spark):
     """Pairs of positions and lines are not dealt out again: only what is left per place, line or point is."""
     pts = spark.createDataFrame([(i, float(i % 50), float(i % 7), None if i % 3 else "Northbound") for i in range(300)], "point_id int, x double, y double, direction string")
