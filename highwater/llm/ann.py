@@ -70,7 +70,8 @@ class Tables:
     """The substring tables of one block of rows."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.sub = codes, []
+        wide = np.uint64 if codes.shape[1] % 4 == 0 else np.uint16  # whole codes are tested four substrings at a time
+        self.codes, self.words, self.sub = codes, np.ascontiguousarray(codes.view(wide).T), []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
             values, first = np.unique(codes[order, j], return_index=True)
@@ -81,17 +82,21 @@ class Tables:
         reach = radius // len(self.sub)
         near = np.zeros(len(self.codes), bool)
         for q, (order, values, first) in zip(query, self.sub, strict=True):
-            hit = np.flatnonzero(BITS16[values ^ q] <= reach)
-            if len(hit) == len(values):
+            hit = np.bitwise_count(values ^ q) <= reach
+            if hit.all():
                 near[:] = True
                 break
             if len(values) == len(order):
                 near[order[hit]] = True
             else:
-                for a, b in zip(first[hit], first[hit + 1], strict=True):
-                    near[order[a:b]] = True
+                near[order[np.repeat(hit, np.diff(first))]] = True
         rows = np.flatnonzero(near)
-        return rows[BITS16[self.codes[rows] ^ query].sum(1, dtype=np.int64) <= radius]
+        words, q = self.words, query.view(self.words.dtype)
+        if len(rows) == len(near):
+            rows, far = np.arange(len(near)), sum(np.bitwise_count(words[j] ^ q[j]).astype(np.uint16) for j in range(len(q)))
+        else:
+            far = sum(np.bitwise_count(words[j][rows] ^ q[j]).astype(np.uint16) for j in range(len(q)))
+        return rows[far <= radius]
 
 
 def _usable(v: Column) -> Column:

@@ -73,6 +73,29 @@ def test_neighbours(spark, n, block):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_tables_find_what_lies_within_the_radius():
+    """The tables give the rows within the radius, at a small price also where most values are within reach."""
+    import time
+    from highwater.llm.ann import Tables
+    rng = np.random.default_rng(6)
+    for width, n in ((12, 8192), (3, 700)):
+        codes = rng.integers(0, 1 << 16, (n, width)).astype(np.uint16)
+        codes[n // 2:] = codes[rng.integers(0, n // 2, n - n // 2)] ^ (1 << rng.integers(0, 16, (n - n // 2, width))).astype(np.uint16)
+        tables = Tables(codes)
+        for radius in (0, 7 * width, 16 * width):
+            for q in codes[:20]:
+                far = np.array([[bin(v).count("1") for v in row] for row in (codes[:300] ^ q).tolist()]).sum(1)
+                found = tables.within(q, radius)
+                assert np.all(np.diff(found) > 0) and np.array_equal(found[found < 300], np.flatnonzero(far <= radius))
+        if width == 12:
+            spent = []
+            for q in codes[:100]:
+                start = time.thread_time()
+                tables.within(q, 84)
+                spent.append(time.thread_time() - start)
+            assert np.median(spent) < 0.003, np.median(spent)
+
+
 def test_recall_on_given_vectors(spark):
     df = spark.read.parquet(f"{BIG}/embeddings.parquet")
     rows = df.select("vec_id", "embedding").toPandas()
