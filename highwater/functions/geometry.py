@@ -75,11 +75,46 @@ def sample_count(geom, step_m=SAMPLE_STEP_M, min_n=MIN_SAMPLES) -> Column:
     return F.greatest(F.lit(min_n), F.ceil(line_length(geom) / step_m).cast("int") + 1)
 
 
+def _let(value, f) -> Column:
+    """f(value) with the value worked out once a row; in a lambda an outer expression is worked out again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def sample_line(geom, step_m=SAMPLE_STEP_M, min_n=MIN_SAMPLES) -> Column:
-    """Evenly spaced points, both ends included."""
-    g, n = col(geom), sample_count(geom, step_m, min_n)
-    total = line_length(g)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: _walk(g, total * i / (n - 1)))
+    """Evenly spaced points, both ends included. Each segment places its own samples; a line without a length stays at its end."""
+    def leg(acc, s):
+        length = seg_length(s)
+        one = F.struct(*[s[p][c].alias(f"{p}{c}") for p in "ab" for c in "xy"], acc["to"].alias("from"), length.alias("length"), (acc["to"] + length).alias("to"))
+        return F.struct((acc["to"] + length).alias("to"), F.concat(acc["legs"], F.array(one)).alias("legs"))
+
+    fields = ["ax", "ay", "bx", "by", "from", "length", "to"]
+    start = F.struct(F.lit(0.0).alias("to"), F.array().cast(f"array<struct<{','.join(f'`{c}`:double' for c in fields)}>>").alias("legs"))
+
+    def samples(v):
+        n, total, legs = v["n"], v["total"], v["legs"]
+
+        def of_leg(s, j):
+            d = lambda i: total * i / (n - 1)
+            index = lambda at, by: F.when(total > 0, F.floor(at * (n - 1) / F.when(total > 0, total)).cast("int") + by)
+            first, last = j == 0, j == F.size(legs) - 1
+            lo = F.when(first, 0).otherwise(F.coalesce(F.greatest(index(s["from"], -1), F.lit(0)), F.lit(0)))
+            hi = F.when(last, n - 1).otherwise(F.coalesce(F.least(index(s["to"], 2), n - 1), n - 1))
+            mine = F.filter(F.sequence(lo, hi, F.lit(1)), lambda i: (first | (d(i) > s["from"])) & (last | (d(i) <= s["to"])))
+
+            def place(i):
+                left = d(i) - s["from"]
+                t = F.when(s["length"] > 0, left / F.when(s["length"] > 0, s["length"])).otherwise(F.lit(0.0))
+                within = left <= s["length"]
+                return F.struct(*[F.when(within, s[f"a{c}"] + (s[f"b{c}"] - s[f"a{c}"]) * t).otherwise(s[f"b{c}"]).alias(c) for c in "xy"])
+
+            return F.transform(mine, place)
+
+        end = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(v["end"]["x"].alias("x"), v["end"]["y"].alias("y")))
+        return F.when(total.isNull() | (F.size(legs) == 0), end).otherwise(F.flatten(F.transform(legs, of_leg)))
+
+    return _let(col(geom), lambda g: _let(F.aggregate(segments(g), start, leg), lambda w: _let(
+        F.struct(w["to"].alias("total"), w["legs"].alias("legs"), F.element_at(g, -1).alias("end"),
+                 F.greatest(F.lit(min_n), F.ceil(w["to"] / step_m).cast("int") + 1).alias("n")), samples)))
 
 
 def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
@@ -161,23 +196,23 @@ def heads_toward(bearing_deg, direction, tolerance=CLOSURE_TOLERANCE_DEG) -> Col
     return target.isNull() | (diff <= tolerance)
 
 
-def point_segment_squared(p, s) -> Column:
-    """Squared distance of a point struct to a segment struct<a,b>."""
-    ax, ay = s["a"]["x"], s["a"]["y"]
-    dx, dy = s["b"]["x"] - ax, s["b"]["y"] - ay
-    px, py = p["x"] - ax, p["y"] - ay
-    l2 = dx * dx + dy * dy
-    t = F.when(l2 > 0, F.least(F.greatest((px * dx + py * dy) / l2, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    return F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2)
-
-
 def hausdorff(a, b, a_segments=None, b_segments=None) -> Column:
     """Largest vertex-to-line distance, both ways. Pass ready-made segment arrays when one line meets many."""
     a, b = col(a), col(b)
     sa, sb = col(a_segments) if a_segments is not None else segments(a), col(b_segments) if b_segments is not None else segments(b)
-    one_way = lambda pts, segs: F.array_max(F.transform(pts, lambda p: F.array_min(
-        F.transform(segs, lambda s: point_segment_squared(p, s)))))
-    return F.sqrt(F.greatest(one_way(a, sb), one_way(b, sa)))
+
+    def leg(s):
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        return F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("l2"))
+
+    def squared(p, s):
+        px, py, l2 = p["x"] - s["ax"], p["y"] - s["ay"], s["l2"]
+        t = F.when(l2 > 0, F.least(F.greatest((px * s["dx"] + py * s["dy"]) / l2, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        return F.pow(px - t * s["dx"], 2) + F.pow(py - t * s["dy"], 2)
+
+    one_way = lambda pts, segs: F.array_max(F.transform(pts, lambda p: F.array_min(F.transform(segs, lambda s: squared(p, s)))))
+    legs = F.struct(F.transform(sa, leg).alias("a"), F.transform(sb, leg).alias("b"))
+    return _let(legs, lambda v: F.sqrt(F.greatest(one_way(a, v["b"]), one_way(b, v["a"]))))
 
 
 def envelope(geom) -> Column:
