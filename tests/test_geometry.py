@@ -306,3 +306,48 @@ def test_a_crowded_fine_cell_is_sliced(spark, monkeypatch):
     assert p.groupBy(*P.CELL).count().agg(F.max("count")).first()[0] < 200
     got = P.pairs_within(pts, lf, "point_id", "edge_id", 30.0)
     assert got.count() == 800 and got.distinct().count() == 800
+
+
+def test_samples_and_hausdorff_do_their_work_once(spark):
+    """Segments and lengths of a line are worked out once a row, not once a sample or vertex; samples are where a plain walk puts them."""
+    lines = [[(0.0, 0.0), (30.0, 40.0), (30.0, 100.0), (30.0, 100.0), (77.0, 3.0)], [(5.0, 5.0), (5.0, 5.0)], [(1.0, 2.0)], [(0.0, 0.0), (7.0, 0.0)], [(1.0, 1.0), (None, 4.0), (9.0, 9.0)], None]
+    kind = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(i, g, lines[0]) for i, g in enumerate(lines)], f"i int, g {kind}, h {kind}")
+    s = df.select("i", G.sample_line("g").alias("p"))
+    h = df.select("i", G.hausdorff("g", "h").alias("d"))
+    text = [x._jdf.queryExecution().optimizedPlan().toString() for x in (s, h)]
+    assert text[0].count("zip_with") == 1, text[0]
+    assert "zip_with" not in text[1][text[1].index("array_min("):], text[1]
+    got = {r["i"]: r["p"] for r in s.collect()}
+
+    def walk(g):
+        legs = [math.dist(a, b) for a, b in zip(g, g[1:])]
+        total = sum(legs)
+        n = max(5, math.ceil(total / 10) + 1)
+        for i in range(n):
+            left = total * i / (n - 1)
+            for a, b, m in zip(g, g[1:], legs):
+                if left <= m or b is g[-1]:
+                    t = min(left / m, 1.0) if m else 0.0
+                    yield (a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t)
+                    break
+                left -= m
+            else:
+                yield g[0]
+    for i, g in enumerate(lines[:4]):
+        want = list(walk(g))
+        assert len(got[i]) == len(want) and all(math.dist(a, b) < 1e-9 for a, b in zip(got[i], want)), i
+    assert [tuple(p) for p in got[4]] == [(9.0, 9.0)] * 5
+    assert got[5] is None or [p and tuple(p) for p in got[5]] in ([None] * 5, [(None, None)] * 5)
+
+
+def test_vertices_stay_with_their_edge(spark):
+    """Containment deals edges out once: vertices, their count and the polygons that hold them stay together."""
+    box = spark.createDataFrame([("z", 0.0, 0.0, 10.0, 10.0), ("w", 5.0, 0.0, 30.0, 10.0)], "zone string, a double, b double, c double, d double")
+    zones = box.select("zone", G.box_ring("a", "b", "c", "d").alias("rings"))
+    lf = lines_df(spark, [("in", [(1.0, 1.0), (10.0, 4.0)]), ("both", [(6.0, 1.0), (9.0, 4.0), (6.0, 1.0)]), ("out", [(1.0, 1.0), (40.0, 4.0)]),
+                          ("rows", [(1.0, 1.0), (2.0, 1.0)]), ("rows", [(50.0, 1.0), (2.0, 1.0)])])
+    got = P.in_polygon(lf, zones, "zone")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert {tuple(r) for r in got.collect()} == {("z", "in"), ("z", "both"), ("w", "both")}
