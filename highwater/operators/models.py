@@ -13,7 +13,7 @@ from highwater.functions.text import local_iso, run_id
 from highwater.operators.checks import check_horizon
 from highwater.operators.layers import street_table
 from highwater.operators.metrics import budget_cutoff, confusion, metrics, reference_quantiles, relative_score, select_model
-from highwater.operators.panel import add_weather, eligible_days, range_flags, report_history, split_summary
+from highwater.operators.panel import add_weather, eligible_days, range_flags, report_history, split_summary, with_report_days
 from highwater.operators.ranges import exact_quantiles
 from highwater.operators.serving import area_index
 from highwater.session import cut_lineage
@@ -128,7 +128,8 @@ def select_and_refit(panel: DataFrame, names=("logistic", "gradient_boosting"),
 def population(streets: DataFrame, positives: DataFrame, weather: DataFrame, heldout: bool, first: str, last: str | None = None,
                windows: dict = WINDOWS, gap: int = HISTORY_GAP_DAYS, min_days: int = HISTORY_MIN_DAYS) -> DataFrame:
     """Every eligible street-day of a period, history frozen at its first day, weather attached."""
-    days = eligible_days(streets.where(F.col("heldout_street") == heldout), positives, windows, first, last)
+    told = with_report_days(streets.where(F.col("heldout_street") == heldout), positives)
+    days = eligible_days(told, positives, windows, first, last)
     return add_weather(report_history(days, positives, windows, gap, min_days, freeze=first), weather)
 
 
@@ -168,7 +169,7 @@ def score_segments(segments: DataFrame, bundle: Bundle, days: DataFrame) -> Data
                     & (F.trim("source") != ""), F.lit(False))
     d = days.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("bad weather input")).cast("boolean")))
     d = _flag_range(d, bundle.weather_max)
-    streets = street_table(segments)
+    streets = with_report_days(street_table(segments), bundle.history)
     grid = streets.select("*", _day_list(d).alias("_d")).select(
         *streets.columns, F.explode("_d").alias("w")).select(*streets.columns, "w.*")
     rated = physical_baseline(report_history(grid, bundle.history, bundle.windows, bundle.gap, bundle.min_days))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from highwater.functions.text import hash_fraction_bits, held_out, split_name
 from highwater.operators.graph import ticket_groups
 from highwater.operators.layers import street_table
-from highwater.session import cut_lineage, n_buckets
+from highwater.session import cut_lineage, n_buckets, stored
 from highwater.settings import (HISTORY_GAP_DAYS, HISTORY_MIN_DAYS, RAIN_FEATURES, SEED, TRAIN_END, VALIDATION_END,
                                 WINDOWS)
 
@@ -45,8 +45,11 @@ def rain_lags(weather: DataFrame) -> DataFrame:
 
 
 def add_weather(panel: DataFrame, weather: DataFrame) -> DataFrame:
-    """Weather onto the panel by day; a panel day without weather stops the job."""
-    w = weather.select("date", *RAIN_FEATURES, F.lit(True).alias("_have"))
+    """Weather onto the panel by day; a panel day without weather stops the job.
+
+    The days are written first, so that their true size is known when the join is planned and the panel stays where it is.
+    """
+    w = stored(weather.select("date", *RAIN_FEATURES, F.lit(True).alias("_have")))
     missing = F.raise_error(F.concat(F.lit("no weather for "), F.col("date").cast("string"))).cast("boolean")
     return panel.join(w, "date", "left").where(F.coalesce("_have", missing)).drop("_have")
 
@@ -65,61 +68,82 @@ def label_days(segments: DataFrame, streets: DataFrame, reports: DataFrame, wind
     return flagged.where(F.col("_in") & ~F.col("is_bridge")).drop("_in"), audit
 
 
+def with_report_days(streets: DataFrame, positives: DataFrame) -> DataFrame:
+    """Adds ``_told``: a street's distinct report days, at most one per day of the calendar, and whether one has no date.
+
+    Done once per street, before its days are laid out, targets and history need no join of street-days. A table that has
+    the column already stays as it is.
+    """
+    if "_told" in streets.columns:
+        return streets
+    told = stored(positives.groupBy("street_id").agg(F.struct(
+        F.collect_set("date").alias("days"), F.max(F.col("date").isNull().cast("int")).alias("undated")).alias("_told")))
+    unnamed = told.where(F.col("street_id").isNull()).agg(F.first("_told")).scalar()  # at most one row
+    return streets.join(told, "street_id", "left").select(
+        *streets.columns, F.coalesce("_told", F.when(F.col("street_id").isNull(), unnamed)).alias("_told"))
+
+
 def report_history(panel: DataFrame, positives: DataFrame, windows: dict = WINDOWS, gap: int = HISTORY_GAP_DAYS,
                    min_days: int = HISTORY_MIN_DAYS, freeze: str | None = None) -> DataFrame:
     """Adds ``report_rate``: report-days per year strictly before min(date - gap, freeze), null when too little was seen.
 
-    Facts and questions are put in one list per street and counted in order: a street's list holds at most two rows
-    per day, whatever the number of reports, and no range join is built.
+    A row counts in its street's list of report days, which is no longer than the calendar, whatever the number of reports;
+    no range join is built, and nothing is sorted.
     """
     cutoff = F.date_sub("date", gap)
     if freeze:
         cutoff = F.least(cutoff, F.lit(freeze).cast("date"))
     start, end = window_bounds(windows)
-    cols = panel.columns
-    ask = panel.withColumns({"_t": cutoff, "_fact": F.lit(0)})
-    told = positives.select("street_id", F.col("date").alias("_t")).distinct().withColumn("_fact", F.lit(1))
-    seen = Window.partitionBy("street_id").orderBy("_t", "_fact").rowsBetween(Window.unboundedPreceding, 0)
-    counted = ask.unionByName(told, allowMissingColumns=True).withColumn("_n", F.sum("_fact").over(seen)).where(F.col("_fact") == 0)
+    cols = [c for c in panel.columns if c != "_told"]
+    asked = with_report_days(panel, positives).withColumn("_t", cutoff)
+    seen = F.size(F.filter("_told.days", lambda d: d < F.col("_t"))) + F.when(F.col("_t").isNotNull(), F.col("_told.undated")).otherwise(0)
+    n = F.when(F.col("_told").isNotNull(), seen).otherwise(0).cast("bigint")
     exposure = F.date_diff(F.least(F.date_add(end, 1), F.col("_t")), start)
-    return counted.select(*cols, F.when(exposure >= min_days, F.col("_n") / (exposure / F.lit(365.25))).alias("report_rate"))
+    return asked.select(*cols, F.when(exposure >= min_days, n / (exposure / F.lit(365.25))).alias("report_rate"))
 
 
 def sample_negatives(panel: DataFrame, fraction: float, strata: list[str], seed: int = SEED) -> DataFrame:
     """All positives (weight 1) and, per stratum, the ceil(n * fraction) negatives with the smallest seeded hash.
 
-    Weight n / k keeps the sums. Hash ranges are counted first: ranges wholly inside the sample pass as they are and only
-    the rows of the range at the boundary are ordered, so a stratum may be any size.
+    Weight n / k keeps the sums. Hash ranges are counted first: ranges wholly inside the sample pass as they are, without a
+    shuffle, and only the rows of the range at the boundary are ordered, so a stratum may be any size.
     """
     buckets = 64 * n_buckets(panel.sparkSession)  # a range shrinks as the cluster grows
     text = F.concat_ws(":", F.lit(str(seed)), F.col("street_id").cast("string"), F.col("date").cast("string"))
-    neg = panel.where(F.col("target") == 0).withColumn("_h", hash_fraction_bits(text)).withColumn(
-        "_b", F.floor(F.col("_h") / (2**32 / buckets)))
-    counts = neg.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    positive, negative = F.col("target") == 1, F.col("target") == 0
+    rows = panel.where(positive | negative).withColumn("_h", F.when(negative, hash_fraction_bits(text))).withColumn(
+        "_b", F.coalesce(F.floor(F.col("_h") / (2**32 / buckets)), F.lit(-1)))  # never null: no test for it that hashes again
+    counts = rows.where(negative).groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*strata)
     before = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    plan = counts.select(*strata, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+    plan = counts.select(*strata, F.col("_b").alias("_cut"), "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
                          F.sum("_c").over(w).alias("_n"))
     k = F.least(F.col("_n"), F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction)))
-    plan = plan.withColumn("_k", k).where(F.col("_before") < F.col("_k"))
-    order = Window.partitionBy(*strata, "_b").orderBy("_h", "street_id")
-    chosen = neg.join(plan, [*strata, "_b"]).withColumn("_r", F.row_number().over(order)).where(
+    plan = plan.withColumn("_k", k).where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
+    plan = stored(plan.drop("_c"))  # one row per stratum, of true size, so that it goes to the rows
+    planned = rows.join(plan, strata, "left")
+    weight = (F.col("_n") / F.col("_k")).alias("sample_weight")
+    whole = planned.where(positive | (negative & (F.col("_b") < F.col("_cut")))).select(
+        *panel.columns, F.when(positive, 1.0).otherwise(weight).alias("sample_weight"))
+    order = Window.partitionBy(*strata).orderBy("_h", "street_id")
+    last = planned.where(negative & (F.col("_b") == F.col("_cut"))).withColumn("_r", F.row_number().over(order)).where(
         F.col("_before") + F.col("_r") <= F.col("_k"))
-    return panel.where(F.col("target") == 1).withColumn("sample_weight", F.lit(1.0)).unionByName(
-        chosen.select(*panel.columns, (F.col("_n") / F.col("_k")).alias("sample_weight")))
+    return whole.unionByName(last.select(*panel.columns, weight))
 
 
 def eligible_days(streets: DataFrame, positives: DataFrame, windows: dict = WINDOWS, first=None, last=None) -> DataFrame:
     """Every non-bridge street-day of the windows with its 0/1 target."""
-    days = street_days(streets.where(~F.col("is_bridge")), windows, first, last)
-    hits = positives.select("street_id", "date").distinct().withColumn("_hit", F.lit(1))
-    return days.join(hits, ["street_id", "date"], "left").withColumn("target", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    told = with_report_days(streets.where(~F.col("is_bridge")), positives)
+    hit = F.array_contains("_told.days", F.col("date")) & F.col("street_id").isNotNull()
+    return street_days(told, windows, first, last).select(
+        "street_id", "date", *[c for c in streets.columns if c != "street_id"], F.coalesce(hit.cast("int"), F.lit(0)).alias("target"))
 
 
 def panel_from_streets(streets: DataFrame, positives: DataFrame, weather: DataFrame, fraction: float = 0.02,
                        windows: dict = WINDOWS, train_end: str = TRAIN_END, validation_end: str = VALIDATION_END,
                        gap: int = HISTORY_GAP_DAYS, min_days: int = HISTORY_MIN_DAYS) -> DataFrame:
     """streets (with split_group, heldout_street) x days -> the sampled, weighted, split panel with history and weather."""
+    streets = with_report_days(streets, positives)
     days = eligible_days(streets, positives, windows).withColumn(
         "split", split_name("date", "heldout_street", train_end, validation_end)).where(F.col("split") != "unused")
     sampled = sample_negatives(days, fraction, ["date", "jurisdiction", "heldout_street"])
