@@ -168,7 +168,7 @@ def score_segments(segments: DataFrame, bundle: Bundle, days: DataFrame) -> Data
     ok = F.coalesce(ok & (F.col("rain_prior3_mm") + 1e-9 >= F.col("rain_lag1_mm")) & F.col("updated_at").isNotNull()
                     & (F.trim("source") != ""), F.lit(False))
     d = days.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("bad weather input")).cast("boolean")))
-    d = _flag_range(d, bundle.weather_max)
+    d = _flag_range(d, bundle.weather_max).withColumns({"valid_from": local_iso("date"), "valid_to": local_iso(F.date_add("date", 1))})
     streets = with_report_days(street_table(segments), bundle.history)
     grid = streets.select("*", _day_list(d).alias("_d")).select(
         *streets.columns, F.explode("_d").alias("w")).select(*streets.columns, "w.*")
@@ -176,7 +176,7 @@ def score_segments(segments: DataFrame, bundle: Bundle, days: DataFrame) -> Data
     p = bundle.model.predict(rated, "_p")
     p = relative_score(p, bundle.reference, "_p", "_relative")
     if bundle.alert_model is not None:
-        p = bundle.alert_model.predict(p, "_ap")
+        p = p.withColumn("_ap", F.col("_p")) if bundle.alert_model is bundle.model else bundle.alert_model.predict(p, "_ap")
     supported = ~F.col("is_bridge") & (F.col("coverage") > 0)
     alert = F.when(supported, F.col("_ap")) if bundle.alert_model is not None else F.lit(None).cast("double")
     cutoff = F.lit(bundle.alert_cutoff).cast("double")
@@ -189,8 +189,7 @@ def score_segments(segments: DataFrame, bundle: Bundle, days: DataFrame) -> Data
         F.when(F.col("is_bridge"), "no_bridge_training_labels").when(~supported, "insufficient_static_features")
         .when(F.col("coverage") < 1, "partial_static_features").otherwise("").alias("score_note"),
         F.col("coverage").alias("feature_coverage"), "out_of_range", F.lit(bundle.version).alias("model_version"),
-        local_iso("date").alias("valid_from"), local_iso(F.date_add("date", 1)).alias("valid_to"),
-        F.col("source").alias("weather_source"), F.col("updated_at").alias("weather_updated_at"))
+        "valid_from", "valid_to", F.col("source").alias("weather_source"), F.col("updated_at").alias("weather_updated_at"))
     return segments.select("edge_id", "street_id").join(out, "street_id")
 
 
@@ -240,8 +239,8 @@ def _flag_range(days: DataFrame, top: dict) -> DataFrame:
 
 
 def _day_list(days: DataFrame) -> Column:
-    """The forecast days (at most a week) as one array."""
-    return days.agg(F.sort_array(F.collect_list(F.struct("date", *RAIN_FEATURES, "source", "updated_at", "out_of_range")))).scalar()
+    """The forecast days (at most a week) as one array. What belongs to a day is worked out here, not once per street."""
+    return days.agg(F.sort_array(F.collect_list(F.struct("date", *RAIN_FEATURES, "source", "updated_at", "out_of_range", "valid_from", "valid_to")))).scalar()
 
 
 def make_bundle(model: Fitted, panel: DataFrame, positives: DataFrame, **kw) -> Bundle:

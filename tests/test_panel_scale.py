@@ -54,3 +54,30 @@ def test_only_the_boundary_of_a_sample_is_ordered(spark):
         want = sorted(ids, key=lambda i: (int(hashlib.sha256(f"42:{i}:2024-01-05".encode()).hexdigest()[:8], 16), i))[:-(-n // 4)]
         got = s.where(f"target = 0 and s = {half}").collect()
         assert sorted(r["street_id"] for r in got) == sorted(want) and {r["sample_weight"] for r in got} == {n / len(want)}
+
+
+def test_what_belongs_to_a_day_is_worked_out_once(spark):
+    from highwater.operators import models as ML
+    calls = []
+
+    class Half:
+        def predict(self, panel, out="p"):
+            calls.append(out)
+            return panel.withColumn(out, F.lit(0.5))
+
+    segments = spark.createDataFrame([("a", "a", 1, 2.0, 0.1, 50.0, 1.0, False, False, False, "city"), ("b", "a", 1, 2.0, 0.1, 50.0, 1.0, False, False, False, "city")],
+                                     "edge_id string, street_id string, fema_risk_level int, elev_p10 double, sink_p90 double, length double, drain_count double, "
+                                     "is_tunnel boolean, is_bridge boolean, elev_water_only boolean, jurisdiction string")
+    days = spark.createDataFrame([(day(9), 1.0, 0.0, 0.0, "f", "u")], "date date, rain_mm double, rain_lag1_mm double, rain_prior3_mm double, source string, updated_at string")
+    model = Half()
+    knots = spark.createDataFrame([(0, 0.0), (1, 1.0)], "k int, p double")
+    history = spark.createDataFrame([("a", day(3))], "street_id string, date date")
+    b = ML.Bundle(model=model, reference=knots, history=history, weather_max={"rain_mm": 5.0, "rain_lag1_mm": 5.0, "rain_prior3_mm": 5.0}, alert_model=model,
+                  alert_cutoff=0.4, windows=WINDOWS, gap=3, min_days=2)
+    scored = ML.score_segments(segments, b, days)
+    plan = _optimized(scored)
+    assert len(calls) == 1 and "from_utc_timestamp" not in plan[:plan.index("Generate")]  # printed from the top down
+    assert [(r["edge_id"], r["alert_probability"], r["report_alert"], r["valid_from"], r["valid_to"]) for r in scored.orderBy("edge_id").collect()] == [
+        (e, 0.5, True, "2024-01-09T00:00:00-05:00", "2024-01-10T00:00:00-05:00") for e in "ab"]
+    ML.score_segments(segments, ML.Bundle(**{**b.__dict__, "alert_model": Half()}), days)
+    assert len(calls) == 3
