@@ -296,6 +296,10 @@ class Tables:
             self._made[name] = df.persist() if name == "fx_edge" else df
         return self._made[name]
 
+    def unkept(self, name: str) -> DataFrame:
+        """A projection for a query that reads it once: nothing is kept, so only the columns it asks for are derived."""
+        return self._fx(name)
+
     def _base(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         local = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]

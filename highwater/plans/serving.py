@@ -384,7 +384,7 @@ def _(T):
   select id from c where component = (select component from c group by component order by count(*) desc, component limit 1)""")
 def _(T):
     from highwater.operators.graph import largest_scc
-    return largest_scc(T.fx_edge.select("u", "v"))
+    return largest_scc(T.unkept("fx_edge").select("u", "v"))
 
 
 # ------------------------------------------------------------------ people
