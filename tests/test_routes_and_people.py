@@ -88,6 +88,21 @@ def test_compare_routes(spark):
     assert r["work"]["usual"]["free_flow_s"] == 51.5
 
 
+def test_roads_of_a_route_are_listed_only_where_they_are_read(spark):
+    """What routes are compared by comes from legs; only route_id, segments, path and closures ask for every road."""
+    trips = spark.createDataFrame([("a", 1, 2), ("b", 2, 5), ("c", 1, 5)], "trip_id string, from_node int, to_node int")
+    r = R.compare_routes(trips, road_edges(spark))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    few = r.select("trip_id", "status", "action", "message", "same_route", "extra_minutes", "high_risk_segments_avoided")
+    assert "posexplode" in plan(r) and "posexplode" not in plan(few)
+    assert "inline" not in plan(r.select("trip_id", "status", "usual.seconds", "usual.distance_m")).replace("inline(array_compact", "")
+    whole = {x["trip_id"]: x for x in r.collect()}
+    assert {x["trip_id"]: x["high_risk_segments_avoided"] for x in few.collect()} == {"a": 1, "b": 0, "c": 1}
+    u = whole["c"]["usual"]
+    assert u["distance_m"] == 2400 and u["high_risk_m"] == 2400 and u["street"] == "Only Way" and [s["edge_id"] for s in u["risk_segments"]] == ["1_2_0", "2_5_0"]
+    assert not whole["c"]["same_route"] and whole["b"]["same_route"] and whole["b"]["usual"]["route_id"] == whole["b"]["safe"]["route_id"]
+
+
 def test_distance_text_rounds_the_double(spark):
     ms = [340, 999, 1000, 1050, 1150, 1250, 1350, 2450, 10050, 12345]
     got = [r[0] for r in spark.createDataFrame([(m,) for m in ms], "m int").select(X.distance_text("m")).collect()]
