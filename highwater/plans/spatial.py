@@ -68,7 +68,8 @@ def _hausdorff(a, b):
   m as (select a.edge_id, a.cand as twin_id, a.d as twin_m from best a join best b on a.cand = b.edge_id and b.cand = a.edge_id)
   select e.edge_id, m.twin_id, m.twin_m, least(e.edge_id, coalesce(m.twin_id, e.edge_id)) as street_id from fx_edge e left join m on m.edge_id = e.edge_id""")
 def _(T):
-    return P.pair_twins(T.lines().drop("street_id")).select("edge_id", "twin_id", "twin_m", "street_id")
+    edges = T.lines(kept=False).select("edge_id", "u", "v", "geom")
+    return P.pair_twins(edges).select("edge_id", "twin_id", "twin_m", "street_id")
 
 
 ZONE_HIT = "{x} >= zx0 and {x} <= zx1 and {y} >= zy0 and {y} <= zy1"

@@ -21,7 +21,16 @@ def test_a_stored_table_is_not_taken_for_its_encoded_size(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", ["a7_access_roads"])
+@pytest.mark.parametrize("name", ["a7_access_roads", "j9_pair_twins"])
 def test_edges_are_not_kept(spark, sf, name):
     spark.catalog.clearCache()
     assert "InMemoryRelation" not in entry.queries()[name](spark, sf)._jdf.queryExecution().withCachedData().toString()
+
+
+def test_twins_meet_once(spark):
+    """Parallel edges, ties, loops and an edge that comes twice."""
+    rows = [("a", 1, 2, 0., 9.), ("b", 2, 1, 0., 9.), ("c", 2, 1, 0., 9.), ("d", 2, 1, .5, 9.5), ("e", 3, 3, 50., 51.), ("f", 3, 3, 50., 51.), ("g", 5, 4, 90., 95.), ("h", 4, 5, 93., 98.), ("a", 1, 2, 0., 9.), ("i", 1, None, 0., 9.)]
+    e = spark.createDataFrame(rows, "edge_id string, u int, v int, x0 double, x1 double").select("edge_id", "u", "v", line("x0", F.lit(0.0), (F.col("x0") + F.col("x1")) / 2, F.lit(0.0), "x1", F.lit(0.0)).alias("geom"))
+    got = sorted((r["edge_id"], r["twin_id"], r["twin_m"], r["street_id"]) for r in P.pair_twins(e).select("edge_id", "twin_id", "twin_m", "street_id").collect())
+    none = lambda k: (k, None, None, k)
+    assert got == [("a", "b", 0.0, "a"), ("a", "b", 0.0, "a"), ("b", "a", 0.0, "a"), none("c"), none("d"), ("e", "f", 0.0, "e"), ("f", "e", 0.0, "e"), none("g"), none("h"), none("i")]
