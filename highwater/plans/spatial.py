@@ -101,7 +101,7 @@ def _(T):
   count(distinct s.street_id) as streets from fx_zone join fx_edge e on least(x0, xm, x1) >= zx0 and greatest(x0, xm, x1) <= zx1 and least(y0, ym, y1) >= zy0 and greatest(y0, ym, y1) <= zy1
   join fx_static s on s.edge_id = e.edge_id group by zone_id""")
 def _(T):
-    e = T.lines().withColumn("risk_score", ((F.col("ok") * 37) % 1001) / 1000.0)
+    e = T.lines(kept=False).select("edge_id", "street_id", "geom", (((F.col("ok") * 37) % 1001) / 1000.0).alias("risk_score"))
     return r6(P.polygon_stats(e, T.zones(), "zone_id", base=400.0))
 
 

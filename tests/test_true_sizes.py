@@ -21,7 +21,7 @@ def test_a_stored_table_is_not_taken_for_its_encoded_size(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", ["a7_access_roads", "j9_pair_twins"])
+@pytest.mark.parametrize("name", ["a7_access_roads", "j9_pair_twins", "a25_polygon_stats"])
 def test_edges_are_not_kept(spark, sf, name):
     spark.catalog.clearCache()
     assert "InMemoryRelation" not in entry.queries()[name](spark, sf)._jdf.queryExecution().withCachedData().toString()
@@ -34,3 +34,12 @@ def test_twins_meet_once(spark):
     got = sorted((r["edge_id"], r["twin_id"], r["twin_m"], r["street_id"]) for r in P.pair_twins(e).select("edge_id", "twin_id", "twin_m", "street_id").collect())
     none = lambda k: (k, None, None, k)
     assert got == [("a", "b", 0.0, "a"), ("a", "b", 0.0, "a"), ("b", "a", 0.0, "a"), none("c"), none("d"), ("e", "f", 0.0, "e"), ("f", "e", 0.0, "e"), none("g"), none("h"), none("i")]
+
+
+def test_polygon_stats_of_odd_rows(spark):
+    rows = [("in", "s", .2, 1., 9.), ("in", "s", .4, 2., 8.), ("half", "s", .9, 5., 15.), ("two", None, .6, 3., 4.), ("two", "t", .8, 30., 40.), ("lost", None, .7, 6., 7.)]
+    e = spark.createDataFrame(rows, "edge_id string, street_id string, risk_score double, a double, b double").select(
+        "edge_id", "street_id", "risk_score", line("a", "a", "a", "b", "b", "b").alias("geom"))
+    z = spark.createDataFrame([(1, 0., 0., 10., 10.), (2, 100., 100., 110., 110.)], "zone int, x0 double, y0 double, x1 double, y1 double").withColumn("rings", box_ring("x0", "y0", "x1", "y1"))
+    got = [r.asDict() for r in P.polygon_stats(e, z, "zone").collect()]
+    assert [(r["zone"], r["edges"], r["risk_min"], r["risk_max"], r["streets"]) for r in got] == [(1, 3, .2, .7, 2)] and abs(got[0]["risk_avg"] - 1.3 / 3) < 1e-12
