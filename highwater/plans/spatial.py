@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from highwater.functions import geometry as G
 from highwater.operators import checks as C, graph as N, spatial as P, serving as V, layers as L
 from highwater.plans.registry import psd, query, r6
+from highwater.session import stored
 
 H = "(ceil((select n from fx_n) / 40e0))"  # height of a raster cell; its width is 40
 
@@ -68,7 +69,8 @@ def _hausdorff(a, b):
   m as (select a.edge_id, a.cand as twin_id, a.d as twin_m from best a join best b on a.cand = b.edge_id and b.cand = a.edge_id)
   select e.edge_id, m.twin_id, m.twin_m, least(e.edge_id, coalesce(m.twin_id, e.edge_id)) as street_id from fx_edge e left join m on m.edge_id = e.edge_id""")
 def _(T):
-    edges = T.lines(kept=False).select("edge_id", "u", "v", "geom")
+    # derived once: where orders share a key, edges between two nodes may be numbered otherwise another time
+    edges = stored(T.lines(kept=False).select("edge_id", "u", "v", "geom"))
     return P.pair_twins(edges).select("edge_id", "twin_id", "twin_m", "street_id")
 
 

@@ -36,6 +36,13 @@ def test_twins_meet_once(spark):
     assert got == [("a", "b", 0.0, "a"), ("a", "b", 0.0, "a"), ("b", "a", 0.0, "a"), none("c"), none("d"), ("e", "f", 0.0, "e"), ("f", "e", 0.0, "e"), none("g"), none("h"), none("i")]
 
 
+def test_a_twin_of_unknown_distance_comes_first(spark):
+    """A line with an unknown vertex has no distance to another such line; that leaves the edge without a twin, as before."""
+    rows = [("a", 1, 2, None), ("b", 2, 1, None), ("c", 2, 1, 5.), ("d", 4, 5, 5.), ("e", 5, 4, 5.)]
+    e = spark.createDataFrame(rows, "edge_id string, u int, v int, xm double").select("edge_id", "u", "v", line(F.lit(0.0), F.lit(0.0), "xm", F.lit(0.0), F.lit(9.0), F.lit(0.0)).alias("geom"))
+    assert {r["edge_id"]: r["twin_id"] for r in P.pair_twins(e).collect()} == {"a": None, "b": None, "c": None, "d": "e", "e": "d"}
+
+
 def test_polygon_stats_of_odd_rows(spark):
     rows = [("in", "s", .2, 1., 9.), ("in", "s", .4, 2., 8.), ("half", "s", .9, 5., 15.), ("two", None, .6, 3., 4.), ("two", "t", .8, 30., 40.), ("lost", None, .7, 6., 7.)]
     e = spark.createDataFrame(rows, "edge_id string, street_id string, risk_score double, a double, b double").select(
